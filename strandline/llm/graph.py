@@ -1,0 +1,27 @@
+"""Connected components by minimum labels with pointer jumping; nothing is gathered on the driver or in one group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.llm.common import stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest reachable node) for all nodes of links (a, b), longs.
+
+    Every step takes the least label among neighbours and then the label of that label, so the number of
+    steps grows with the logarithm of the longest path. Tables are written between steps: hubs and large
+    components then meet plain shuffles, whose hot partitions Spark splits. Nulls and self-links are
+    ignored; links may repeat; no links give no rows."""
+    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        least = stored(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        if least.where("label < old").isEmpty():
+            return labels.withColumnRenamed("label", "component")
+        jump = least.select(F.col("node").alias("over"), F.col("label").alias("to"))
+        labels = stored(least.join(jump, F.col("label") == F.col("over")).select("node", F.least("label", "to").alias("label")))
