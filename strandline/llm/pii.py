@@ -152,6 +152,49 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def sql5() -> str:
+    """Matches by kind from pieces between matches; offsets add up the lengths before each."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "login": r"://[^\s/@:?#]+:[^\s/@?#]+@",
+        "iban": r"IBAN[:\s]{0,3}[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        "secret": "(?:" + "|".join(f for c in SECRET_CUES for f in (c, c.upper(), c.capitalize())) + r""")[ \t]*[=:][ \t]*["']?[A-Za-z0-9_+/=.-]{8,}""",
+    }
+    inner = {
+        "login": ("3", "length(m) - 4"),
+        "iban": (r"length(regexp_extract(m, '^IBAN[:\s]{0,3}'))", r"length(m) - length(regexp_extract(m, '^IBAN[:\s]{0,3}'))"),
+        "secret": (r"""length(regexp_extract(m, '^[A-Za-z_]+[ \t]*[=:][ \t]*["'']?'))""", r"""length(m) - length(regexp_extract(m, '^[A-Za-z_]+[ \t]*[=:][ \t]*["'']?'))"""),
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
+    fine = {
+        "email": "true", "login": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": "false",
+        "secret": "regexp_matches(substr(m, skip::BIGINT + 1), '[0-9]')",
+    }
+    parts = []
+    for k, pattern in patterns.items():
+        p = pattern.replace("'", "''")
+        skip, width = inner.get(k, ("0", "length(m)"))
+        parts.append(f"""SELECT rid, '{k}' AS kind, {ORDER[k]} AS o, before + skip AS a, before + skip + width AS b FROM (
+  SELECT rid, m, {skip} AS skip, {width} AS width, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS before
+  FROM (SELECT rid, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS pieces FROM d) WHERE len(ms) > 0)) WHERE {fine[k]}""")
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)},
+  string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, o) FILTER (WHERE kind IN ({base})) AS base, string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, o) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text; all columns stay, n_chars follows the new text."""
     kept = [c for c in docs.columns if c != "text"]

@@ -98,7 +98,7 @@ def recurring_anchors(docs: DataFrame, window: int, phrase: int) -> tuple[DataFr
                 table = pa.Table.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(rows), batch.column("rk").take(rows)], schema=schema)
                 yield from table.to_batches(max_chunksize=100_000)
 
-    met = docs.mapInArrow(run, "anchor long, doc_id long, rk long")
+    met = stored(docs.mapInArrow(run, "anchor long, doc_id long, rk long"))
     low = met.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low")
     return low, met
 
