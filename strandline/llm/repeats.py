@@ -75,6 +75,11 @@ def window_least(g: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(m[: len(g) - size + 1], m[rest:]) if rest else m
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, which rises and isn't empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def anchors_of(h: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Phrase hashes by position and, for each window, the least of its phrases' hashes."""
     g = gram_hashes(h, phrase)
@@ -119,7 +124,7 @@ def locate(docs: DataFrame, phrases: DataFrame, parts: int, window: int, phrase:
                 continue
             h = hashes(w)
             g, least = anchors_of(h, window, phrase)
-            for p in np.flatnonzero(np.isin(g, anchors)).tolist():
+            for p in np.flatnonzero(among(g, anchors)).tolist():
                 if (key := int(g[p])) not in seen:
                     seen.add(key)
                     automaton.add_word(f" {b' '.join(w[p : p + phrase]).decode('utf-8', 'surrogatepass')} ", key)
@@ -132,7 +137,7 @@ def locate(docs: DataFrame, phrases: DataFrame, parts: int, window: int, phrase:
             keys = {key for _, key in automaton.iter(text)}
             if not keys:
                 continue
-            starts = np.flatnonzero(np.isin(least, np.fromiter(keys, np.uint64, len(keys))))
+            starts = np.flatnonzero(among(least, np.sort(np.fromiter(keys, np.uint64, len(keys)))))
             if not starts.size:
                 continue
             wh = gram_hashes(h, window)[starts].view(np.int64)
