@@ -1 +1 @@
-
+"""Datasets, parsers and sinks."""
