@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share; a temporary one only where none is named."""
-    at = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
-    if not at:
-        at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        shared_dir.own = at
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives
-    executors, is column-pruned by later reads and is deleted when the session's JVM ends."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
+from strandline.storage import stored  # noqa: F401  the operators here take it from this module
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
