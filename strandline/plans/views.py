@@ -49,7 +49,7 @@ def wide_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.floor(F.col("l_orderkey") / 64).alias("row"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % 96).alias("col")).distinct()
 
 
-WIDE_MASK = "wide_mask AS (SELECT DISTINCT l_orderkey // 64 AS row, (l_orderkey * 7 + l_linenumber * 3) % 96 AS col FROM lineitem WHERE l_linenumber <= 2)"
+WIDE_MASK = "wide_mask AS (SELECT DISTINCT l_orderkey // 64 AS row, (l_orderkey * 7 + l_linenumber * 3) % 96 AS col FROM lineitem WHERE l_linenumber = 1)"
 
 
 def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
