@@ -26,7 +26,7 @@ def stored(df: DataFrame) -> DataFrame:
     executors, is column-pruned by later reads and is deleted when the session's JVM ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
