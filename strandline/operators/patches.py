@@ -85,6 +85,6 @@ def fill_polygon(rings: DataFrame, keys: list[str]) -> DataFrame:
     rows = sides.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     cross = F.col("x1") + (F.col("row") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     lines = rows.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(cross)).alias("xs"))
-    runs = F.explode(F.transform(F.sequence(F.lit(0), F.size("xs") / 2 - 1), lambda i: F.struct(F.get("xs", (2 * i).cast("int")).alias("a"), F.get("xs", (2 * i + 1).cast("int")).alias("b")))).alias("r")
+    runs = F.explode(F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", (2 * i).cast("int")).alias("a"), F.get("xs", (2 * i + 1).cast("int")).alias("b")))).alias("r")
     a, b = F.ceil(F.col("r.a") - 0.5), F.ceil(F.col("r.b") - 0.5) - 1
     return lines.where("size(xs) >= 2").select(*keys, "row", runs).select(*keys, "row", F.explode(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))).alias("col")).distinct()

@@ -147,7 +147,7 @@ def test_map_files(spark, tmp_path):
     got = {r.map_file.rsplit("/", 1)[1]: r for r in map_files.parse(files).collect()}
     assert sorted(got) == ["a.map", "b.map"]
     a, b = got["a.map"], got["b.map"]
-    assert (a.gif_file, a.year, a.scale, a.index, a.datum, a.image_width) == ("a.gif", 1962, "2000", "P-2", "Pulkovo 1942", None)
+    assert (a.gif_file, a.year, a.scale, a["index"], a.datum, a.image_width) == ("a.gif", 1962, "2000", "P-2", "Pulkovo 1942", None)
     assert [tuple(p) for p in a.control_points] == [(1, 2, 60.5, 70.25)]
     assert {k: tuple(v) for k, v in a.corners.items()} == {1: (5, 6, None, None), 2: (None, None, 60.0, 70.0)}
     assert b.datum is None and b.control_points == [] and b.corners == {}
