@@ -320,6 +320,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_text.near_documents(docs_of(spark, [])).count() == 0
 
 
+def test_near_pairs_in_a_bucket_of_unlike_texts(spark):
+    rnd = random.Random(12)
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, texts, pairs = own(300), [], 60
+    for _ in range(pairs):
+        x = own(80)
+        y = list(x)
+        for at in rnd.sample(range(80), 12):
+            y[at] = own(1)[0]
+        texts += [" ".join(passage + x), " ".join(passage + y)]
+    group = {r.doc_id: r.group_id for r in near_text.near_documents(docs_of(spark, texts)).collect()}
+    assert group == {i: i - i % 2 for i in range(2 * pairs)}
+
+
 # 10 decontamination
 
 
