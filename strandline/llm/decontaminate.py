@@ -17,6 +17,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from strandline.llm.common import id_text, per_document, read
 
@@ -78,11 +79,14 @@ def hits(doc: list[bytes], bench: dict) -> tuple[list[tuple[int, int]], set[int]
 
 
 def blocks_of(benchmark: DataFrame, width: int, max_windows: int, id_col: str, text_col: str):
-    """The benchmark's items in blocks of bounded size, read partition by partition through the driver."""
+    """The benchmark's items that have words in blocks of bounded size, read partition by partition through the driver."""
     block, size = [], 0
     rows = benchmark.select(benchmark[id_col].cast("long"), benchmark[text_col]).where(F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
-        n = max(1, text.count(" ") - width)
+        n = len(words(text))
+        if not n:
+            continue
+        n = max(1, n - width + 1)
         if block and size + n > max_windows:
             yield block
             block, size = [], 0
@@ -98,12 +102,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ma
     spark = docs.sparkSession
     schema = "doc_id long, n_words long, ranges array<struct<start:long,end:long>>, items array<long>"
     base, parts = id_text(docs, id_col, text_col), []
-    blocks = list(blocks_of(benchmark, width, max_windows, item_col, "text"))
-    if len(blocks) > 1:
+    blocks = blocks_of(benchmark, width, max_windows, item_col, "text")
+    block, more = next(blocks), next(blocks, None)
+    several = more is not None
+    if several:
         from strandline.llm.common import stored
 
         base = stored(base.withColumn("_row", F.monotonically_increasing_id())).select("_row", "text", "doc_id")
-    for block in blocks:
+    while block is not None:
         sent = spark.sparkContext.broadcast(windows_of(block, width))
 
         def make(sent=sent):
@@ -121,7 +127,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ma
 
             return work
 
-        parts.append(per_document(base, make, schema + (", _doc long" if len(blocks) > 1 else "")))
+        parts.append(per_document(base, make, schema + (", _doc long" if several else "")))
+        block, more = more, next(blocks, None)
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -142,14 +149,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def without_ranges(text: str, bench: dict) -> str | None:
-    """The text without the words hit and what stands between them; null if most of its words are hit."""
-    raw = text.encode("utf-8", "surrogatepass")
-    spans = [m.span() for m in WORD.finditer(raw.lower())]
-    low = raw.lower()
-    ranges, _ = hits([low[a:b] for a, b in spans], bench)
+def cut(text: str, ranges: list[tuple[int, int]]) -> str | None:
+    """The text without the words in the merged ranges and what stands between them; null if they are most of its words."""
     if not ranges:
         return text
+    raw = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in WORD.finditer(raw.lower())]
     if sum(b - a for a, b in ranges) > MAX_SPAN_SHARE * len(spans):
         return None
     out, at = [], 0
@@ -159,26 +164,56 @@ def without_ranges(text: str, bench: dict) -> str | None:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def without_ranges(text: str, bench: dict) -> str | None:
+    """The text without the words hit, as `cut` does it."""
+    return cut(text, hits(words(text), bench)[0])
+
+
+def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without benchmark passages: their words are cut out of a text, and a document of which they
-    are over half goes. All columns stay; documents without hits stay as they are."""
+    are over half goes. All columns stay; documents without hits stay as they are. Each block adds its ranges on the
+    whole text in a column; the last one cuts and judges by those of all."""
     schema = docs.schema
-    for block in blocks_of(benchmark, width, max_windows, "item_id", "text"):
+    blocks = blocks_of(benchmark, width, max_windows, "item_id", "text")
+    block, first = next(blocks), True
+    while block is not None:
+        following = next(blocks, None)
         sent = docs.sparkSession.sparkContext.broadcast(windows_of(block, width))
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, first=first, last=following is None):
+            import numpy as np
             import pyarrow as pa
 
             bench = sent.value
             for batch in batches:
                 i = batch.schema.get_field_index("text")
                 texts = batch.column(i).to_pylist()
-                new = [without_ranges(t, bench) if t else t for t in texts]
+                ranges = [hits(words(t), bench)[0] for t in texts]
+                if not first:
+                    k = batch.schema.get_field_index("_ranges")
+                    before = [np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for x in batch.column(k).to_pylist()]
+                    ranges = [merged_ranges([*map(tuple, x), *r]) for x, r in zip(before, ranges, strict=True)]
+                    batch = batch.remove_column(k)
+                if not last:
+                    yield batch.append_column("_ranges", pa.array([np.array(r, "<i8").tobytes() for r in ranges], pa.binary()))
+                    continue
+                new = [cut(t, r) if t else t for t, r in zip(texts, ranges, strict=True)]
                 gone = [t is not None and x is None for t, x in zip(texts, new, strict=True)]
                 out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
                 yield out.filter(pa.array([not g for g in gone], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema if following is None else StructType([*schema.fields, StructField("_ranges", BinaryType())]))
+        block, first = following, False
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return docs

@@ -359,6 +359,19 @@ def test_benchmark_passages_go_and_clean_documents_stay(spark):
     assert all(r.ranges == [] for r in decontaminate.find_benchmark(docs_of(spark, texts), bench.limit(0)).collect())
 
 
+def test_blocks_are_cut_and_judged_together(spark):
+    rnd = random.Random(13)
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    w, u, x, y, split = own(27), own(20), own(40), own(40), own(18)
+    items = [w[:20], w[15:], split, u]
+    # overlapping items; two items that are over half together only; words that a cut makes neighbours
+    texts = [" ".join(t) for t in (x + w + y, w[:20] + x[:30] + u, x + split[:9] + w[:20] + split[9:] + y)]
+    bench = spark.createDataFrame([(i, " ".join(t), 1) for i, t in enumerate(items)], "item_id long, text string, n_words int")
+    for n in (10**6, 11):
+        out = {r.doc_id: r.text for r in decontaminate.remove_benchmark(docs_of(spark, texts), bench, max_windows=n).collect()}
+        assert {k: t.split() for k, t in out.items()} == {0: x + y, 2: x + split + y}
+
+
 # pipeline
 
 
