@@ -35,6 +35,16 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+(?=@)")
 IBAN = re.compile(r"[:\s]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of a country's account numbers, by the IBAN registry.
+IBAN_LENGTHS = {
+    int(n): frozenset(names.split())
+    for n, names in (x.split(":") for x in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH CR HR LI LV",
+        "22:BG BH DE GB GE IE ME RS", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR",
+        "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    ))
+}
+IBAN_LENGTH = {name: n for n, names in IBAN_LENGTHS.items() for name in names}
 SECRET = re.compile(r"[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/=.-]{8,})")
 
 
@@ -51,6 +61,18 @@ def iban_ok(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the account number at `start` ends, -1 without one; text[start:end] is the longest run of its characters.
+    It has its country's length; in a country not listed it ends at a space or at the run's end, as late as its check allows."""
+    places = [i for i in range(start, end) if text[i] != " "]
+    length = IBAN_LENGTH.get(text[start : start + 2])
+    if length:
+        ends = [places[length - 1] + 1] if len(places) >= length else []
+    else:
+        ends = [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]
+    return next((e for e in ends if len(text[start:e].replace(" ", "")) >= 15 and iban_ok(text[start:e])), -1)
+
+
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for c in string.digits:
@@ -102,8 +124,8 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
             if m := LOGIN.match(text, last + 1):
                 out.append((m.start(), m.end(), "login"))
         elif kind == "iban":
-            if (m := IBAN.match(text, last + 1)) and iban_ok(m[1]):
-                out.append((m.start(1), m.end(1), "iban"))
+            if (m := IBAN.match(text, last + 1)) and (end := iban_end(text, m.start(1), m.end(1))) > 0:
+                out.append((m.start(1), end, "iban"))
         elif i >= secret_at and (m := SECRET.match(text, last + 1)):
             secret_at = m.end()
             if any(c in string.digits for c in m[1]):

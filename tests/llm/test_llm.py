@@ -216,6 +216,14 @@ def test_base_spans_equal_the_patterns():
         assert got == [(a, b, name) for a, _, b, name in brute_spans(text)], text
 
 
+def test_account_numbers_before_more_words():
+    found = lambda t: [t[a:b] for a, b, k in pii.find(t, pii.anchors()) if k == "iban"]
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+        for after in ("", " Bank", " BIC COBADEFF", " 12 items", ".", " and"):
+            assert found(f"IBAN {number}{after}") == [number], (number, after)
+    assert found("IBAN DE89370400440532013001 Bank") == [] and found("IBAN DE8937040044053201300") == []
+
+
 def test_redaction_and_odd_input(spark):
     docs = docs_of(spark, [*ODD, 'mail me@x.org, token = "abcdefgh1234", http://u:pw1@h.org/ IBAN GB82 WEST 1234 5698 7654 32'])
     out = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
