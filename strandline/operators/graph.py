@@ -11,11 +11,16 @@ from strandline.storage import stored
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for all nodes of links (a, b), longs.
 
-    Every step takes the least label among neighbours and then the label of that label, so the number of
-    steps grows with the logarithm of the longest path. Tables are written between steps: hubs and large
-    components then meet plain shuffles, whose hot partitions Spark splits. Nulls and self-links are
-    ignored; links may repeat; no links give no rows."""
-    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    First a node with several smaller neighbours keeps its link to the least of them, and the others are linked to that
+    one instead; nodes that share neighbours so share links, and few more links than nodes are left. Then every step takes
+    the least label among neighbours and then the label of that label, so the number of steps grows with the logarithm of
+    the longest path. Tables are written between steps: hubs and large components then meet plain shuffles, whose hot
+    partitions Spark splits. Nulls and self-links are ignored; links may repeat; no links give no rows."""
+    links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = stored(links.distinct())
+    least = stored(links.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
+    turned = links.join(least.where("n > 1").select("a", "least"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    links = least.select("a", F.col("least").alias("b")).unionByName(turned)
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
