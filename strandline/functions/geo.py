@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ KM_PER_DEGREE = 111.32
 KRASSOVSKY = (6378245.0, 1 / 298.3)
 WGS84 = (6378137.0, 1 / 298.257223563)
 PULKOVO_TO_WGS84 = (23.92, -141.27, -80.9, 0.0, -0.35, -0.82, -0.12)
+#: The same from Pulkovo 1942(83), in the same sense of rotation.
+PULKOVO83_TO_WGS84 = (24.0, -123.0, -94.0, -0.02, 0.25, 0.13, 1.1)
+TO_WGS84 = {4284: PULKOVO_TO_WGS84, 4179: PULKOVO83_TO_WGS84}
+UTM_SCALE, UTM_EASTING, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
 MERCATOR_RADIUS = 6378137.0
 
 
@@ -37,8 +43,6 @@ def ordered_bbox(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    import math
-
     return MERCATOR_RADIUS * F.radians(lon), MERCATOR_RADIUS * F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2))
 
 
@@ -46,18 +50,16 @@ def degrees_minutes(degrees: Column, minutes: Column) -> Column:
     return degrees + minutes / 60
 
 
-def to_wgs84(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Longitude and latitude on WGS84 of a point on Pulkovo 1942: to earth-centred axes on one ellipsoid, a
+def to_wgs84(lon: Column, lat: Column, code: int = 4284) -> tuple[Column, Column]:
+    """Longitude and latitude on WGS84 of a point on Pulkovo 1942, or the datum of another code with parameters: to earth-centred axes on one ellipsoid, a
     seven-parameter shift, and back on the other. The way back is a closed approximation, good to micrometres at
     the surface."""
-    import math
-
     a, f = KRASSOVSKY
     e2 = f * (2 - f)
     phi, lam = F.radians(lat), F.radians(lon)
     n = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
     x, y, z = n * F.cos(phi) * F.cos(lam), n * F.cos(phi) * F.sin(lam), n * (1 - e2) * F.sin(phi)
-    dx, dy, dz, rx, ry, rz, ppm = PULKOVO_TO_WGS84
+    dx, dy, dz, rx, ry, rz, ppm = TO_WGS84[code]
     rx, ry, rz = (math.radians(r / 3600) for r in (rx, ry, rz))
     s = 1 + ppm * 1e-6
     u, v, w = dx + s * (x + rz * y - ry * z), dy + s * (-rz * x + y + rx * z), dz + s * (ry * x - rx * y + z)
@@ -69,6 +71,26 @@ def to_wgs84(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan2(v, u)), F.degrees(back)
 
 
+def ring_to_wgs84(ring: Column, code: Column) -> Column:
+    """A ring on the datum of each row's code, point by point as to_wgs84 does it; NULL for codes without parameters. One
+    small step after the other, so that the plan stays as small as the formulas."""
+    a, f = KRASSOVSKY
+    e2 = f * (2 - f)
+    chosen = F.coalesce(*[F.when(code == k, F.array(*[F.lit(float(x)) for x in (*v[:3], *(math.radians(r / 3600) for r in v[3:6]), 1 + v[6] * 1e-6)])) for k, v in TO_WGS84.items()])
+    dx, dy, dz, rx, ry, rz, s = (F.get(chosen, F.lit(i)) for i in range(7))
+    of = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    at = F.transform(ring, lambda p: of(sin=F.sin(F.radians(p["y"])), cos=F.cos(F.radians(p["y"])), lam=F.radians(p["x"])))
+    at = F.transform(at, lambda p: of(sin=p["sin"], cos=p["cos"], lam=p["lam"], n=a / F.sqrt(1 - e2 * p["sin"] * p["sin"])))
+    at = F.transform(at, lambda p: of(x=p["n"] * p["cos"] * F.cos(p["lam"]), y=p["n"] * p["cos"] * F.sin(p["lam"]), z=p["n"] * (1 - e2) * p["sin"]))
+    at = F.transform(at, lambda p: of(u=dx + s * (p["x"] + rz * p["y"] - ry * p["z"]), v=dy + s * (-rz * p["x"] + p["y"] + rx * p["z"]), w=dz + s * (ry * p["x"] - rx * p["y"] + p["z"])))
+    a, f = WGS84
+    e2, b = f * (2 - f), a * (1 - f)
+    at = F.transform(at, lambda p: of(lam=F.atan2(p["v"], p["u"]), w=p["w"], p=F.hypot(p["u"], p["v"])))
+    at = F.transform(at, lambda p: of(lam=p["lam"], w=p["w"], p=p["p"], th=F.atan2(p["w"] * a, p["p"] * b)))
+    back = lambda p: F.atan2(p["w"] + (a * a - b * b) / b * F.pow(F.sin(p["th"]), 3), p["p"] - e2 * a * F.pow(F.cos(p["th"]), 3))
+    return F.when(chosen.isNotNull(), F.transform(at, lambda p: of(x=F.degrees(p["lam"]), y=F.degrees(back(p)))))
+
+
 def ring_area(ring: Column) -> Column:
     """Absolute shoelace area of a closed ring."""
     total = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda acc, i: acc + ring[i - 1]["x"] * ring[i]["y"] - ring[i]["x"] * ring[i - 1]["y"])
@@ -84,14 +106,49 @@ def grid_size(low: Column, high: Column, resolution: float) -> Column:
     return F.greatest(F.lit(1), F.bround((high - low) / resolution).cast("int"))
 
 
+def pixel_centre(row: Column, col: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """x and y of a pixel's centre on the affine's plane."""
+    a, b, c, d, e, f = map(float, affine)
+    return a * (col + 0.5) + b * (row + 0.5) + c, d * (col + 0.5) + e * (row + 0.5) + f
+
+
+def area_units(m2: Column) -> tuple[Column, Column]:
+    """Square kilometres and hectares."""
+    return m2 / 1e6, m2 / 1e4
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) % 60 + 1).cast("int")
 
 
+def utm_series() -> tuple[float, tuple[float, ...]]:
+    """Radius of the rectifying circle and the coefficients of the transverse projection, by the third flattening to its
+    fourth power: good to micrometres within a zone."""
+    a, f = WGS84
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    return radius, alpha
+
+
+def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres on a zone's transverse Mercator plane, WGS84; southern points get the false northing."""
+    radius, alpha = utm_series()
+    f = WGS84[1]
+    e = math.sqrt(f * (2 - f))
+    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for k, c in enumerate(alpha, 1):
+        x = x + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        y = y + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    scale = UTM_SCALE * radius
+    return UTM_EASTING + scale * x, F.when(lat < 0, UTM_SOUTH).otherwise(0.0) + scale * y
+
+
 def tile_xy(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     """Column and row of the map tile that holds a point."""
-    import math
-
     n = 1 << zoom
     x = F.floor((lon + 180) / 360 * n)
     y = F.floor((1 - F.ln(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import geo
+
 #: Datum names as catalogues write them, with the status and code each stands for.
 DATUMS = (
-    ("wgs 84", "native_wgs84", 4326),
     ("wgs84", "native_wgs84", 4326),
+    ("wgs 84", "native_wgs84", 4326),
+    ("wgs_84", "native_wgs84", 4326),
     ("pulkovo 1942", "shifted", 4284),
-    ("pulkovo 1942 (1)", "shifted", 4284),
     ("pulkovo 1942 (2)", "shifted", 4284),
     ("pulkovo 1942(83)", "shifted", 4179),
 )
@@ -60,6 +62,36 @@ def corner_ring(corners: Column) -> Column:
     return F.when(F.size(points) >= 3, F.concat(points, F.slice(points, 1, 1)))
 
 
+def points_to_wgs84(points: Column, code: int = 4284) -> Column:
+    """map<key, struct<x, y, lat, lon>> with lat and lon moved to WGS84; points without them keep none."""
+
+    def moved(_key: Column, p: Column) -> Column:
+        lon, lat = geo.to_wgs84(p["lon"], p["lat"], code)
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), lat.alias("lat"), lon.alias("lon"))
+
+    return F.transform_values(points, moved)
+
+
+def four_corners(corners: str = "corners") -> Column:
+    """Sheets whose record names all four corners."""
+    return F.size(F.col(corners)) >= 4
+
+
+def normalised_footprints(sheets: DataFrame, datum: str = "datum", corners: str = "corners") -> DataFrame:
+    """Sheets on WGS84: datum_status, epsg, ring, xmin, ymin, xmax, ymax and shift_m, how far the first corner moved. Corners
+    on a known other datum are shifted one by one. Those on a datum without parameters stay where they are and are marked
+    as not known. Sheets of fewer than three usable corners go."""
+    known = resolve_datum(sheets, datum)
+    status, moved = F.col("datum_status"), (F.col("datum_status") == "shifted") & F.col("epsg").isin(*geo.TO_WGS84)
+    known = known.withColumn("datum_status", F.when((status == "shifted") & ~moved, "unknown_fallback").otherwise(status))
+    # explode as a fence: each ring is made once, not once for every column that comes from it
+    known = known.select("*", F.explode(F.array_compact(F.array(corner_ring(F.col(corners))))).alias("_raw"))
+    placed = known.select("*", F.explode(F.array(F.when(moved, geo.ring_to_wgs84(F.col("_raw"), F.col("epsg"))).otherwise(F.col("_raw")))).alias("ring"))
+    x0, y0, x1, y1 = ring_bounds(F.col("ring"))
+    a, b = F.get("_raw", F.lit(0)), F.get("ring", F.lit(0))
+    return placed.withColumns({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1, "shift_m": geo.shift_metres(a["x"], a["y"], b["x"], b["y"])}).drop("_raw")
+
+
 def ring_bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
@@ -93,6 +125,30 @@ def acceptance(sheets: DataFrame, least_shift: float = 1.0) -> DataFrame:
     )
 
 
+def year_histogram(sheets: DataFrame, n_bins: int = 30, year: str = "year") -> DataFrame:
+    """bin (1..n_bins), n: equal bins from the first year to the last, the last bin closed; missing years don't count."""
+    y = F.col(year)
+    ends = sheets.agg(F.min(y).alias("lo"), F.max(y).alias("hi"))
+    at = F.when(y == F.col("hi"), n_bins).otherwise(F.floor((y - F.col("lo")) * n_bins / (F.col("hi") - F.col("lo"))).cast("int") + 1)
+    return sheets.where(y.isNotNull()).join(F.broadcast(ends)).select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, n_missing, n_distinct, least, largest of each column, in one pass; values as text."""
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(F.col(c)).alias("n_distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("largest")) for c in columns]
+    return df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def by_year(sheets: DataFrame, missing_first: bool = False) -> DataFrame:
+    """Sheets in the order of their years, then names; missing years last, or first as year 0."""
+    return sheets.orderBy(F.coalesce("year", F.lit(0)) if missing_first else F.asc_nulls_last("year"), "map_file")
+
+
+def outcome_counts(manifest: DataFrame, status: str = "status") -> DataFrame:
+    """One row: n_ok, n_failed of a batch."""
+    return manifest.agg(F.count_if(F.col(status) == "ok").alias("n_ok"), F.count_if(F.col(status).isNull() | (F.col(status) != "ok")).alias("n_failed"))
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(c) for c in columns])
 

@@ -14,8 +14,11 @@ def clear_fractions(pixels: DataFrame, sensor: str = "landsat", keys: tuple[str,
     return pixels.groupBy(*keys).agg(F.avg(is_clear.cast("double")).alias("clear_fraction"), F.count(F.lit(1)).alias("n_pixels"))
 
 
-def usable_pixels(pixels: DataFrame, bands: list[str], sensor: str = "landsat", scale: float = 1.0, offset: float = 0.0, min_clear: float = raster.MIN_CLEAR) -> DataFrame:
-    """Reflectances, NULL where not clear or not valid; scenes below the least clear fraction go."""
+def usable_pixels(pixels: DataFrame, bands: list[str], sensor: str = "landsat", scale: float | None = None, offset: float | None = None, min_clear: float = raster.MIN_CLEAR) -> DataFrame:
+    """Reflectances, NULL where not clear or not valid; scenes below the least clear fraction go. Without scale and offset
+    the bands are digital numbers of the sensor."""
+    own = raster.sensor_scale(sensor)
+    scale, offset = own[0] if scale is None else scale, own[1] if offset is None else offset
     scenes = clear_fractions(pixels, sensor).where(F.col("clear_fraction") >= min_clear).select("scene")
     is_clear = F.coalesce(raster.clear(F.col("qa"), sensor), F.lit(False))
     return pixels.join(scenes, "scene", "left_semi").withColumns({b: raster.reflectance(F.col(b), is_clear, scale, offset) for b in bands})
@@ -28,6 +31,17 @@ def median_composite(pixels: DataFrame, bands: list[str], keys: tuple[str, ...]
     return usable.groupBy(*keys).agg(*[F.median(b).alias(b) for b in bands], F.count_distinct(F.when(some.isNotNull(), F.col("scene"))).alias("n_scenes"))
 
 
+def required_scenes(pixels: DataFrame, sensor: str = "landsat", min_clear: float = raster.MIN_CLEAR) -> DataFrame:
+    """scene, clear_fraction of the scenes that a composite takes; without any scene, or none that is clear enough, an error."""
+    found = clear_fractions(pixels, sensor)
+    n = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("clear_fraction") >= min_clear).alias("clear")).first()
+    if not n["n"]:
+        raise ValueError("no scenes in the range")
+    if not n["clear"]:
+        raise ValueError(f"none of {n['n']} scenes is clear in {min_clear:.0%} of its pixels")
+    return found.where(F.col("clear_fraction") >= min_clear).select("scene", "clear_fraction")
+
+
 def with_water(composite: DataFrame, threshold: float = 0.0, index: str = "mndwi") -> DataFrame:
     """The composite with its water index and mask; anything but 'mndwi' means ndwi."""
     value = raster.mndwi(F.col("green"), F.col("swir")) if index == "mndwi" else raster.ndwi(F.col("green"), F.col("nir"))
@@ -35,7 +49,8 @@ def with_water(composite: DataFrame, threshold: float = 0.0, index: str = "mndwi
 
 
 def search(scenes: DataFrame, bbox: tuple[float, float, float, float], start, end, sensor: str, max_cloud: float = 20.0, limit: int | None = 25) -> DataFrame:
-    """Scenes of a sensor that meet a box and a range of dates with less cloud than asked, least cloudy first."""
+    """Scenes of a sensor that meet a box and a range of dates with less cloud than asked, least cloudy first, of which the
+    first `limit` are taken, so that a limit keeps the clearest ones."""
     west, south, east, north = bbox
     found = scenes.where((F.col("sensor") == sensor) & F.col("dt").between(F.lit(start), F.lit(end)) & (F.col("cloud") < max_cloud) & (F.col("xmin") <= east) & (F.col("xmax") >= west) & (F.col("ymin") <= north) & (F.col("ymax") >= south))
     found = found.orderBy(F.coalesce("cloud", F.lit(100.0)), "scene_id")

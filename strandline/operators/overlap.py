@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import geo
+from strandline.operators.graph import components
+from strandline.storage import stored
+
 
 def _cells(size: float) -> Column:
     def span(lo: str, hi: str) -> Column:
@@ -33,16 +37,43 @@ def overlap_sets(cells: DataFrame, footprints: DataFrame, size: float = 1.0, tou
     return cells.join(sets, cells["id"] == F.col("left_id"), "left").select(cells["id"], F.coalesce("layers", F.array().cast("array<string>")).alias("layers"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("overlap_count", F.lit(0)).alias("overlap_count"))
 
 
+def fragments(footprints: DataFrame, size: float = 1.0) -> DataFrame:
+    """gx, gy, x0, x1, y0, y1, n, cover: pieces of grid squares with how many footprints cover each and a name of that set.
+    A square is cut into strips at the sides that stand in it; along a strip the set changes where footprints begin and
+    end, so it comes from running sums, and no piece is compared with all footprints."""
+    c = F.col
+    box = footprints.groupBy("xmin", "ymin", "xmax", "ymax").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("s")).where("xmin < xmax and ymin < ymax")
+    ends = [f(a, b * size).alias(n) for f, a, b, n in ((F.greatest, c("xmin"), c("g.gx"), "x0"), (F.greatest, c("ymin"), c("g.gy"), "y0"), (F.least, c("xmax"), c("g.gx") + 1, "x1"), (F.least, c("ymax"), c("g.gy") + 1, "y1"))]
+    parts = box.select("k", "s", "xmin", "ymin", "xmax", "ymax", _cells(size)).select("k", "s", "g.gx", "g.gy", *ends).where("x0 < x1 and y0 < y1")
+    parts = parts.groupBy("gx", "gy", "x0", "x1", "y0", "y1").agg(F.sum("k").alias("k"), F.bit_xor("s").alias("s"))
+    square = Window.partitionBy("gx", "gy").orderBy("lo")
+    strips = parts.select("gx", "gy", F.explode(F.array("x0", "x1")).alias("lo")).distinct().withColumn("hi", F.lead("lo").over(square)).where("hi is not null")
+    turns = F.explode(F.array(F.struct(c("y0").alias("y"), c("k")), F.struct(c("y1").alias("y"), (-c("k")).alias("k")))).alias("t")
+    events = parts.join(strips, ["gx", "gy"]).where("x0 <= lo and x1 >= hi").select("gx", "gy", "lo", "hi", "s", turns).groupBy("gx", "gy", "lo", "hi", c("t.y").alias("y0")).agg(F.sum("t.k").alias("k"), F.bit_xor("s").alias("s"))
+    along = Window.partitionBy("gx", "gy", "lo").orderBy("y0")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = events.select("gx", "gy", c("lo").alias("x0"), c("hi").alias("x1"), "y0", F.lead("y0").over(along).alias("y1"), F.sum("k").over(so_far).alias("n"), F.bit_xor("s").over(so_far).alias("cover"))
+    return found.where("n > 0")
+
+
 def atomic_cells(footprints: DataFrame, size: float = 1.0, min_area: float = 0.0) -> DataFrame:
-    """xmin, ymin, xmax, ymax, n: the pieces into which the footprints' sides cut each other, with how many
-    footprints cover each. Cuts are local: every grid square is cut by the sides that cross it and by its own,
-    so no list of all cuts exists anywhere, and a piece never reaches over a square's side."""
+    """cell, xmin, ymin, xmax, ymax, area_m2 (on the Mercator plane), overlap_count, layers, files: the regions into which the
+    footprints' sides cut each other, each covered by one set of footprints. Fragments of grid squares that meet along a
+    side and have the same cover are one cell, so neither cells nor areas depend on `size`. Footprints that only touch a
+    cell don't count. footprints: id, layer, file and the box in degrees."""
     c = F.col
-    parts = footprints.select("id", "xmin", "ymin", "xmax", "ymax", _cells(size)).select("id", "g.gx", "g.gy", *[f(a, b * size).alias(n) for f, a, b, n in ((F.greatest, c("xmin"), c("g.gx"), "x0"), (F.greatest, c("ymin"), c("g.gy"), "y0"), (F.least, c("xmax"), c("g.gx") + 1, "x1"), (F.least, c("ymax"), c("g.gy") + 1, "y1"))]).where("x0 < x1 and y0 < y1")
-    cuts = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.collect_set(a), F.collect_set(b))))
-    grid = parts.groupBy("gx", "gy").agg(cuts("x0", "x1").alias("xs"), cuts("y0", "y1").alias("ys"))
-    pairs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.struct(F.get(v, i - 1).alias("lo"), F.get(v, i).alias("hi")))
-    pieces = grid.where("size(xs) > 1 and size(ys) > 1").select("gx", "gy", F.explode(pairs(c("xs"))).alias("x"), "ys").select("gx", "gy", "x", F.explode(pairs(c("ys"))).alias("y"))
-    covered = pieces.join(parts, ["gx", "gy"]).where((c("x0") <= c("x.lo")) & (c("x1") >= c("x.hi")) & (c("y0") <= c("y.lo")) & (c("y1") >= c("y.hi")))
-    found = covered.groupBy(c("x.lo").alias("xmin"), c("y.lo").alias("ymin"), c("x.hi").alias("xmax"), c("y.hi").alias("ymax")).agg(F.count_distinct("id").alias("n"))
-    return found.where((c("xmax") - c("xmin")) * (c("ymax") - c("ymin")) > min_area)
+    pieces = stored(fragments(footprints, size).withColumn("piece", F.monotonically_increasing_id()))
+    a, b = (pieces.select(*[c(x).alias(f"{k}_{x}") for x in pieces.columns]) for k in "ab")
+    beside = a.join(b, (c("a_gy") == c("b_gy")) & (c("a_x1") == c("b_x0")) & (c("a_cover") == c("b_cover"))).where("a_y0 < b_y1 and b_y0 < a_y1")
+    above = a.join(b, (c("a_gx") == c("b_gx")) & (c("a_gy") + 1 == c("b_gy")) & (c("a_y1") == c("b_y0")) & (c("a_cover") == c("b_cover"))).where("a_x0 < b_x1 and b_x0 < a_x1")
+    links = beside.unionByName(above).select(c("a_piece").alias("a"), c("b_piece").alias("b"))
+    mercator = lambda y: geo.mercator(F.lit(0.0), y)[1]
+    area = F.sum(geo.MERCATOR_RADIUS * F.radians(c("x1") - c("x0")) * (mercator(c("y1")) - mercator(c("y0"))))
+    named = pieces.join(components(links), c("piece") == c("node"), "left").withColumn("cell", F.coalesce("component", "piece"))
+    inside = F.min_by(F.struct("gx", "gy", ((c("x0") + c("x1")) / 2).alias("x"), ((c("y0") + c("y1")) / 2).alias("y")), F.struct("x0", "y0")).alias("at")
+    cells = named.groupBy("cell").agg(F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"), area.alias("area_m2"), F.first("n").alias("overlap_count"), inside)
+    cells = stored(cells.where(c("area_m2") > min_area))
+    over = footprints.select("layer", "file", c("xmin").alias("l"), c("ymin").alias("b"), c("xmax").alias("r"), c("ymax").alias("t"), _cells(size)).select("layer", "file", "l", "b", "r", "t", "g.gx", "g.gy")
+    points = cells.select("cell", "at.*")
+    sets = points.join(over, ["gx", "gy"]).where("l < x and x < r and b < y and y < t").groupBy("cell").agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_set("file")).alias("files"))
+    return cells.drop("at").join(sets, "cell")

@@ -39,20 +39,20 @@ def _around(size: int) -> Column:
     return F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr in range(-k, k + 1) for dc in range(-k, k + 1)])).alias("to")
 
 
-def dilate(mask: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
+def dilate(mask: DataFrame, size: int = 3, times: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
     """Square of the given side, as many times as asked in one step (a square grows to a larger square)."""
-    return mask.select(_around(1 + times * (size - 1))).select("to.row", "to.col").distinct()
+    return mask.select(*keys, _around(1 + times * (size - 1))).select(*keys, "to.row", "to.col").distinct()
 
 
-def erode(mask: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
+def erode(mask: DataFrame, size: int = 3, times: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pixels whose whole square is in the mask; outside the image counts as in it only if the mask says so."""
     side = 1 + times * (size - 1)
-    pixels = mask.select("row", "col").distinct()
-    return pixels.select(_around(side)).select("to.row", "to.col").groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side * side).select("row", "col")
+    pixels = mask.select(*keys, "row", "col").distinct()
+    return pixels.select(*keys, _around(side)).select(*keys, "to.row", "to.col").groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side * side).select(*keys, "row", "col")
 
 
-def morph_open(mask: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
-    return dilate(erode(mask, size, times), size, times)
+def morph_open(mask: DataFrame, size: int = 3, times: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    return dilate(erode(mask, size, times, keys), size, times, keys)
 
 
 def mean_iou(pixels: DataFrame, truth: str, predicted: str, keys: tuple[str, ...] = ("image",), classes: tuple[int, ...] = (0, 1)) -> DataFrame:
@@ -64,6 +64,34 @@ def mean_iou(pixels: DataFrame, truth: str, predicted: str, keys: tuple[str, ...
     return scores.select(*keys, (F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)).alias("iou"))
 
 
+def mean_over_images(scores: DataFrame, iou: str = "iou") -> DataFrame:
+    """One row: n_images, mean_iou over the images whose score is not 1, which are those without anything to find."""
+    some = F.when(F.col(iou) != 1.0, F.col(iou))
+    return scores.agg(F.count(some).alias("n_images"), F.avg(some).alias("mean_iou"))
+
+
+def value_counts(patches: DataFrame, value: str, keys: tuple[str, ...] = ("pi", "pj")) -> DataFrame:
+    """keys, value, n: how often each label stands in each patch."""
+    return patches.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired(images: DataFrame, masks: DataFrame, name: str = "name") -> DataFrame:
+    """Patches of images with the masks of the same name; those without a partner go. Other columns of masks get `mask_`."""
+    return images.join(masks.select(name, *[F.col(c).alias(f"mask_{c}") for c in masks.columns if c != name]), name)
+
+
+def unit_range(pixels: DataFrame, bands: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Bands of images (keys) that reach over 1 divided by 255."""
+    top = pixels.groupBy(*keys).agg(F.max(F.greatest(*bands) if len(bands) > 1 else F.col(bands[0])).alias("_top"))
+    return pixels.join(top, list(keys)).withColumns({b: F.when(F.col("_top") > 1, F.col(b) / 255).otherwise(F.col(b)) for b in bands}).drop("_top")
+
+
+def crop(pixels: DataFrame, row0: int, col0: int, row1: int, col1: int) -> DataFrame:
+    """Pixels of rows row0 to row1 and columns col0 to col1, ends exclusive, numbered anew from 0."""
+    inside = pixels.where((F.col("row") >= row0) & (F.col("row") < row1) & (F.col("col") >= col0) & (F.col("col") < col1))
+    return inside.withColumns({"row": F.col("row") - row0, "col": F.col("col") - col0})
+
+
 def hash_split(df: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
     """Adds split: rows go by the md5 of their key, the same way on every engine and run."""
     at = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0

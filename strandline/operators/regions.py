@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import geo
 from strandline.operators.graph import components
 from strandline.storage import stored
 
@@ -89,14 +90,39 @@ def outline(pixels: DataFrame, keys: list[str], affine: tuple[float, float, floa
     return free.select(*keys, x("r1", "c1").alias("x1"), y("r1", "c1").alias("y1"), x("r2", "c2").alias("x2"), y("r2", "c2").alias("y2"))
 
 
-def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0)) -> DataFrame:
-    """keys, area, perimeter (holes count)."""
+def projected(sides: DataFrame) -> DataFrame:
+    """Sides given in degrees, in metres on the plane of the zone that holds the middle of them all, counted from that middle.
+    The extent is one row, so sending it to every task is bounded."""
+    ends = sides.agg(((F.min("x1") + F.max("x1")) / 2).alias("_lon"), ((F.min("y1") + F.max("y1")) / 2).alias("_lat"))
+    placed = sides.join(F.broadcast(ends))
+    zone = geo.utm_zone(F.col("_lon"))
+    x0, y0 = geo.utm(F.col("_lon"), F.col("_lat"), zone)
+    columns = {}
+    for k in "12":
+        x, y = geo.utm(F.col(f"x{k}"), F.col(f"y{k}"), zone)
+        columns |= {f"x{k}": x - x0, f"y{k}": y - y0}
+    return placed.withColumns(columns).drop("_lon", "_lat")
+
+
+def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False) -> DataFrame:
+    """keys, area, perimeter (holes count), in units of the affine's plane; in metres if the affine gives degrees."""
     keys = keys or ["label"]
     sides = outline(pixels, keys, affine)
+    sides = projected(sides) if degrees else sides
     cross = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     return sides.groupBy(*keys).agg(F.abs(F.sum(cross)).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
 
 
+def numbered(labels: DataFrame) -> DataFrame:
+    """label, number: regions numbered 1..n in the order of their first pixels. The numbers of a range of labels are counted
+    within it and start after those of the ranges before, so no task sees all labels."""
+    found = stored(labels.select("label").distinct().repartitionByRange("label").sortWithinPartitions("label").select("label", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    before = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    later = before.select(F.col("part").alias("earlier"), F.col("n").alias("m"))
+    starts = before.join(F.broadcast(later), F.col("earlier") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("first"))
+    return found.join(F.broadcast(starts), "part").select("label", (F.col("first") + F.col("at") + 1).alias("number"))
+
+
 def box_counts(edge: DataFrame, keys: list[str] | None = None, most_sizes: int = 8) -> DataFrame:
     """keys, size, boxes: boxes of side 2^k that hold a boundary pixel, anchored at the boundary's box, for sizes up
     to half of its shorter side; regions with few pixels or short sides have none."""
@@ -129,16 +155,45 @@ def histogram_by_edges(areas: DataFrame, edges: list[float], area: str = "area")
     return areas.where(a.between(edges[0], edges[-1])).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lake_metrics(labels: DataFrame, affine=(1, 0, 0, 0, 1, 0), min_area: float = 0.0, fractal_min_pixels: int = 400) -> DataFrame:
-    """label, area, perimeter, fractal_dimension (NULL for small or thin lakes)."""
-    shape = area_perimeter(labels, ["label"], affine)
+METRICS = ("size_distribution", "fractal_dimension")
+
+
+def lake_metrics(labels: DataFrame, affine=(1, 0, 0, 0, 1, 0), min_area: float = 0.0, fractal_min_pixels: int = 400, degrees: bool = False, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """label, area, perimeter and, if asked for, fractal_dimension (NULL for small or thin lakes)."""
+    if unknown := set(metrics) - set(METRICS):
+        raise ValueError(f"metrics are {', '.join(METRICS)}, not {', '.join(sorted(unknown))}")
+    shape = area_perimeter(labels, ["label"], affine, degrees)
     if min_area > 0:
         shape = shape.where(F.col("area") >= min_area)
+    if "fractal_dimension" not in metrics:
+        return shape
     large = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fractal_min_pixels).select("label")
     fractal = fractal_dimension(box_counts(boundary(labels.join(large, "label", "left_semi"), ["label"])))
     return shape.join(fractal, "label", "left")
 
 
+def lake_report(lakes: DataFrame, edges: list[float] | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row for all lakes of lake_metrics: lake_count, total_area and, if asked for, mean_fractal_dimension and
+    size_distribution, an array of (bin, n) over logarithmic bins or those between the given edges."""
+    lakes = stored(lakes)
+    out = lakes.agg(F.count(F.lit(1)).alias("lake_count"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("total_area"), *([F.avg("fractal_dimension").alias("mean_fractal_dimension")] if "fractal_dimension" in metrics else []))
+    if "size_distribution" in metrics:
+        bins = size_histogram(lakes) if edges is None else histogram_by_edges(lakes, edges)
+        out = out.join(F.broadcast(bins.agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("size_distribution"))))
+    return out
+
+
+def elongated(shapes: DataFrame, max_area: float, least: float = 1.0, most: float = 4.0) -> DataFrame:
+    """Shapes of `moments` under an area whose longer axis is `least` to `most` times the shorter one."""
+    ratio = F.try_divide("major_axis", "minor_axis")
+    return shapes.where((F.col("area_px") < max_area) & ratio.between(least, most))
+
+
+def with_metrics(features: DataFrame, lakes: DataFrame) -> DataFrame:
+    """Polygons or pixels by label with the lakes' measures; those without any stay."""
+    return features.join(lakes, "label", "left")
+
+
 def summary(lakes: DataFrame) -> DataFrame:
     """One row: lake_count, total_area, mean_fractal_dimension over lakes that have one."""
     return lakes.agg(F.count(F.lit(1)).alias("lake_count"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("total_area"), F.avg("fractal_dimension").alias("mean_fractal_dimension"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import geo
+
 CADENCES = ("annual", "monthly", "seasonal")
 MAX_STEPS = 600
 MAX_ROI_KM2 = 2500.0
 
 
 def parse_range(text: str) -> tuple[str, str]:
-    import datetime
-
     start, slash, end = text.partition("/")
     if not slash:
         raise ValueError(f"a range is two dates joined by '/', not {text!r}")
@@ -44,7 +47,26 @@ def windows(spark: SparkSession, start: str, end: str, cadence: str) -> DataFram
     return at.select(label.alias("label"), F.greatest("m", "a").alias("start"), F.least(F.date_add(F.add_months("m", months), -1), "b").alias("end"))
 
 
+def parse_bbox(text: str) -> tuple[float, float, float, float]:
+    """west, south, east, north from four numbers with commas between; anything else is an error."""
+    try:
+        west, south, east, north = map(float, text.split(","))
+    except ValueError:
+        raise ValueError(f"a box is four numbers with commas between, not {text!r}") from None
+    return west, south, east, north
+
+
+def bounded_area(bbox: tuple[float, float, float, float], most: float = MAX_ROI_KM2) -> float:
+    """The box's area in square kilometres; more than `most` is an error."""
+    west, south, east, north = bbox
+    km2 = abs(east - west) * geo.KM_PER_DEGREE * math.cos(math.radians((south + north) / 2)) * abs(north - south) * geo.KM_PER_DEGREE
+    if km2 > most:
+        raise ValueError(f"{km2:.0f} km2; at most {most:.0f} are allowed")
+    return km2
+
+
 def bounded_windows(spark: SparkSession, start: str, end: str, cadence: str, most: int = MAX_STEPS) -> DataFrame:
+    """The windows; more than `most` are an error."""
     found = windows(spark, start, end, cadence)
     if (n := found.count()) > most:
         raise ValueError(f"{n} steps; at most {most} are allowed")
@@ -52,9 +74,12 @@ def bounded_windows(spark: SparkSession, start: str, end: str, cadence: str, mos
 
 
 def in_windows(rows: DataFrame, slices: DataFrame, at: str = "dt") -> DataFrame:
-    """rows with the label, start and end of each window that holds their date. Windows are at most MAX_STEPS
-    rows, so they are sent to every task; overlapping windows give a row each."""
-    return rows.join(F.broadcast(slices), F.col(at).between(F.col("start"), F.col("end")))
+    """rows with the label, start and end of each window that holds their date; overlapping windows give a row each.
+    Windows are dealt into the months they touch and meet the rows by month, an equality join of which Spark broadcasts
+    the windows if they are few."""
+    months = slices.where("start <= end").select("label", "start", "end", F.explode(F.sequence(F.trunc("start", "MM"), F.trunc("end", "MM"), F.expr("interval 1 month"))).alias("_month"))
+    dated = rows.withColumn("_month", F.trunc(at, "MM"))
+    return dated.join(months, "_month").where(F.col(at).between(F.col("start"), F.col("end"))).drop("_month")
 
 
 def scenes_by_window(scenes: DataFrame, slices: DataFrame, max_cloud: float = 20.0) -> DataFrame:
@@ -65,8 +90,10 @@ def scenes_by_window(scenes: DataFrame, slices: DataFrame, max_cloud: float = 20
 
 
 def changes(series: DataFrame, value: str, label: str = "label") -> DataFrame:
-    """The series with the difference to the step before and to the first. A series has at most MAX_STEPS rows."""
-    from pyspark.sql import Window
-
+    """The series with the difference to the step before and to the first. A series has a row for each window, at most
+    MAX_STEPS; more are an error, as one task holds them."""
+    few = series.limit(MAX_STEPS + 1).count()
+    if few > MAX_STEPS:
+        raise ValueError(f"over {MAX_STEPS} steps in a series")
     w = Window.orderBy(label)
     return series.withColumns({"change": F.col(value) - F.lag(value).over(w), "since_first": F.col(value) - F.first(value).over(w)})

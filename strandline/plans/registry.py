@@ -17,7 +17,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 BANDS = ["green", "swir", "nir"]
 RANGE = ("1996-11-15", "1999-02-20")
-DENSE, SPARSE = 20, 8
 
 
 def query(sql: str):
@@ -39,7 +38,7 @@ comp AS (SELECT row, col, median(green) AS green, median(swir) AS swir, median(n
 
 
 def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composite.median_composite(views.scene_px(spark, sf_dir), BANDS)
+    return composite.median_composite(views.scene_px(spark, sf_dir), BANDS, scale=1.0, offset=0.0)
 
 
 @query(f"WITH {MASKED} SELECT row, col, round(green, 9) AS green, round(swir, 9) AS swir, round(nir, 9) AS nir, n_scenes FROM comp")
@@ -64,8 +63,7 @@ def mndwi(spark, sf_dir):
 
 @query(f"WITH {MASKED} SELECT row, col, {', '.join(f'coalesce(trunc(round(least(greatest({b} / 0.3::DOUBLE, 0), 1) ** 0.8::DOUBLE * 255, 6))::INT, 0) AS {b}' for b in BANDS)} FROM comp")
 def rgb_display(spark, sf_dir):
-    one = lambda b: F.coalesce(F.round(F.pow(F.least(F.greatest(F.col(b) / 0.3, F.lit(0.0)), F.lit(1.0)), F.lit(0.8)) * 255, 6).cast("int"), F.lit(0)).alias(b)
-    return _composite(spark, sf_dir).select("row", "col", *[one(b) for b in BANDS])
+    return _composite(spark, sf_dir).select("row", "col", *[raster.display8(F.col(b), 0.3, 0.8).alias(b) for b in BANDS])
 
 
 @query(f"WITH {MASKED} SELECT row, col, {', '.join(f'trunc(least(greatest(coalesce({b}, 0) * 10000, 0), 65535))::INT AS {b}' for b in BANDS)} FROM comp")
@@ -80,7 +78,7 @@ def scene_clear_fraction(spark, sf_dir):
 
 @query(f"WITH {MASKED} SELECT count(DISTINCT scene) AS n_scenes, count(green) AS n_green FROM px")
 def scenes_used(spark, sf_dir):
-    return composite.usable_pixels(views.scene_px(spark, sf_dir), BANDS).agg(F.count_distinct("scene").alias("n_scenes"), F.count("green").alias("n_green"))
+    return composite.usable_pixels(views.scene_px(spark, sf_dir), BANDS, scale=1.0, offset=0.0).agg(F.count_distinct("scene").alias("n_scenes"), F.count("green").alias("n_green"))
 
 
 @query(f"WITH {views.SCENE_PX}, e AS (SELECT scene, min(green) AS lo, max(green) AS hi FROM scene_px GROUP BY scene) SELECT scene, row, col, count(*) AS n, round(sum(coalesce(((green - lo) / nullif(hi - lo, 0)) ** 2, 0)), 6) AS green FROM scene_px JOIN e USING (scene) GROUP BY scene, row, col")
@@ -236,6 +234,36 @@ def gcp_dedupe(spark, sf_dir):
     return catalogue.control_points(points, ["map_file"]).groupBy("map_file").agg(F.count(F.lit(1)).alias("n"))
 
 
+NORMAL = f"""{CORNERS}, cn AS (SELECT map_file, corner, lon, lat FROM corners), {_helmert('lon', 'lat', 'cn')}, d AS (SELECT map_file, k % 3 AS kind FROM sheets), pt AS (SELECT moved.*, kind, CASE kind WHEN 0 THEN lon2 ELSE lon END AS px, CASE kind WHEN 0 THEN lat2 ELSE lat END AS py FROM moved JOIN d USING (map_file))"""
+
+
+@query(f"""WITH {NORMAL} SELECT map_file, CASE any_value(kind) WHEN 0 THEN 'shifted' WHEN 1 THEN 'native_wgs84' ELSE 'unknown_fallback' END AS datum_status, CASE any_value(kind) WHEN 0 THEN 4284 ELSE 4326 END AS epsg, round(min(px), 9) AS xmin, round(min(py), 9) AS ymin, round(max(px), 9) AS xmax, round(max(py), 9) AS ymax,
+round(max(CASE WHEN corner = 1 THEN sqrt(((px - lon) * 111320 * cos(radians(lat))) ** 2 + ((py - lat) * 111320) ** 2) END), 5) AS shift_m FROM pt GROUP BY map_file""")
+def footprints_normalised(spark, sf_dir):
+    found = catalogue.normalised_footprints(_sheets(spark, sf_dir))
+    return found.select("map_file", "datum_status", "epsg", r9("xmin"), r9("ymin"), r9("xmax"), r9("ymax"), r9("shift_m", digits=5))
+
+
+@query(f"WITH {views.SHEETS}, y AS (SELECT coalesce(year, path_year) AS y FROM sheets), e AS (SELECT min(y) AS lo, max(y) AS hi FROM y) SELECT CASE WHEN y = hi THEN 30 ELSE floor((y - lo) * 30 / (hi - lo))::INT + 1 END AS bin, count(*) AS n FROM y, e GROUP BY 1")
+def year_histogram(spark, sf_dir):
+    return catalogue.year_histogram(map_files.fill_missing(_sheets(spark, sf_dir)))
+
+
+@query(f"""WITH {views.SHEETS}, l AS (SELECT 'year' AS "column", year::VARCHAR AS v FROM sheets UNION ALL SELECT 'scale', scale FROM sheets) SELECT "column", count(v) AS n, count(*) - count(v) AS n_missing, count(DISTINCT v) AS n_distinct, min(v) AS least, max(v) AS largest FROM l GROUP BY 1""")
+def column_report(spark, sf_dir):
+    return catalogue.column_report(_sheets(spark, sf_dir), ["year", "scale"])
+
+
+@query("""WITH s AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'landsat' ELSE 'sentinel2' END AS sensor, l_partkey * 5 + 7000 AS dn, CASE WHEN l_linenumber % 2 = 1 THEN round(l_discount * 100)::INT ELSE (l_quantity % 11)::INT END AS qa FROM lineitem),
+r AS (SELECT sensor, CASE sensor WHEN 'landsat' THEN dn * 2.75e-5::DOUBLE - 0.2::DOUBLE ELSE dn * 1e-4::DOUBLE END AS v, CASE sensor WHEN 'landsat' THEN qa & 30 = 0 ELSE qa IN (4, 5, 6, 7) END AS clear FROM s)
+SELECT sensor, count(*) AS n, count(*) FILTER (WHERE clear AND v BETWEEN -0.1::DOUBLE AND 1.6::DOUBLE) AS n_valid, round(avg(v) FILTER (WHERE clear AND v BETWEEN -0.1::DOUBLE AND 1.6::DOUBLE), 6) AS mean FROM r GROUP BY sensor""")
+def reflectance_by_sensor(spark, sf_dir):
+    c, odd = F.col, F.col("l_linenumber") % 2 == 1
+    px = views.table(spark, sf_dir, "lineitem").select(F.when(odd, "landsat").otherwise("sentinel2").alias("sensor"), (c("l_partkey") * 5 + 7000).alias("dn"), F.when(odd, F.round(c("l_discount") * 100)).otherwise(c("l_quantity") % 11).cast("int").alias("qa"))
+    value = raster.by_sensor(c("dn"), c("qa"), c("sensor"))
+    return px.withColumn("v", value).groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_valid"), r9("mean", F.avg("v"), 6))
+
+
 A, B = RANGE
 WINDOWS = {
     "annual": f"w AS (SELECT y::VARCHAR AS label, try_cast(y || '-11-15' AS DATE) AS start, try_cast((y + 1) || '-02-20' AS DATE) AS \"end\" FROM range({A[:4]}, {int(B[:4]) + 1}) AS t(y))",
@@ -259,10 +287,10 @@ for _kind in WINDOWS:
     _cadence(_kind)
 
 
-@query(f"""WITH {WINDOWS['seasonal']}, s AS (SELECT l_shipdate::DATE AS dt, l_orderkey % 48 AS row, l_partkey % 64 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green FROM lineitem)
+@query(f"""WITH {WINDOWS['seasonal']}, s AS (SELECT l_shipdate::DATE AS dt, l_orderkey // 48 AS row, l_partkey % 8 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green FROM lineitem)
 SELECT label, row, col, median(CASE WHEN qa & 30 = 0 THEN green END) AS green FROM s JOIN w ON dt BETWEEN start AND "end" GROUP BY label, row, col""")
 def cadence_composite(spark, sf_dir):
-    px = views.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("dt"), (F.col("l_orderkey") % 48).alias("row"), (F.col("l_partkey") % 64).alias("col"), F.round(F.col("l_discount") * 100).cast("int").alias("qa"), F.col("l_tax").alias("green"))
+    px = views.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("dt"), F.floor(F.col("l_orderkey") / 48).alias("row"), (F.col("l_partkey") % 8).alias("col"), F.round(F.col("l_discount") * 100).cast("int").alias("qa"), F.col("l_tax").alias("green"))
     sliced = timeslices.in_windows(px, timeslices.windows(spark, A, B, "seasonal"))
     return sliced.groupBy("label", "row", "col").agg(F.median(raster.reflectance(F.col("green"), raster.landsat_clear(F.col("qa")))).alias("green"))
 
@@ -313,10 +341,62 @@ def lake_area_perimeter(spark, sf_dir):
     return regions.area_perimeter(_labels(spark, sf_dir), affine=AFFINE).select("label", r9("area", digits=3), r9("perimeter", digits=3))
 
 
-@query(_with_labels(SHAPES, "SELECT count(*) AS lake_count, sum(area) AS total_area FROM shp WHERE area >= 3600"))
+FRACTALS = """edge AS (SELECT * FROM lab WHERE label IN (SELECT label FROM lab GROUP BY label HAVING count(*) >= 40) AND (SELECT count(*) FROM lab b WHERE b.label = lab.label AND abs(b.row - lab.row) + abs(b.col - lab.col) = 1) < 4),
+bx AS (SELECT label, min(row) AS r0, min(col) AS c0, least(max(row) - min(row), max(col) - min(col)) + 1 AS side, count(*) AS n FROM edge GROUP BY label),
+sz AS (SELECT label, (1 << k::INT)::INT AS size, r0, c0 FROM bx, unnest(generate_series(0, least(7, floor(log2(side // 2))::BIGINT))) AS t(k) WHERE n >= 8 AND side >= 8),
+bc AS (SELECT label, size, count(DISTINCT ((row - r0) // size, (col - c0) // size)) AS boxes FROM edge JOIN sz USING (label) GROUP BY label, size),
+fd AS (SELECT label, -regr_slope(ln(boxes), ln(size)) AS fractal_dimension FROM bc GROUP BY label HAVING count(*) >= 3)"""
+
+
+@query(_with_labels(f"{SHAPES}, {FRACTALS}", "SELECT label, area, perimeter, round(fractal_dimension, 6) AS fractal_dimension FROM shp LEFT JOIN fd USING (label) WHERE area >= 3600"))
+def lake_metrics(spark, sf_dir):
+    lakes = regions.lake_metrics(_labels(spark, sf_dir), AFFINE, 3600 - 1e-6, fractal_min_pixels=40)
+    return lakes.select("label", r9("area", digits=3), r9("perimeter", digits=3), r9("fractal_dimension", digits=6))
+
+
+@query(_with_labels(f"{SHAPES}, {FRACTALS}, kept AS (SELECT * FROM shp LEFT JOIN fd USING (label) WHERE area >= 3600), h0 AS (SELECT greatest(min(area), 1.0::DOUBLE) AS lo, max(area) AS hi FROM kept), h1 AS (SELECT lo, greatest(hi, lo * 10) AS hi FROM h0), "
+    "hb AS (SELECT CASE WHEN area >= hi THEN 11 ELSE floor(round((ln(area) - ln(lo)) / ((ln(hi) - ln(lo)) / 11), 9))::INT + 1 END AS bin, count(*) AS n FROM kept, h1 GROUP BY 1)",
+    "SELECT count(*) AS lake_count, sum(area) AS total_area, round(avg(fractal_dimension), 6) AS mean_fractal_dimension, (SELECT string_agg(bin || ':' || n, ',' ORDER BY bin) FROM hb) AS sizes FROM kept"))
 def lake_summary(spark, sf_dir):
-    lakes = regions.area_perimeter(_labels(spark, sf_dir), affine=AFFINE).where("round(area, 3) >= 3600").withColumn("fractal_dimension", F.lit(None).cast("double"))
-    return regions.summary(lakes).select("lake_count", r9("total_area", digits=3))
+    lakes = regions.lake_metrics(_labels(spark, sf_dir), AFFINE, 3600 - 1e-6, fractal_min_pixels=40)
+    report = regions.lake_report(lakes.withColumn("area", F.round("area", 3)))
+    sizes = F.array_join(F.transform("size_distribution", lambda b: F.concat_ws(":", b["bin"], b["n"])), ",").alias("sizes")
+    return report.select("lake_count", r9("total_area", digits=3), r9("mean_fractal_dimension", digits=6), sizes)
+
+
+DEGREES = (0.0006, 0.0, 68.0, 0.0, -0.0003, 67.0)
+
+
+def _utm(lon: str, lat: str, zone: str, to: str) -> str:
+    """Easting and northing as columns x_to, y_to, without false origins."""
+    radius, alpha = geo.utm_series()
+    f = geo.WGS84[1]
+    e = math.sqrt(f * (2 - f))
+    d = lambda v: f"({v!r}::DOUBLE)"
+    t = f"sinh(atanh(sin(radians({lat}))) - {d(e)} * atanh({d(e)} * sin(radians({lat}))))"
+    lam = f"radians({lon} - ({zone} * 6 - 183))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + {t} * {t}))"
+    x = " + ".join([eta, *(f"{d(c)} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, c in enumerate(alpha, 1))])
+    y = " + ".join([xi, *(f"{d(c)} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, c in enumerate(alpha, 1))])
+    return f"{d(geo.UTM_SCALE * radius)} * ({x}) AS x_{to}, {d(geo.UTM_SCALE * radius)} * ({y}) AS y_{to}"
+
+
+_a, _, _c, _, _e, _f = (f"({v!r}::DOUBLE)" for v in DEGREES)
+METRIC = f"""side AS (SELECT lab.label, {_a} * (lab.col + v.c1) + {_c} AS x1, {_e} * (lab.row + v.r1) + {_f} AS y1, {_a} * (lab.col + v.c2) + {_c} AS x2, {_e} * (lab.row + v.r2) + {_f} AS y2
+  FROM lab, (VALUES (0, 0, 0, 1, -1, 0), (0, 1, 1, 1, 0, 1), (1, 1, 1, 0, 1, 0), (1, 0, 0, 0, 0, -1)) AS v(r1, c1, r2, c2, dr, dc) WHERE NOT EXISTS (SELECT 1 FROM lab o WHERE o.label = lab.label AND o.row = lab.row + v.dr AND o.col = lab.col + v.dc)),
+mid AS (SELECT (min(x1) + max(x1)) / 2 AS lon, (min(y1) + max(y1)) / 2 AS lat FROM side), zn AS (SELECT *, floor((lon + 180) / 6) % 60 + 1 AS zone FROM mid), z0 AS (SELECT *, {_utm('lon', 'lat', 'zone', '0')} FROM zn),
+pj AS (SELECT label, {_utm('x1', 'y1', 'zone', '1')}, {_utm('x2', 'y2', 'zone', '2')}, x_0, y_0 FROM side, z0),
+ms AS (SELECT label, abs(sum(((x_1 - x_0) * (y_2 - y_0) - (x_2 - x_0) * (y_1 - y_0)) / 2)) AS area, sum(sqrt((x_2 - x_1) ** 2 + (y_2 - y_1) ** 2)) AS perimeter FROM pj GROUP BY label)"""
+
+
+@query(_with_labels(METRIC, "SELECT label, round(area, 2) AS area, round(perimeter, 3) AS perimeter FROM ms"))
+def lake_metric_area(spark, sf_dir):
+    return regions.area_perimeter(_labels(spark, sf_dir), affine=DEGREES, degrees=True).select("label", r9("area", digits=2), r9("perimeter", digits=3))
+
+
+@query(_with_labels("", "SELECT label, row_number() OVER (ORDER BY label) AS number FROM (SELECT DISTINCT label FROM lab)"))
+def label_numbers(spark, sf_dir):
+    return regions.numbered(_labels(spark, sf_dir))
 
 
 @query(_with_labels(SHAPES, "SELECT label, area FROM shp ORDER BY area DESC, label LIMIT 12"))
@@ -324,29 +404,38 @@ def lakes_topk(spark, sf_dir):
     return regions.largest(regions.area_perimeter(_labels(spark, sf_dir), affine=AFFINE).select("label", r9("area", digits=3)))
 
 
-DENSE_SQL = f"""{views.mask_sql('dense', DENSE)}, edge AS (SELECT row, col FROM dense d WHERE (SELECT count(*) FROM dense e WHERE e.row BETWEEN d.row - 1 AND d.row + 1 AND e.col BETWEEN d.col - 1 AND d.col + 1 AND abs(e.row - d.row) + abs(e.col - d.col) = 1) < 4)"""
-BOXES = f"""{DENSE_SQL}, bx AS (SELECT min(row) AS r0, min(col) AS c0, least(max(row) - min(row), max(col) - min(col)) + 1 AS side, count(*) AS n FROM edge),
-sz AS (SELECT (1 << k::INT)::INT AS size, r0, c0 FROM bx, unnest(generate_series(0, least(7, floor(log2(side // 2))::BIGINT))) AS t(k) WHERE n >= 8 AND side >= 8),
-bc AS (SELECT 0 AS label, size, count(DISTINCT ((row - r0) // size, (col - c0) // size)) AS boxes FROM edge, sz GROUP BY size)"""
+DENSE_SQL = f"""{views.MASK}, edge AS (SELECT image, row, col FROM dense d WHERE (SELECT count(*) FROM dense e WHERE e.image = d.image AND abs(e.row - d.row) + abs(e.col - d.col) = 1) < 4)"""
+BOXES = f"""{DENSE_SQL}, bx AS (SELECT image, min(row) AS r0, min(col) AS c0, least(max(row) - min(row), max(col) - min(col)) + 1 AS side, count(*) AS n FROM edge GROUP BY image),
+sz AS (SELECT image, (1 << k::INT)::INT AS size, r0, c0 FROM bx, unnest(generate_series(0, least(7, floor(log2(side // 2))::BIGINT))) AS t(k) WHERE n >= 8 AND side >= 8),
+bc AS (SELECT image, size, count(DISTINCT ((row - r0) // size, (col - c0) // size)) AS boxes FROM edge JOIN sz USING (image) GROUP BY image, size)"""
 
 
 def _edge(spark, sf_dir):
-    return regions.boundary(views.mask(spark, sf_dir, DENSE).withColumn("label", F.lit(0)), ["label"])
+    return regions.boundary(views.mask(spark, sf_dir), ["image"])
 
 
-@query(f"WITH {DENSE_SQL} SELECT row, col FROM edge")
+@query(f"WITH {DENSE_SQL} SELECT image, row, col FROM edge")
 def lake_boundary(spark, sf_dir):
-    return _edge(spark, sf_dir).select("row", "col")
+    return _edge(spark, sf_dir)
 
 
 @query(f"WITH {BOXES} SELECT * FROM bc")
 def box_counts(spark, sf_dir):
-    return regions.box_counts(_edge(spark, sf_dir))
+    return regions.box_counts(_edge(spark, sf_dir), ["image"])
 
 
-@query(f"WITH {BOXES} SELECT label, round(-regr_slope(ln(boxes), ln(size)), 6) AS fractal_dimension FROM bc WHERE boxes > 0 GROUP BY label HAVING count(*) >= 3")
+@query(f"WITH {BOXES} SELECT image, round(-regr_slope(ln(boxes), ln(size)), 6) AS fractal_dimension FROM bc WHERE boxes > 0 GROUP BY image HAVING count(*) >= 3")
 def fractal_dimension(spark, sf_dir):
-    return regions.fractal_dimension(regions.box_counts(_edge(spark, sf_dir))).select("label", r9("fractal_dimension", digits=6))
+    return regions.fractal_dimension(regions.box_counts(_edge(spark, sf_dir), ["image"]), ["image"]).select("image", r9("fractal_dimension", digits=6))
+
+
+@query(f"WITH {views.MASK} SELECT image, count(*) AS area_px, round(avg(row), 6) AS centre_row, round(avg(col), 6) AS centre_col, round(var_pop(row) + 1 / 12::DOUBLE, 6) AS spread FROM dense GROUP BY image")
+def mask_moments(spark, sf_dir):
+    found = regions.moments(views.mask(spark, sf_dir), ["image"])
+    # spread of rows from the axes: a = (l1 + l2) / 2 + (l2 - l1) / 2 * cos(2 angle), axes being 4 sqrt(l)
+    l1, l2 = F.pow(F.col("major_axis") / 4, 2), F.pow(F.col("minor_axis") / 4, 2)
+    spread = (l1 + l2) / 2 - (l1 - l2) / 2 * F.cos(2 * F.radians("orientation"))
+    return found.select("image", "area_px", r9("centre_row", digits=6), r9("centre_col", digits=6), r9("spread", spread, 6))
 
 
 @query("""WITH a AS (SELECT l_extendedprice AS area FROM lineitem), e0 AS (SELECT greatest(min(area), 1.0::DOUBLE) AS lo, max(area) AS hi FROM a), e AS (SELECT lo, greatest(hi, lo * 10) AS hi FROM e0)
@@ -355,20 +444,21 @@ def size_histogram(spark, sf_dir):
     return regions.size_histogram(views.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("area"))).select(F.col("bin").cast("int").alias("bin"), "n")
 
 
-MASKS_SQL = f"masks AS (SELECT DISTINCT l_suppkey AS mask_id, l_orderkey % 48 AS row, l_partkey % 64 AS col FROM lineitem), prior AS (SELECT DISTINCT l_orderkey % 48 AS row, l_partkey % 64 AS col FROM lineitem WHERE l_suppkey < {SPARSE}), seeds AS (SELECT l_suppkey AS mask_id, count(*) AS seed_px FROM lineitem WHERE l_discount < 0.03 GROUP BY 1), ar AS (SELECT mask_id, count(*) AS area_px, avg(CASE WHEN prior.row IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS water_share FROM masks LEFT JOIN prior USING (row, col) GROUP BY mask_id)"
+MASKS_SQL = "px AS (SELECT l_suppkey AS mask_id, l_orderkey // 64 AS row, (l_orderkey * 7 + l_linenumber * 3) % 96 AS col, l_discount FROM lineitem), masks AS (SELECT DISTINCT mask_id, row, col FROM px), prior AS (SELECT row, col FROM px GROUP BY row, col HAVING max(l_discount) >= 0.06), seeds AS (SELECT mask_id, count(*) AS seed_px FROM px WHERE l_discount < 0.03 GROUP BY 1), ar AS (SELECT mask_id, count(*) AS area_px, avg(CASE WHEN prior.row IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS water_share FROM masks LEFT JOIN prior USING (row, col) GROUP BY mask_id)"
 
 
 def _masks(spark, sf_dir):
-    line = views.table(spark, sf_dir, "lineitem")
-    masks = line.select(F.col("l_suppkey").alias("mask_id"), (F.col("l_orderkey") % 48).alias("row"), (F.col("l_partkey") % 64).alias("col")).distinct()
-    seeds = line.where("l_discount < 0.03").groupBy(F.col("l_suppkey").alias("mask_id")).agg(F.count(F.lit(1)).alias("seed_px"))
-    return masks, views.mask(spark, sf_dir, SPARSE), seeds
+    c = F.col
+    px = views.table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("mask_id"), F.floor(c("l_orderkey") / 64).alias("row"), ((c("l_orderkey") * 7 + c("l_linenumber") * 3) % 96).alias("col"), "l_discount")
+    prior = px.groupBy("row", "col").agg(F.max("l_discount").alias("most")).where("most >= 0.06D").select("row", "col")
+    seeds = px.where("l_discount < 0.03D").groupBy("mask_id").agg(F.count(F.lit(1)).alias("seed_px"))
+    return px.select("mask_id", "row", "col").distinct(), prior, seeds
 
 
-@query(f"WITH {MASKS_SQL} SELECT mask_id, area_px, round(water_share, 9) AS water_share FROM ar JOIN seeds USING (mask_id) WHERE area_px <= 0.5 * 3072 AND area_px <= 3.5 * seed_px AND water_share >= 0.35")
+@query(f"WITH {MASKS_SQL} SELECT mask_id, area_px, round(water_share, 9) AS water_share FROM ar JOIN seeds USING (mask_id) WHERE area_px <= 0.5 * 96000 AND area_px <= 3.5 * seed_px AND water_share >= 0.35")
 def mask_validate_seeded(spark, sf_dir):
     masks, prior, seeds = _masks(spark, sf_dir)
-    return segments.seeded(masks, prior, seeds, 48 * 64, 3.5).select("mask_id", "area_px", r9("water_share"))
+    return segments.seeded(masks, prior, seeds, 96_000, 3.5).select("mask_id", "area_px", r9("water_share"))
 
 
 @query(f"WITH {MASKS_SQL} SELECT mask_id, area_px, round(water_share, 9) AS water_share FROM ar WHERE water_share >= 0.5")
@@ -395,32 +485,43 @@ def overlap_sets(spark, sf_dir):
     return found.select("id", F.array_join("layers", ",").alias("layers"), F.size("files").cast("long").alias("n_files"), "overlap_count")
 
 
-@query(f"""WITH {views.FOOTPRINT}, g AS (SELECT f.*, gx, gy FROM footprint f, unnest(generate_series(floor(xmin)::BIGINT, floor(xmax)::BIGINT)) AS a(gx), unnest(generate_series(floor(ymin)::BIGINT, floor(ymax)::BIGINT)) AS b(gy)),
-pt AS (SELECT id, gx, gy, greatest(xmin, gx) AS x0, greatest(ymin, gy) AS y0, least(xmax, gx + 1) AS x1, least(ymax, gy + 1) AS y1 FROM g WHERE greatest(xmin, gx) < least(xmax, gx + 1) AND greatest(ymin, gy) < least(ymax, gy + 1)),
-cx AS (SELECT gx, gy, x AS xmin, lead(x) OVER (PARTITION BY gx, gy ORDER BY x) AS xmax FROM (SELECT gx, gy, x0 AS x FROM pt UNION SELECT gx, gy, x1 FROM pt)),
-cy AS (SELECT gx, gy, y AS ymin, lead(y) OVER (PARTITION BY gx, gy ORDER BY y) AS ymax FROM (SELECT gx, gy, y0 AS y FROM pt UNION SELECT gx, gy, y1 FROM pt))
-SELECT round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax, count(DISTINCT id) AS n FROM cx JOIN cy USING (gx, gy) JOIN pt USING (gx, gy) WHERE xmax IS NOT NULL AND ymax IS NOT NULL AND x0 <= xmin AND x1 >= xmax AND y0 <= ymin AND y1 >= ymax GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {views.FOOTPRINT}, st AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM (SELECT xmin AS x FROM footprint UNION SELECT xmax FROM footprint)),
+ev AS (SELECT lo, hi, ymin AS y, 1 AS k, hash('f' || id) AS s FROM st JOIN footprint ON xmin <= lo AND xmax >= hi UNION ALL SELECT lo, hi, ymax, -1, hash('f' || id) FROM st JOIN footprint ON xmin <= lo AND xmax >= hi),
+eg AS (SELECT lo, hi, y, sum(k)::BIGINT AS k, bit_xor(s) AS s FROM ev GROUP BY ALL),
+fr AS (SELECT row_number() OVER (ORDER BY x0, y0) AS id, * FROM (SELECT lo AS x0, hi AS x1, y AS y0, lead(y) OVER w AS y1, sum(k) OVER w AS n, bit_xor(s) OVER w AS s FROM eg WINDOW w AS (PARTITION BY lo ORDER BY y)) WHERE n > 0),
+e0 AS (SELECT a.id AS a, b.id AS b FROM fr a JOIN fr b ON a.x1 = b.x0 AND a.s = b.s AND a.y0 < b.y1 AND b.y0 < a.y1), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
+reach(id, r) AS (SELECT id, id FROM fr UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id WHERE reach.r < e.b),
+cl AS (SELECT cell, min(x0) AS xmin, min(y0) AS ymin, max(x1) AS xmax, max(y1) AS ymax, sum(6378137 * radians(x1 - x0) * 6378137 * (ln(tan(pi() / 4 + radians(y1) / 2)) - ln(tan(pi() / 4 + radians(y0) / 2)))) AS area, any_value(n) AS n, min(x0) AS mx, arg_min((x0 + x1) / 2, (x0, y0)) AS px, arg_min((y0 + y1) / 2, (x0, y0)) AS py FROM fr JOIN (SELECT id, min(r) AS cell FROM reach GROUP BY id) USING (id) GROUP BY cell)
+SELECT round(c.xmin, 6) AS xmin, round(c.ymin, 6) AS ymin, round(c.xmax, 6) AS xmax, round(c.ymax, 6) AS ymax, round(any_value(area), 1) AS area_m2, any_value(n)::BIGINT AS overlap_count, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, count(DISTINCT file) AS n_files
+FROM cl c JOIN footprint f ON f.xmin < px AND px < f.xmax AND f.ymin < py AND py < f.ymax WHERE area > 1 GROUP BY cell, c.xmin, c.ymin, c.xmax, c.ymax""")
 def overlap_cells(spark, sf_dir):
-    found = overlap.atomic_cells(views.footprints(spark, sf_dir))
-    return found.select(*[r9(c, digits=6) for c in ("xmin", "ymin", "xmax", "ymax")], "n")
+    found = overlap.atomic_cells(views.footprints(spark, sf_dir), min_area=1.0)
+    return found.select(*[r9(c, digits=6) for c in ("xmin", "ymin", "xmax", "ymax")], r9("area_m2", digits=1), "overlap_count", F.array_join("layers", ",").alias("layers"), F.size("files").cast("long").alias("n_files"))
 
 
-PATCH_SQL = f"{views.mask_sql('dense', DENSE)}, pp AS (SELECT pi, pj, row - pi * 8 AS pr, col - pj * 8 AS pc, row, col FROM dense, range(0, 5) AS a(pi), range(0, 7) AS b(pj) WHERE row >= pi * 8 AND row < pi * 8 + 16 AND col >= pj * 8 AND col < pj * 8 + 16)"
+PATCH_SQL = f"{views.MASK}, pp AS (SELECT image, pi, pj, row - pi * 4 AS pr, col - pj * 4 AS pc, row, col FROM dense, range(0, 3) AS a(pi), range(0, 5) AS b(pj) WHERE row >= pi * 4 AND row < pi * 4 + 8 AND col >= pj * 4 AND col < pj * 4 + 8)"
 
 
-@query(f"WITH {PATCH_SQL} SELECT pi, pj, pr, pc FROM pp")
+@query(f"WITH {PATCH_SQL} SELECT image, pi, pj, pr, pc FROM pp")
 def patchify(spark, sf_dir):
-    return patches.patchify(views.mask(spark, sf_dir, DENSE), 48, 64, 16, 8).select("pi", "pj", "pr", "pc")
+    return patches.patchify(views.mask(spark, sf_dir), *views.IMAGE, 8, 4).select("image", "pi", "pj", "pr", "pc")
+
+
+@query(f"WITH {PATCH_SQL}, r AS (SELECT image, pi * 4 + pr AS row, pj * 4 + pc AS col, arg_max(pi * 10 + pj, pi * 10 + pj) AS v FROM pp GROUP BY ALL) SELECT image, row, col, v FROM r")
+def unpatchify(spark, sf_dir):
+    cut = patches.patchify(views.mask(spark, sf_dir), *views.IMAGE, 8, 4).withColumn("v", F.col("pi") * 10 + F.col("pj"))
+    return patches.unpatchify(cut, "v", ("image",), 4)
 
 
-@query(f"WITH {views.SCENE_PX}, pp AS (SELECT pi, pj, green FROM scene_px, range(0, 5) AS a(pi), range(0, 7) AS b(pj) WHERE row >= pi * 8 AND row < pi * 8 + 16 AND col >= pj * 8 AND col < pj * 8 + 16) SELECT pi, pj, round(avg(CASE WHEN green <> 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS share FROM pp GROUP BY pi, pj HAVING avg(CASE WHEN green <> 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.05")
+@query(f"WITH {views.SCENE_PX}, im AS (SELECT row // 48 AS image, row % 48 AS row, col, green FROM scene_px), pp AS (SELECT image, pi, green FROM im, range(0, 11) AS a(pi) WHERE row >= pi * 4 AND row < pi * 4 + 8) SELECT image, pi, round(avg(CASE WHEN green > 0.01 THEN 1.0::DOUBLE ELSE 0 END), 9) AS share FROM pp GROUP BY image, pi HAVING avg(CASE WHEN green > 0.01 THEN 1.0::DOUBLE ELSE 0 END) > 0.75")
 def useful_patches(spark, sf_dir):
-    return patches.useful(patches.patchify(views.scene_px(spark, sf_dir), 48, 64, 16, 8), "green").select("pi", "pj", r9("share"))
+    px = views.scene_px(spark, sf_dir).select(F.floor(F.col("row") / 48).alias("image"), (F.col("row") % 48).alias("row"), "col", (F.col("green") > 0.01).cast("int").alias("v"))
+    return patches.useful(patches.patchify(px, 48, 8, 8, 4), "v", 0.75, ("image", "pi")).select("image", "pi", r9("share"))
 
 
-@query(f"""WITH {views.mask_sql('dense', DENSE)}, d AS (SELECT r, c FROM range(-1, 2) AS a(r), range(-1, 2) AS b(c)), er AS (SELECT row + r AS row, col + c AS col FROM dense, d GROUP BY 1, 2 HAVING count(*) = 9) SELECT DISTINCT row + r AS row, col + c AS col FROM er, d""")
+@query(f"""WITH {views.MASK}, d AS (SELECT r, c FROM range(-1, 2) AS a(r), range(-1, 2) AS b(c)), er AS (SELECT image, row + r AS row, col + c AS col FROM dense, d GROUP BY 1, 2, 3 HAVING count(*) = 9) SELECT DISTINCT image, row + r AS row, col + c AS col FROM er, d""")
 def morph_open(spark, sf_dir):
-    return patches.morph_open(views.mask(spark, sf_dir, DENSE))
+    return patches.morph_open(views.mask(spark, sf_dir), keys=("image",))
 
 
 @query(f"""WITH {views.SCENE_PX}, c AS (SELECT scene, (qa & 30 = 0)::INT AS t, (green > swir)::INT AS p FROM scene_px), s AS (SELECT scene, k, count(*) FILTER (WHERE t = k AND p = k)::DOUBLE / nullif(count(*) FILTER (WHERE t = k OR p = k), 0) AS iou FROM c, (VALUES (0), (1)) AS v(k) GROUP BY scene, k) SELECT scene, round(avg(iou), 9) AS iou FROM s GROUP BY scene""")

@@ -11,13 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scene_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of seven scenes on a raster of eight columns whose rows grow with the orders."""
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
-        c("l_linenumber").cast("long").alias("scene"), (c("l_orderkey") % 48).alias("row"), (c("l_partkey") % 64).alias("col"), F.round(c("l_discount") * 100).cast("int").alias("qa"), c("l_tax").alias("green"), (c("l_quantity") / 1000).alias("swir"), (c("l_extendedprice") / 2000000).alias("nir")
+        c("l_linenumber").cast("long").alias("scene"), F.floor(c("l_orderkey") / 48).alias("row"), (c("l_partkey") % 8).alias("col"), F.round(c("l_discount") * 100).cast("int").alias("qa"), c("l_tax").alias("green"), (c("l_quantity") / 1000).alias("swir"), (c("l_extendedprice") / 2000000).alias("nir")
     )
 
 
-SCENE_PX = "scene_px AS (SELECT l_linenumber::BIGINT AS scene, l_orderkey % 48 AS row, l_partkey % 64 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green, l_quantity / 1000 AS swir, l_extendedprice / 2000000 AS nir FROM lineitem)"
+SCENE_PX = "scene_px AS (SELECT l_linenumber::BIGINT AS scene, l_orderkey // 48 AS row, l_partkey % 8 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green, l_quantity / 1000 AS swir, l_extendedprice / 2000000 AS nir FROM lineitem)"
 
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,23 +34,27 @@ FOOTPRINT = """footprint AS (SELECT p_partkey AS id, (64 + p_partkey % 26)::DOUB
   CASE WHEN p_size % 7 <> 0 THEN 1950 + p_size END AS year, p_brand AS layer, p_name AS file, p_type AS type, CASE WHEN p_partkey % 16 = 0 THEN 'WGS 84' WHEN p_partkey % 16 = 1 THEN 'EPSG:4326' WHEN p_partkey % 16 = 2 THEN 'local grid' WHEN p_partkey % 16 > 3 THEN ' Pulkovo 1942' END AS datum FROM part)"""
 
 
-def mask(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
-    """Pixels of a grid that the orders of the first suppliers touch."""
-    found = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") < below)
-    return found.select((F.col("l_orderkey") % 48).alias("row"), (F.col("l_partkey") % 64).alias("col")).distinct()
+#: Height and width of an image of `mask`.
+IMAGE = (16, 24)
 
 
-def mask_sql(name: str, below: int) -> str:
-    return f"{name} AS (SELECT DISTINCT l_orderkey % 48 AS row, l_partkey % 64 AS col FROM lineitem WHERE l_suppkey < {below})"
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, row, col: an image for each supplier, with the pixels that the supplier's lines touch."""
+    c = F.col
+    return table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("image"), (c("l_orderkey") % IMAGE[0]).alias("row"), (c("l_partkey") % IMAGE[1]).alias("col")).distinct()
+
+
+MASK = f"dense AS (SELECT DISTINCT l_suppkey AS image, l_orderkey % {IMAGE[0]} AS row, l_partkey % {IMAGE[1]} AS col FROM lineitem)"
 
 
 def wide_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse mask on a raster that grows with the data: about one pixel in six is set."""
-    found = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
-    return found.select(F.floor(F.col("l_orderkey") / 64).alias("row"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % 96).alias("col")).distinct()
+    """A sparse mask on a raster that grows with the data: a strip of 96 columns for each line number, with four free ones
+    between strips; about one pixel in six of the first strip is set, less in later ones."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.floor(key / 64).alias("row"), ((key * 7 + line * 3) % 96 + line * 100).alias("col")).distinct()
 
 
-WIDE_MASK = "wide_mask AS (SELECT DISTINCT l_orderkey // 64 AS row, (l_orderkey * 7 + l_linenumber * 3) % 96 AS col FROM lineitem WHERE l_linenumber = 1)"
+WIDE_MASK = "wide_mask AS (SELECT DISTINCT l_orderkey // 64 AS row, (l_orderkey * 7 + l_linenumber * 3) % 96 + l_linenumber * 100 AS col FROM lineitem)"
 
 
 def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:

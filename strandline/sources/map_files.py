@@ -20,6 +20,12 @@ def read_map_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.url_decode(F.col("_metadata.file_path")).alias("map_file"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
 
 
+def listed(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Files in the order of their paths, the first `most` if that is given."""
+    found = files.orderBy("map_file")
+    return found if most is None else found.limit(most)
+
+
 def _fields(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda x: F.trim(x))
 
@@ -73,10 +79,11 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
-def fallback_fields(files: DataFrame) -> DataFrame:
-    """map_file, scale2, index2, datum2: read line by line, later lines over earlier ones, until all three are set."""
+def fallback_fields() -> Column:
+    """Struct s, i, d: scale, index and datum of a text, read line by line, later lines over earlier ones, until all are set."""
     lines = F.split("text", r"\r?\n")
     start = F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("d"))
+    #: fixed values: how a line states scale and index
     pair = r"scale:(\S+)\s+index:(\S+)"
 
     def step(acc: Column, x: Column) -> Column:
@@ -85,15 +92,14 @@ def fallback_fields(files: DataFrame) -> DataFrame:
         d = F.when(x.startswith("WGS") | x.contains("Pulkovo"), F.trim(F.get(F.split(x, ","), 0)))
         return F.when(done, acc).otherwise(F.struct(F.coalesce(s, acc["s"]).alias("s"), F.coalesce(i, acc["i"]).alias("i"), F.coalesce(d, acc["d"]).alias("d")))
 
-    got = F.aggregate(lines, start, step)
-    return files.select("map_file", got.alias("g")).select("map_file", F.col("g.s").alias("scale2"), F.col("g.i").alias("index2"), F.col("g.d").alias("datum2"))
+    return F.aggregate(lines, start, step)
 
 
 def fill_missing(sheets: DataFrame) -> DataFrame:
-    """Missing year from the path; missing scale, index and datum from the text."""
-    more = fallback_fields(sheets)
-    filled = sheets.join(more, "map_file", "left")
-    return filled.withColumns({"year": F.coalesce("year", tx.path_year(F.col("map_file"))), **{c: F.coalesce(tx.blank_null(F.col(c)), f"{c}2") for c in ("scale", "index", "datum")}}).drop("scale2", "index2", "datum2")
+    """Missing year from the path; missing scale, index and datum from the text of the same row."""
+    more = sheets.withColumn("_g", fallback_fields())
+    named = {"scale": "_g.s", "index": "_g.i", "datum": "_g.d"}
+    return more.withColumns({"year": F.coalesce("year", tx.path_year(F.col("map_file"))), **{c: F.coalesce(tx.blank_null(F.col(c)), g) for c, g in named.items()}}).drop("_g")
 
 
 def resolve_images(sheets: DataFrame, listing: DataFrame) -> DataFrame:

@@ -64,7 +64,22 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; nested columns become JSON."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
-    df.select(*flat).write.mode(mode).csv(path, header=True)
+    df.select(*flat).write.mode(mode).csv(path, header=True, escape='"')
+
+
+def read_csv(spark: SparkSession, path: str, nested: dict[str, str] | None = None) -> DataFrame:
+    """CSV with a header; the named columns are JSON of the given types, as write_csv writes them. Text that isn't is NULL."""
+    found = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return found.withColumns({c: F.from_json(c, kind) for c, kind in (nested or {}).items()})
+
+
+def products(scenes: DataFrame, bands: list[str] | None = None) -> DataFrame:
+    """scene_id, product: available files of scenes that can be had in bulk (scene_id, bulk, secondary), only those whose
+    name holds one of the bands if any are given; each once."""
+    found = scenes.where("bulk").select("scene_id", F.explode("secondary").alias("s")).where("s.available").select("scene_id", F.col("s.name").alias("product"))
+    if bands:
+        found = found.where(F.exists(F.array(*[F.lit(b) for b in bands]), lambda b: F.contains("product", b)))
+    return found.distinct()
 
 
 def cached_table(spark: SparkSession, path: str, make) -> DataFrame:

@@ -12,9 +12,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset and all runs on one machine, as in tests, a temporary
+    one; on a cluster that is an error, as executors would not see each other's files."""
     at = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all machines share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         at = _own[0]
