@@ -1,18 +1,20 @@
 """Substring dedup with repeated-phrase automata.
 
 1. Confirm recurring phrases: in each window of WINDOW words the PHRASE-word phrase with the least hash is its
-   anchor, so equal windows have equal anchors. An anchor that is met in two documents recurs; the smallest
-   document that has it is kept with it.
+   anchor, so equal windows have equal anchors. An anchor that is met in two documents of different words recurs; its
+   words and the smallest document that has it are kept. Documents with the words of a smaller one are whole copies of it:
+   all their words go, and nothing else depends on them.
 2. Compile sharded automata: documents are dealt into blocks of some BLOCK bytes by a hash of their id. Each
-   block's Aho-Corasick automaton holds the recurring phrases that its documents have as anchors, so every
-   document streams through one automaton of bounded size, which knows all recurring phrases in it.
-3. Locate: windows around the occurrences found are hashed; for each hash the smallest document is kept, and a
-   window of a larger one is covered. Windows are judged on the input.
+   block's Aho-Corasick automaton is compiled from the words of the recurring phrases confirmed in its documents, and all
+   its documents stream through it.
+3. Locate: the automaton's hits say where phrases stand; the windows that have one as anchor are hashed; for each
+   hash the smallest document is kept, and a window of a larger one is covered. Windows are judged on the input.
 4. Words of covered windows are cut out.
 
-Window hashes have 64 bits. Null texts have no words; texts of fewer than WINDOW words have no windows and stay;
-rows that repeat an id and text get equal results; a null id is no smaller than any other and loses nothing;
-an empty table gives an empty result; other columns are not read.
+Window hashes have 64 bits, the names of whole texts 128: at 10^13 candidate windows some chance matches must be expected.
+Null texts have no words; texts of fewer than WINDOW words have no windows and stay; rows that repeat an id and text get
+equal results; a null id is no smaller than any other and loses nothing; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from strandline.llm.common import arrow_schema, id_text, per_document, read, shu
 WINDOW = 50
 PHRASE = 8
 BLOCK = 4_000_000
+WHOLE = -1  # as a window's start: the whole text
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,83 +78,103 @@ def window_least(g: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(m[: len(g) - size + 1], m[rest:]) if rest else m
 
 
-def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in `known`, which rises and isn't empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def anchors_of(h: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Phrase hashes by position and, for each window, the least of its phrases' hashes."""
     g = gram_hashes(h, phrase)
     return g, window_least(g, window - phrase + 1)
 
 
-def recurring_anchors(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor, low): anchors met in several documents and the smallest of these; and (anchor, doc_id, rk) as met."""
-    schema = arrow_schema("anchor long, doc_id long, rk long")
+def anchor_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """kind 0: an anchor's hash as `name`, its words, the document and the hash of the document's words as `other`; kind 1:
+    a document of a window or more, the hash of its words as `name` and `other`. docs: doc_id, rk, text."""
+    kinds = "kind int, name long, words binary, doc_id long, rk long, other long"
+    schema = arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, at = [], []
+            kind, name, words, at, other = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 w = words_of(text)
-                if len(w) >= window:
-                    found.append(np.unique(anchors_of(hashes(w), window, phrase)[1]))
-                    at.append(np.full(len(found[-1]), i))
-            if found:
-                rows = pa.array(np.concatenate(at))
-                table = pa.Table.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(rows), batch.column("rk").take(rows)], schema=schema)
-                yield from table.to_batches(max_chunksize=100_000)
-
-    met = stored(docs.mapInArrow(run, "anchor long, doc_id long, rk long"))
-    low = met.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low")
-    return low, met
-
-
-def locate(docs: DataFrame, phrases: DataFrame, parts: int, window: int, phrase: int) -> DataFrame:
-    """(wh, doc_id, rk, start, late): the hash of each window that may recur, where it starts, and whether a
-    smaller document has its anchor. docs: block, doc_id, rk, text; phrases: block, anchor, low."""
+                if len(w) < window:
+                    continue
+                k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), "<i8").tolist()
+                g, least = anchors_of(hashes(w), window, phrase)
+                found, first = np.unique(g, return_index=True)
+                own = np.unique(least)
+                starts = first[np.searchsorted(found, own)].tolist()
+                kind += [1] + [0] * len(starts)
+                name += [k1, *own.view(np.int64).tolist()]
+                words += [None, *(b" ".join(w[p : p + phrase]) for p in starts)]
+                at += [i] * (len(starts) + 1)
+                other += [k2] + [k1] * len(starts)
+            if at:
+                rows = pa.array(at)
+                columns = [pa.array(kind, pa.int32()), pa.array(name, pa.int64()), pa.array(words, pa.binary()), batch.column("doc_id").take(rows), batch.column("rk").take(rows), pa.array(other, pa.int64())]
+                yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=100_000)
+
+    return docs.mapInArrow(run, kinds)
+
+
+def confirmed(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, words, low, doc_id, rk): recurring phrases in each document that has them, with the smallest document of all;
+    (doc_id, rk): whole copies of smaller documents."""
+    met = stored(anchor_rows(docs, window, phrase))
+    anchors = met.where("kind = 0 and doc_id is not null")
+    # met in documents with different words: copies are found as such
+    low = stored(anchors.groupBy("name").agg(F.min("doc_id").alias("low"), F.min("other").alias("a"), F.max("other").alias("b")).where("a < b").select(F.col("name").alias("anchor"), "low"))
+    phrases = anchors.select(F.col("name").alias("anchor"), "words", "doc_id", "rk").join(low, "anchor")
+    whole = met.where("kind = 1").select("name", "other", "doc_id", "rk")
+    first = stored(whole.groupBy("name", "other").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "other", "low"))
+    return phrases, stored(whole.join(first, ["name", "other"]).where("low < doc_id").select("doc_id", "rk"))
+
+
+def occurrences(text: bytes, automaton: ahocorasick.Automaton) -> np.ndarray:
+    """The numbers of the words at which the automaton's phrases start. text: words with a space around each; bytes count
+    as characters, so places are places of bytes."""
+    ends = np.fromiter((end for end, _ in automaton.iter(text.decode("latin-1"))), np.int64)
+    return np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), ends) if ends.size else ends
+
+
+def locate(docs: DataFrame, phrases: DataFrame, copies: DataFrame, parts: int, window: int, phrase: int) -> DataFrame:
+    """(wh, doc_id, rk, start, late): the hash of each window whose anchor an automaton finds, where it starts, and whether a
+    smaller document has the anchor. docs: block, doc_id, rk, text; phrases: block, anchor, words, low; copies: block,
+    doc_id, rk, documents to be left out."""
     schema = "wh long, doc_id long, rk long, start int, late boolean"
     arrow = arrow_schema(schema)
 
-    def block_rows(docs: list, anchors: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def block_rows(docs: list, words: list[bytes], anchors: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(anchors)
         anchors, low = anchors[order], low[order]
-        automaton, seen, kept = ahocorasick.Automaton(), set(), []
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(f" {w.decode('latin-1')} ", 0)
+        automaton.make_automaton()
         for doc, rk, text in docs:
-            w = words_of(text)
+            w = text.split() if text else []
             if len(w) < window:
                 continue
+            ends = occurrences(b" " + b" ".join(w) + b" ", automaton)
+            if not ends.size:
+                continue
             h = hashes(w)
             g, least = anchors_of(h, window, phrase)
-            for p in np.flatnonzero(among(g, anchors)).tolist():
-                if (key := int(g[p])) not in seen:
-                    seen.add(key)
-                    automaton.add_word(f" {b' '.join(w[p : p + phrase]).decode('utf-8', 'surrogatepass')} ", key)
-            kept.append((doc, rk, w, h, least))
-        if not seen:
-            return
-        automaton.make_automaton()
-        for doc, rk, w, h, least in kept:
-            text = f" {b' '.join(w).decode('utf-8', 'surrogatepass')} "
-            keys = {key for _, key in automaton.iter(text)}
-            if not keys:
-                continue
-            starts = np.flatnonzero(among(least, np.sort(np.fromiter(keys, np.uint64, len(keys)))))
+            found = np.full(len(g), np.iinfo(np.uint64).max, np.uint64)
+            found[ends - phrase] = g[ends - phrase]
+            starts = np.flatnonzero(window_least(found, window - phrase + 1) == least)
             if not starts.size:
                 continue
             wh = gram_hashes(h, window)[starts].view(np.int64)
-            first = low[np.searchsorted(anchors, least[starts])]
+            first = low[np.minimum(np.searchsorted(anchors, least[starts]), len(low) - 1)]
             n = len(starts)
             late = np.zeros(n, bool) if doc is None else first < doc
             yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array([doc] * n, pa.int64()), pa.array(np.full(n, rk)), pa.array(starts.astype(np.int32)), pa.array(late)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs, anchors, low = None, [], [], []
+        at, docs, words, anchors, low, left_out = None, [], [], [], [], set()
 
         def closed():
-            if docs and anchors:
-                yield from block_rows(docs, np.concatenate(anchors).view(np.uint64), np.concatenate(low))
+            if docs and words:
+                yield from block_rows(docs, words, np.concatenate(anchors).view(np.uint64), np.concatenate(low))
 
         for batch in batches:
             ids, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -161,16 +184,23 @@ def locate(docs: DataFrame, phrases: DataFrame, parts: int, window: int, phrase:
                     continue
                 if ids[lo] != at:
                     yield from closed()
-                    at, docs, anchors, low = ids[lo], [], [], []
+                    at, docs, words, anchors, low, left_out = ids[lo], [], [], [], [], set()
                 part = batch.slice(lo, hi - lo)
+                doc, rk = part.column("doc_id"), part.column("rk")
                 if kinds[lo] == 0:
-                    anchors.append(part.column("rk").to_numpy().copy())
-                    low.append(part.column("doc_id").to_numpy().copy())
-                elif anchors:
-                    docs += zip(part.column("doc_id").to_pylist(), part.column("rk").to_pylist(), part.column("text").to_pylist(), strict=True)
+                    anchors.append(rk.to_numpy().copy())
+                    low.append(doc.to_numpy().copy())
+                    words += part.column("text").to_pylist()
+                elif kinds[lo] == 1:
+                    left_out.update(zip(doc.to_pylist(), rk.to_pylist(), strict=True))
+                elif words:
+                    rows = zip(doc.to_pylist(), rk.to_pylist(), part.column("text").to_pylist(), strict=True)
+                    docs += [x for x in rows if x[:2] not in left_out]
         yield from closed()
 
-    rows = phrases.select("block", F.lit(0).alias("kind"), F.col("low").alias("doc_id"), F.col("anchor").alias("rk"), F.lit(None).cast("string").alias("text")).unionByName(docs.select("block", F.lit(1).alias("kind"), "doc_id", "rk", "text"))
+    rows = phrases.select("block", F.lit(0).alias("kind"), F.col("low").alias("doc_id"), F.col("anchor").alias("rk"), F.col("words").alias("text"))
+    rows = rows.unionByName(copies.select("block", F.lit(1).alias("kind"), "doc_id", "rk", F.lit(None).cast("binary").alias("text")))
+    rows = rows.unionByName(docs.select("block", F.lit(2).alias("kind"), "doc_id", "rk", F.col("text").cast("binary").alias("text")))
     return rows.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
@@ -184,20 +214,20 @@ def covered_words(n: int, starts: list[int] | None, window: int) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, text, starts: where covered windows start (null: none)."""
+    """One row per document: doc_id, text, starts: where covered windows start (null: none; WHOLE: all words go)."""
     base = id_text(docs).withColumn("rk", F.xxhash64("doc_id", "text"))
-    size = base.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(size[0] or 0) // block))
-    of = lambda c: F.pmod(F.xxhash64(c, F.lit(block)), F.lit(blocks)).alias("block")
-    low, met = recurring_anchors(base, window, phrase)
-    low = stored(low)
-    phrases = met.join(low, "anchor").select(of(F.col("rk")), "anchor", "low").distinct()
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0]
+    blocks = max(1, -(-(size or 0) // block))
+    of = F.pmod(F.xxhash64("rk", F.lit(block)), F.lit(blocks)).alias("block")
+    phrases, copies = confirmed(base, window, phrase)
+    phrases = phrases.select(of, "anchor", "words", "low").distinct()
     parts = min(blocks, max(shuffle_partitions(docs.sparkSession), blocks // 4))
-    found = stored(locate(base.select(of(F.col("rk")), "doc_id", "rk", "text"), phrases, parts, window, phrase))
+    found = stored(locate(base.select(of, "doc_id", "rk", "text"), phrases, copies.select(of, "doc_id", "rk"), parts, window, phrase))
     first = stored(found.groupBy("wh").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("wh", "low"))
-    late = found.where("late").join(first, "wh").where(F.col("low") < F.col("doc_id"))
-    starts = late.groupBy(F.col("rk").alias("row")).agg(F.collect_set("start").alias("starts"))
-    return base.join(starts, F.col("rk") == F.col("row"), "left").select("doc_id", "text", "starts")
+    late = found.where("late").join(first, "wh").where(F.col("low") < F.col("doc_id")).select("doc_id", "rk", "start")
+    late = late.unionByName(copies.withColumn("start", F.lit(WHOLE)))
+    starts = late.groupBy(F.col("doc_id").alias("id"), F.col("rk").alias("row")).agg(F.collect_set("start").alias("starts"))
+    return base.join(starts, (F.col("rk") == F.col("row")) & (F.col("doc_id") == F.col("id")), "left").select("doc_id", "text", "starts")
 
 
 def cut(text: str | None, starts, window: int) -> tuple[int, int, bytes]:
@@ -205,6 +235,8 @@ def cut(text: str | None, starts, window: int) -> tuple[int, int, bytes]:
     w = words_of(text)
     if starts is None or not len(starts):
         return len(w), 0, b" ".join(w)
+    if WHOLE in starts:
+        return len(w), len(w), b""
     gone = covered_words(len(w), starts, window)
     return len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
 
