@@ -9,9 +9,11 @@ pivot. A class x with home q can be linked with a member of cell p only if
 
 and is copied to p then. Of two cells only one gets the other's copies. Cells over BLOCK members are split into
 blocks, each joined with all later blocks and all copies, so a task holds one block and streams the rest. Blocks
-are compared in single precision; what is near the threshold or above is decided in double precision.
+are compared in single precision; what is near the threshold or above is decided in double precision. Copies carry
+vectors in the precision of the input.
 
-Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different
+Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors without an id that
+equal none with one link with their equals only, and stay. Vectors of different
 lengths never link. Repeated rows are vectors of their own. An empty table gives an empty result; other columns
 are not read. How much the pivots save depends on the data: where most vectors are about as far from each other,
 each is near most borders, and the join compares a constant share of all pairs.
@@ -31,10 +33,10 @@ from strandline.llm.common import arrow_schema, read, shuffle_partitions, stored
 from strandline.operators.graph import components
 
 THRESHOLD = 0.95
-BLOCK = 2_048  # members of a cell that a task holds
+BLOCK = 8_192  # members of a cell that a task holds; larger blocks need fewer copies
+BLOCK_VALUES = 16_000_000  # numbers in them
 MAX_PIVOTS = 4_096
 MAX_PIVOT_VALUES = 4_000_000  # numbers in all pivots; they are broadcast
-SLACK = 1e-4  # single precision errs by less
 PAIRS = 200_000  # pairs decided at once
 
 
@@ -88,7 +90,7 @@ def distance(cos: np.ndarray) -> np.ndarray:
 
 
 def cell_sizes(classes: DataFrame, pivots, dtype: str) -> dict[int, tuple[int, float]]:
-    """cell -> (members, radius); a row for each pivot at most comes to the driver."""
+    """cell -> (members, radius); a row for each pivot, and for each vector length without one, comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +102,11 @@ def cell_sizes(classes: DataFrame, pivots, dtype: str) -> dict[int, tuple[int, f
     return {r.cell: (r.n, r.radius) for r in seen.collect()}
 
 
-def deal(classes: DataFrame, pivots, sizes: dict, reach: float, dtype: str) -> DataFrame:
+def deal(classes: DataFrame, pivots, sizes: dict, reach: float, dtype: str, block: int) -> DataFrame:
     """block, copy (0: member, 1: copy), rep, n, raw: each class at home and wherever a partner may be."""
     first, at = {}, 0
     for cell in sorted(sizes):
-        first[cell] = (at, -(-sizes[cell][0] // BLOCK))
+        first[cell] = (at, -(-sizes[cell][0] // block))
         at += first[cell][1]
     sent = classes.sparkSession.sparkContext.broadcast((first, sizes))
     schema = arrow_schema("block long, copy int, rep long, n long, raw binary")
@@ -145,6 +147,11 @@ def deal(classes: DataFrame, pivots, sizes: dict, reach: float, dtype: str) -> D
     return classes.mapInArrow(run, "block long, copy int, rep long, n long, raw binary")
 
 
+def slack(length: int) -> float:
+    """What a product of two unit vectors in single precision errs by at most: rounding of both sides and of each step of the sum."""
+    return (length + 8) * 2.0**-23
+
+
 class Block:
     """A block's members; meets chunks of rows and notes links."""
 
@@ -156,7 +163,7 @@ class Block:
     def meet(self, rep, n, x, start: int | None = None) -> np.ndarray:
         """Link members with the rows, which are the members from `start` on if that is given; the rows' numbers of links."""
         found = np.zeros(len(rep), np.int64)
-        s = x.astype(np.float32) @ self.x32.T >= np.float32(self.threshold - SLACK)
+        s = x.astype(np.float32) @ self.x32.T >= np.float32(self.threshold - slack(x.shape[1]))
         if start is not None:
             s &= np.arange(len(self.rep)) < (start + np.arange(len(rep)))[:, None]  # each pair of members once
         i, j = np.nonzero(s)
@@ -252,12 +259,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     classes = stored(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = classes.count()
     longest = classes.agg(F.max(F.size("v"))).first()[0] or 1
-    k = max(1, min(MAX_PIVOTS, MAX_PIVOT_VALUES // longest, math.ceil(total / BLOCK)))
+    block = max(1, min(BLOCK, BLOCK_VALUES // longest))
+    k = max(1, min(MAX_PIVOTS, MAX_PIVOT_VALUES // longest, math.ceil(total / block)))
     sample = [r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(k).collect()]
     pivots = spark.sparkContext.broadcast(Pivots(sample))
-    packed = classes.mapInArrow(pack_raw(dtype), "rep long, n long, raw binary")
+    packed = classes.where("rep is not null").mapInArrow(pack_raw(dtype), "rep long, n long, raw binary")
     sizes = cell_sizes(packed, pivots, dtype)
-    dealt = deal(packed, pivots, sizes, math.sqrt(2 - 2 * threshold), dtype)
+    dealt = deal(packed, pivots, sizes, math.sqrt(2 - 2 * threshold), dtype, block)
     found = stored(link_blocks(dealt, threshold, dtype, max(shuffle_partitions(spark), len(sizes))))
     member = components(found.where("b is not null").select("a", "b"))
     counts = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
@@ -267,7 +275,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         .select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     own = F.coalesce("component_id", "vec_id")
-    return rows.join(of, F.col("v") == F.col("w"), "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    return rows.join(of, F.col("v") == F.col("w"), "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
 
 def pack_raw(dtype: str):
