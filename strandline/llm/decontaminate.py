@@ -3,27 +3,31 @@
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. A window
 is `width` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-The set is broadcast only in blocks of at most `max_windows` windows (about 100 bytes each); a larger
-benchmark is worked through block by block and the hits of all blocks are merged for each document.
+Windows are cut, made distinct and counted in Spark. The set is broadcast only in blocks of about `max_windows`
+windows of WINDOW_BYTES bytes; a larger benchmark is worked through block by block and the hits of all blocks, found on
+the uncut text, are merged for each document.
 
-Nulls and texts without words have no hits; items without words are never found; repeated items and
-rows count each on its own; other columns are not read.
+Nulls and texts without words have no hits; items without words are never found; items without an id are found and
+cut like any other but not named or counted; repeated items are one; repeated rows count each on its own; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from strandline.llm.common import id_text, per_document, read
+from strandline.llm.common import arrow_schema, id_text, per_document, read, stored
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WIDTH = 10
 MAX_WINDOWS = 500_000
+WINDOW_BYTES = 200
 MAX_SPAN_SHARE = 0.5
 
 
@@ -32,19 +36,26 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-def windows_of(items: list[tuple[int, str | None]], width: int) -> dict:
-    """{'words': word -> number, 'windows': tuple of numbers -> item ids, 'widths': sorted widths}"""
+def items_of(rows: Iterable[tuple[list[bytes], list[int]]]) -> dict:
+    """{'words': word -> number, 'windows': tuple of numbers -> item ids, 'widths': sorted widths} of (window, item ids)"""
     numbers: dict[bytes, int] = {}
     windows: dict[tuple, set] = defaultdict(set)
-    for item, text in items:
-        w = [numbers.setdefault(x, len(numbers)) for x in words(text)]
-        if w:
-            k = min(width, len(w))
-            for i in range(len(w) - k + 1):
-                windows[tuple(w[i : i + k])].add(item)
+    for window, items in rows:
+        windows[tuple(numbers.setdefault(x, len(numbers)) for x in window)].update(items)
     return {"words": numbers, "windows": {k: sorted(v) for k, v in windows.items()}, "widths": sorted({len(k) for k in windows})}
 
 
+def cut_windows(text: str | None, width: int) -> list[list[bytes]]:
+    w = words(text)
+    k = min(width, len(w))
+    return [w[i : i + k] for i in range(len(w) - k + 1)] if w else []
+
+
+def windows_of(items: list[tuple[int | None, str | None]], width: int) -> dict:
+    """The set of some items' windows; an item without an id is found but not named."""
+    return items_of((w, [] if item is None else [item]) for item, text in items for w in cut_windows(text, width))
+
+
 def hits(doc: list[bytes], bench: dict) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged [start, end) word ranges inside any occurrence, and the items found. A window can only
     lie where all its words are benchmark words, so only such runs are looked at."""
@@ -78,39 +89,44 @@ def hits(doc: list[bytes], bench: dict) -> tuple[list[tuple[int, int]], set[int]
     return found, items
 
 
-def blocks_of(benchmark: DataFrame, width: int, max_windows: int, id_col: str, text_col: str):
-    """The benchmark's items that have words in blocks of bounded size, read partition by partition through the driver."""
-    block, size = [], 0
-    rows = benchmark.select(benchmark[id_col].cast("long"), benchmark[text_col]).where(F.col(text_col).isNotNull())
-    for item, text in rows.toLocalIterator():
-        n = len(words(text))
-        if not n:
-            continue
-        n = max(1, n - width + 1)
-        if block and size + n > max_windows:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += n
-    yield block
+def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """part, window (words joined by a space), item: all different windows of all items, cut in the tasks."""
+    schema = arrow_schema("item long, window binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = sorted({b" ".join(w) for w in cut_windows(text, width)})
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.int64()), pa.array(part, pa.binary())], schema=schema)
+
+    rows = benchmark.select(benchmark[id_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(run, "item long, window binary").distinct()
+
+
+def blocks_of(benchmark: DataFrame, width: int, max_windows: int, id_col: str, text_col: str) -> Iterator[tuple[int, dict]]:
+    """The number of blocks and the sets to broadcast, one after the other. Windows are cut and counted in Spark and dealt by a hash, so a block has
+    about max_windows (window, item) rows and max_windows * WINDOW_BYTES bytes at most; one block at a time comes to the driver."""
+    found = stored(benchmark_windows(benchmark, width, id_col, text_col))
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    blocks = max(1, -(-n // max_windows), -(-size // (max_windows * WINDOW_BYTES)))
+    part = F.pmod(F.xxhash64("window", "item"), F.lit(blocks))
+    for k in range(blocks):
+        rows = found.where(part == k).toLocalIterator()
+        yield blocks, items_of((bytes(r.window).split(b" "), [] if r["item"] is None else [r["item"]]) for r in rows)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: doc_id, n_words, ranges (merged word ranges), items (sorted item ids).
-    With several blocks, documents that share a doc_id and a text are one row each all the same,
-    as rows are told apart by a number of their own."""
-    spark = docs.sparkSession
+    With several blocks, rows are told apart by a number of their own, so repeated ones stay rows of their own."""
     schema = "doc_id long, n_words long, ranges array<struct<start:long,end:long>>, items array<long>"
-    base, parts = id_text(docs, id_col, text_col), []
-    blocks = blocks_of(benchmark, width, max_windows, item_col, "text")
-    block, more = next(blocks), next(blocks, None)
-    several = more is not None
-    if several:
-        from strandline.llm.common import stored
-
-        base = stored(base.withColumn("_row", F.monotonically_increasing_id())).select("_row", "text", "doc_id")
-    while block is not None:
-        sent = spark.sparkContext.broadcast(windows_of(block, width))
+    base, parts, several = id_text(docs, id_col, text_col), [], False
+    for blocks, bench in blocks_of(benchmark, width, max_windows, item_col, "text"):
+        if blocks > 1 and not several:
+            several = True
+            base = stored(base.withColumn("_row", F.monotonically_increasing_id())).select("_row", "text", "doc_id")
+        sent = docs.sparkSession.sparkContext.broadcast(bench)
 
         def make(sent=sent):
             bench = sent.value
@@ -127,10 +143,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ma
 
             return work
 
-        parts.append(per_document(base, make, schema + (", _doc long" if several else "")))
-        block, more = more, next(blocks, None)
-    if len(parts) == 1:
-        return parts[0]
+        if not several:
+            return per_document(base, make, schema)
+        found = per_document(base, make, schema + ", _doc long")
+        parts.append(stored(found.where("size(ranges) > 0") if parts else found))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -169,51 +185,37 @@ def without_ranges(text: str, bench: dict) -> str | None:
     return cut(text, hits(words(text), bench)[0])
 
 
-def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without benchmark passages: their words are cut out of a text, and a document of which they
-    are over half goes. All columns stay; documents without hits stay as they are. Each block adds its ranges on the
-    whole text in a column; the last one cuts and judges by those of all."""
-    schema = docs.schema
-    blocks = blocks_of(benchmark, width, max_windows, "item_id", "text")
-    block, first = next(blocks), True
-    while block is not None:
-        following = next(blocks, None)
-        sent = docs.sparkSession.sparkContext.broadcast(windows_of(block, width))
-
-        def run(batches, sent=sent, first=first, last=following is None):
-            import numpy as np
-            import pyarrow as pa
-
-            bench = sent.value
-            for batch in batches:
-                i = batch.schema.get_field_index("text")
-                texts = batch.column(i).to_pylist()
-                ranges = [hits(words(t), bench)[0] for t in texts]
-                if not first:
-                    k = batch.schema.get_field_index("_ranges")
-                    before = [np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for x in batch.column(k).to_pylist()]
-                    ranges = [merged_ranges([*map(tuple, x), *r]) for x, r in zip(before, ranges, strict=True)]
-                    batch = batch.remove_column(k)
-                if not last:
-                    yield batch.append_column("_ranges", pa.array([np.array(r, "<i8").tobytes() for r in ranges], pa.binary()))
-                    continue
-                new = [cut(t, r) if t else t for t, r in zip(texts, ranges, strict=True)]
-                gone = [t is not None and x is None for t, x in zip(texts, new, strict=True)]
-                out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
-                yield out.filter(pa.array([not g for g in gone], pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema if following is None else StructType([*schema.fields, StructField("_ranges", BinaryType())]))
-        block, first = following, False
+    are over half goes. All columns stay; documents without hits stay as they are. With several blocks, the ranges of all
+    are found on the whole text first; then the text is cut and judged once."""
+    schema, blocks = docs.schema, blocks_of(benchmark, width, max_windows, "item_id", "text")
+    count, bench = next(blocks)
+    if count == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(bench)
+
+        def ranges_of(batch, texts):
+            return [hits(words(t), sent.value)[0] for t in texts]
+
+    else:
+        docs = stored(docs.withColumn("_strandline_row", F.monotonically_increasing_id()))
+        found = find_benchmark(docs, benchmark, width, max_windows, "_strandline_row").where("size(ranges) > 0")
+        found = stored(found.select(F.col("doc_id").alias("_strandline_hit"), "ranges"))
+        docs = docs.join(found, F.col("_strandline_row") == F.col("_strandline_hit"), "left").select(*schema.names, F.col("ranges").alias("_strandline_ranges"))
+
+        def ranges_of(batch, texts):
+            return [[(r["start"], r["end"]) for r in x or []] for x in batch.column(batch.num_columns - 1).to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            texts = batch.column(i).to_pylist()
+            new = [cut(t, r) if t else t for t, r in zip(texts, ranges_of(batch, texts), strict=True)]
+            gone = [t is not None and x is None for t, x in zip(texts, new, strict=True)]
+            out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type)).select(schema.names)
+            yield out.filter(pa.array([not g for g in gone], pa.bool_()))
+
+    docs = docs.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return docs
