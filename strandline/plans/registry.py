@@ -46,9 +46,9 @@ def composite_median(spark, sf_dir):
     return _composite(spark, sf_dir).select("row", "col", r9("green"), r9("swir"), r9("nir"), "n_scenes")
 
 
-@query(f"WITH {MASKED}, w AS (SELECT *, CASE WHEN green + swir <> 0 THEN (green - swir) / (green + swir) END AS index FROM comp) SELECT row, col, round(index, 9) AS index, coalesce(index, -1) > 0 AS water FROM w")
+@query(f"WITH {MASKED}, w AS (SELECT *, CASE WHEN green + swir <> 0 THEN (green - swir) / (green + swir) END AS index FROM comp) SELECT row, col, round(index, 9) + 0.0::DOUBLE AS index, coalesce(index, -1) > 0 AS water FROM w")
 def composite_water(spark, sf_dir):
-    return composite.with_water(_composite(spark, sf_dir)).select("row", "col", r9("index"), "water")
+    return composite.with_water(_composite(spark, sf_dir)).select("row", "col", (F.round("index", 9) + 0.0).alias("index"), "water")  # no negative zero
 
 
 @query(f"WITH {MASKED} SELECT row, col, round(CASE WHEN green + nir <> 0 THEN (green - nir) / (green + nir) END, 9) AS ndwi FROM comp")

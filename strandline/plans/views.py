@@ -14,11 +14,11 @@ def scene_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of seven scenes on a raster of eight columns whose rows grow with the orders."""
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
-        c("l_linenumber").cast("long").alias("scene"), F.floor(c("l_orderkey") / 48).alias("row"), (c("l_partkey") % 8).alias("col"), F.round(c("l_discount") * 100).cast("int").alias("qa"), c("l_tax").alias("green"), (c("l_quantity") / 1000).alias("swir"), (c("l_extendedprice") / 2000000).alias("nir")
+        c("l_linenumber").cast("long").alias("scene"), F.floor(c("l_orderkey") / 48).alias("row"), (c("l_partkey") % 8).alias("col"), F.round(c("l_discount") * 100).cast("int").alias("qa"), c("l_tax").alias("green"), (c("l_quantity") / 1000).alias("swir"), (c("l_extendedprice") / 1999993).alias("nir")
     )
 
 
-SCENE_PX = "scene_px AS (SELECT l_linenumber::BIGINT AS scene, l_orderkey // 48 AS row, l_partkey % 8 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green, l_quantity / 1000 AS swir, l_extendedprice / 2000000 AS nir FROM lineitem)"
+SCENE_PX = "scene_px AS (SELECT l_linenumber::BIGINT AS scene, l_orderkey // 48 AS row, l_partkey % 8 AS col, round(l_discount * 100)::INT AS qa, l_tax AS green, l_quantity / 1000 AS swir, l_extendedprice / 1999993 AS nir FROM lineitem)"
 
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
