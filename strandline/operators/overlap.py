@@ -62,15 +62,21 @@ def atomic_cells(footprints: DataFrame, size: float = 1.0, min_area: float = 0.0
     side and have the same cover are one cell, so neither cells nor areas depend on `size`. Footprints that only touch a
     cell don't count. footprints: id, layer, file and the box in degrees."""
     c = F.col
-    pieces = stored(fragments(footprints, size).withColumn("piece", F.monotonically_increasing_id()))
+    # fragments side by side between the same two heights become one piece, so few pieces are left to be linked
+    row = Window.partitionBy("gy", "y0", "y1", "cover").orderBy("x0")
+    apart = F.coalesce((F.lag("x1").over(row) != c("x0")).cast("int"), F.lit(0))
+    runs = fragments(footprints, size).withColumn("apart", apart).withColumn("run", F.sum("apart").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("gy", "y0", "y1", "cover", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.first("n").alias("n")).drop("run")
+    pieces = stored(runs.withColumn("piece", F.monotonically_increasing_id()))
     a, b = (pieces.select(*[c(x).alias(f"{k}_{x}") for x in pieces.columns]) for k in "ab")
     beside = a.join(b, (c("a_gy") == c("b_gy")) & (c("a_x1") == c("b_x0")) & (c("a_cover") == c("b_cover"))).where("a_y0 < b_y1 and b_y0 < a_y1")
-    above = a.join(b, (c("a_gx") == c("b_gx")) & (c("a_gy") + 1 == c("b_gy")) & (c("a_y1") == c("b_y0")) & (c("a_cover") == c("b_cover"))).where("a_x0 < b_x1 and b_x0 < a_x1")
+    above = a.join(b, (c("a_gy") + 1 == c("b_gy")) & (c("a_y1") == c("b_y0")) & (c("a_cover") == c("b_cover"))).where("a_x0 < b_x1 and b_x0 < a_x1")
     links = beside.unionByName(above).select(c("a_piece").alias("a"), c("b_piece").alias("b"))
     mercator = lambda y: geo.mercator(F.lit(0.0), y)[1]
     area = F.sum(geo.MERCATOR_RADIUS * F.radians(c("x1") - c("x0")) * (mercator(c("y1")) - mercator(c("y0"))))
     named = pieces.join(components(links), c("piece") == c("node"), "left").withColumn("cell", F.coalesce("component", "piece"))
-    inside = F.min_by(F.struct("gx", "gy", ((c("x0") + c("x1")) / 2).alias("x"), ((c("y0") + c("y1")) / 2).alias("y")), F.struct("x0", "y0")).alias("at")
+    middle = (c("x0") + c("x1")) / 2
+    inside = F.min_by(F.struct(F.floor(middle / size).alias("gx"), "gy", middle.alias("x"), ((c("y0") + c("y1")) / 2).alias("y")), F.struct("x0", "y0")).alias("at")
     cells = named.groupBy("cell").agg(F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"), area.alias("area_m2"), F.first("n").alias("overlap_count"), inside)
     cells = stored(cells.where(c("area_m2") > min_area))
     over = footprints.select("layer", "file", c("xmin").alias("l"), c("ymin").alias("b"), c("xmax").alias("r"), c("ymax").alias("t"), _cells(size)).select("layer", "file", "l", "b", "r", "t", "g.gx", "g.gy")
