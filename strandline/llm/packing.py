@@ -1,12 +1,12 @@
 """Order-preserving packing of tokenised documents by dynamic programming.
 
 Each task packs its own rows in their order. Cuts may fall at document ends (free), at sentence ends (a small
-penalty) or, in sentences longer than `HARD_GAP` tokens, elsewhere (a large penalty). With p the position of a
+penalty) or, in sentences longer than `HARD_GAP` tokens (or a window), elsewhere (a large penalty). With p the position of a
 cut and f its least cost, f[i] = penalty[i] + capacity - p[i] + min(f[j] + p[j]) over the cuts j at most
 `capacity` tokens before; the minimum comes from a monotone queue. The programme runs over blocks of some
-BLOCK tokens: all but the last windows of a block are final, the rest goes on to the next block, so a task
-holds one block whatever its input. What is left at a task's end is split into lengths that are powers of
-two, which need no padding.
+BLOCK tokens: a block's last four windows are taken up again by the next block, so a task holds one block whatever its
+input. The chain over blocks may therefore cost more than one over the whole input; tests/llm holds it to within one
+window in a hundred. What is left at a task's end is split into lengths that are powers of two, which need no padding.
 
 A null text is empty; an empty document is its end id alone; repeated rows are packed each on its own;
 an empty table gives no pieces; other columns are not read.
@@ -20,17 +20,19 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from strandline.llm.common import arrow_schema, id_text, read
 
 #: The ranks file of the byte_bpe_50k vocabulary; ids equal those of byte_bpe_50k.json (see tests/llm).
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 END_ID = 1
 CAPACITY = 2048
@@ -42,6 +44,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Where no two white-space characters meet, the pattern needs no look-ahead, and matching is twice as fast.
 LOOK_AHEAD, SINGLE = r"\s+(?!\S)|\s+", r"\s"
 MEETING = re.compile(r"\s\s")
+#: Texts of all kinds of pieces: words, contractions, digits, signs, white space, marks, special strings, bytes of any length.
+PROBES = ("Plain words, one after another.", "don't we'll I'm IT'S", "  two  spaces \n\n\t tabs ", "1234567 3.14 a1b2", f"x{SPECIAL}y <s></s>", "é漢字かな한국어 русский العربية", "e\u0301 \U0001f600\U0001f468\u200d\U0001f469 \u00a0\u2003\x00\x7f", "".join(map(chr, range(1, 512))), "a" * 300 + "?!" * 50)
 
 
 class Ids:
@@ -67,14 +71,24 @@ class Ids:
         return np.frombuffer(out, "<u4")
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache
+def compared(path: str, vocabulary: str) -> None:
+    """Raises unless the ranks file and the tokenizers file give the same ids for odd texts; once in each driver."""
+    known, ids = Tokenizer.from_file(vocabulary), Ids(path)
+    for text in PROBES:
+        want = known.encode(text, add_special_tokens=False).ids
+        if ids.encode(text)[:-1].tolist() != want:
+            raise ValueError(f"{path} and {vocabulary} differ on {text!r}")
+
+
+def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, gap: int = HARD_GAP) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a window may end, rising, and their penalties. The last is the last document end."""
     cost = {}
     marks = np.flatnonzero(sentence_end[ids]) + 1
     at = np.union1d(marks, ends)
     gaps = np.diff(np.concatenate(([0], at)))
-    if (wide := np.flatnonzero(gaps > HARD_GAP)).size:
-        extra = [np.arange(at[k] - gaps[k] + HARD_GAP, at[k], HARD_GAP) for k in wide]
+    if (wide := np.flatnonzero(gaps > gap)).size:
+        extra = [np.arange(at[k] - gaps[k] + gap, at[k], gap) for k in wide]
         cost = np.concatenate(extra)
         at = np.union1d(at, cost)
     penalty = np.full(at.size, SENTENCE_COST, np.int64)
@@ -133,7 +147,7 @@ class Packer:
             return []
         parts = [ids[base:] for _, ids, base in self.held]
         ids, ends = np.concatenate(parts), np.cumsum([p.size for p in parts])
-        at, penalty = cut_points(ids, ends, self.sentence_end)
+        at, penalty = cut_points(ids, ends, self.sentence_end, min(HARD_GAP, self.capacity))
         cuts = best_cuts(at.tolist(), penalty.tolist(), self.capacity)
         if last:
             start = cuts[-2] if len(cuts) > 1 else 0
@@ -157,9 +171,11 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ranks: the ranks file of the
+    tokenizers file `vocabulary`."""
     path, schema = ranks or public_tokenizers.path(RANKS), arrow_schema(SCHEMA)
+    compared(path, vocabulary or public_tokenizers.path(VOCABULARY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
