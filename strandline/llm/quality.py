@@ -5,8 +5,8 @@ length-weighted mean of the forward-backward marginals, put on the scale of the
 Only documents are labelled, so the lines' labels are learnt: all lines of good documents are good, and in
 bad documents a line model re-estimates, round by round, which lines are.
 
-Fitting uses at most MAX_TRAIN labelled documents (lowest hash first) and only their line features come to the
-driver; scoring covers all lines of all documents. Labels, lang, source and doc_id are never features.
+Fitting uses at most MAX_TRAIN labelled documents (lowest hash first) and MAX_CHUNKS * CHUNK lines of each, and only
+these lines' features come to the driver; scoring covers all lines of all documents. Labels, lang, source and doc_id are never features.
 
 Null, empty and blank texts have no lines and get the share of good documents among the fitted ones. Repeated
 rows are scored each on its own. Without labelled documents of both kinds every score is that share (1 if
@@ -28,6 +28,7 @@ MAX_TRAIN = 4_000
 THRESHOLD = 0.3
 HELD_OUT = 5
 CHUNK = 128  # lines of a training sequence; longer documents are cut into several
+MAX_CHUNKS = 4  # sequences that a training document gives, evenly spaced in it
 ROUNDS = 3
 
 UPPER = bytes(range(65, 91))
@@ -225,6 +226,14 @@ def fit(rows: list[tuple[int, list[int], np.ndarray]]) -> Field:
     return field
 
 
+def training_lines(n: int, chunk: int = CHUNK, most: int = MAX_CHUNKS) -> np.ndarray:
+    """Which of a document's n lines are fitted: all, or `most` chunks evenly spaced from the first to the last."""
+    if n <= chunk * most:
+        return np.arange(n)
+    starts = np.linspace(0, n - chunk, most).astype(int)
+    return (starts[:, None] + np.arange(chunk)).ravel()
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fit on at most max_train labelled documents that are not held out."""
     key = F.col("doc_id")
@@ -234,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     def make():
         def work(quality, texts, ids):
             lines = [lines_of(t) for t in texts]
-            return quality, [[len(x) for x in v] for v in lines], [line_features(v).tobytes() for v in lines], ids
+            some = [training_lines(len(v)) for v in lines]
+            return quality, [[len(v[i]) for i in k] for v, k in zip(lines, some, strict=True)], [line_features(v)[k].tobytes() for v, k in zip(lines, some, strict=True)], ids
 
         return work
 
