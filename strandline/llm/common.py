@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandline.storage import stored  # noqa: F401  the operators here take it from this module
 
@@ -45,7 +44,3 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def rows_without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return df.join(gone.select(F.col(key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")

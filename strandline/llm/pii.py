@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterable
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ ADDED_KINDS = ("login", "iban", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
+IBAN_CUES = ("IBAN", "Iban", "iban")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -63,14 +63,10 @@ def iban_ok(number: str) -> bool:
 
 def iban_end(text: str, start: int, end: int) -> int:
     """Where the account number at `start` ends, -1 without one; text[start:end] is the longest run of its characters.
-    It has its country's length; in a country not listed it ends at a space or at the run's end, as late as its check allows."""
+    It has its country's length; a country without one has no account numbers."""
     places = [i for i in range(start, end) if text[i] != " "]
-    length = IBAN_LENGTH.get(text[start : start + 2])
-    if length:
-        ends = [places[length - 1] + 1] if len(places) >= length else []
-    else:
-        ends = [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]
-    return next((e for e in ends if len(text[start:e].replace(" ", "")) >= 15 and iban_ok(text[start:e])), -1)
+    length = IBAN_LENGTH.get(text[start : start + 2], len(places) + 1)
+    return places[length - 1] + 1 if len(places) >= length and iban_ok(text[start : places[length - 1] + 1]) else -1
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -80,7 +76,8 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    found.add_word("IBAN", ("iban", 4))
+    for form in IBAN_CUES:
+        found.add_word(form, ("iban", 4))
     for cue in SECRET_CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("secret", len(cue)))
@@ -134,10 +131,6 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
     return out
 
 
-def joined(spans: Iterable[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
-
-
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
     out, at = [], 0
@@ -182,12 +175,10 @@ def sql5() -> str:
         "card": r"[0-9](?:[ -]?[0-9])+",
         "phone": r"\+[0-9][ ().0-9-]+[0-9]",
         "login": r"://[^\s/@:?#]+:[^\s/@?#]+@",
-        "iban": r"IBAN[:\s]{0,3}[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
         "secret": "(?:" + "|".join(f for c in SECRET_CUES for f in (c, c.upper(), c.capitalize())) + r""")[ \t]*[=:][ \t]*["']?[A-Za-z0-9_+/=.-]{8,}""",
     }
     inner = {
         "login": ("3", "length(m) - 4"),
-        "iban": (r"length(regexp_extract(m, '^IBAN[:\s]{0,3}'))", r"length(m) - length(regexp_extract(m, '^IBAN[:\s]{0,3}'))"),
         "secret": (r"""length(regexp_extract(m, '^[A-Za-z_]+[ \t]*[=:][ \t]*["'']?'))""", r"""length(m) - length(regexp_extract(m, '^[A-Za-z_]+[ \t]*[=:][ \t]*["'']?'))"""),
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -197,7 +188,6 @@ def sql5() -> str:
         "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0",
         "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": "false",
         "secret": "regexp_matches(substr(m, skip::BIGINT + 1), '[0-9]')",
     }
     parts = []
@@ -207,6 +197,16 @@ def sql5() -> str:
         parts.append(f"""SELECT rid, '{k}' AS kind, {ORDER[k]} AS o, before + skip AS a, before + skip + width AS b FROM (
   SELECT rid, m, {skip} AS skip, {width} AS width, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS before
   FROM (SELECT rid, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS pieces FROM d) WHERE len(ms) > 0)) WHERE {fine[k]}""")
+    # a cue at a time, as the run of one may reach over the next; the number has its country's length and passes mod 97
+    lengths = "CASE substr(c, 1, 2) " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in sorted(IBAN_LENGTH.items())) + " END"
+    number = "list_reduce(list_transform(string_split(list_aggregate(list_transform(string_split(n[5:] || n[:4], ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), 'string_agg', ''), ''), lambda c: c::INT), lambda a, b: (a * 10 + b) % 97)"
+    parts.append(rf"""SELECT rid, 'iban' AS kind, {ORDER["iban"]} AS o, place + skip AS a, place + skip + list_filter(generate_series(1, length(c)), lambda i: length(replace(c[1:i], ' ', '')) = size)[1] AS b FROM (
+  SELECT *, replace(c, ' ', '')[1:size] AS n FROM (SELECT *, {lengths} AS size FROM (
+  SELECT rid, place, length(regexp_extract(after, '^[:\s]{{0,3}}')) AS skip, regexp_extract(after, '^[:\s]{{0,3}}([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})', 1) AS c FROM (
+  SELECT rid, place, substr(text, place + 1, 80) AS after FROM (
+  SELECT rid, text, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + 4 * i)::BIGINT AS place FROM (
+  SELECT rid, text, pieces, unnest(generate_series(1, len(pieces) - 1)) AS i FROM (SELECT rid, text, string_split_regex(text, '{"|".join(IBAN_CUES)}') AS pieces FROM d) WHERE len(pieces) > 1)))) WHERE c <> '')
+  WHERE length(replace(c, ' ', '')) >= size) WHERE {number} = 1""")
     base = ", ".join(f"'{k}'" for k in BASE_KINDS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
