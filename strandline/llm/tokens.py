@@ -27,6 +27,7 @@ TABLE_SIZE = 16_384  # entries of the broadcast table
 TASK_TOP = 2_000  # heaviest pre-tokens that a task reports
 TASK_KEEP = 100_000  # distinct pre-tokens that a task counts at once; beyond, light ones are dropped
 CACHE_SIZE = 900_000  # entries of a worker's cache
+LONG = 64  # longer pre-tokens (blobs) are neither kept nor reported, so tables have bounded bytes
 
 SPACE = "▁"
 PRE_TOKEN = re.compile(r" *[^ \n]+|\n| +")
@@ -53,7 +54,9 @@ class Lengths(dict):
         if len(self) >= self.size:
             self.clear()
             self.update(self.frequent)
-        self[piece] = n = len(self.model.encode("\n" + piece, num_threads=1)) - self.lead
+        n = len(self.model.encode("\n" + piece, num_threads=1)) - self.lead
+        if len(piece) <= LONG:
+            self[piece] = n
         return n
 
     def count(self, text: str | None) -> int:
@@ -69,7 +72,7 @@ def heaviest(docs: DataFrame, size: int) -> list[str]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                seen.update(pre_tokens(text))
+                seen.update(p for p in pre_tokens(text) if len(p) <= LONG)
             if len(seen) > TASK_KEEP:
                 seen = Counter(dict(seen.most_common(TASK_KEEP // 4)))
         top = seen.most_common(TASK_TOP)
