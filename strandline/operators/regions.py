@@ -194,11 +194,6 @@ def with_metrics(features: DataFrame, lakes: DataFrame) -> DataFrame:
     return features.join(lakes, "label", "left")
 
 
-def summary(lakes: DataFrame) -> DataFrame:
-    """One row: lake_count, total_area, mean_fractal_dimension over lakes that have one."""
-    return lakes.agg(F.count(F.lit(1)).alias("lake_count"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("total_area"), F.avg("fractal_dimension").alias("mean_fractal_dimension"))
-
-
 def largest(lakes: DataFrame, n: int = 12) -> DataFrame:
     return lakes.orderBy(F.desc("area"), "label").limit(n)
 
