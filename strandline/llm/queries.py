@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, embeddings, licences, near_text, packing, pii, quality, repeats, tokens, urls
+from strandline.llm import audit, decontaminate, embeddings, licences, near_text, packing, pii, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_licences": licences.op8_licences,
         "op9_near_text": near_text.op9_near_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": urls.sql7(),
         "op8_licences": licences.sql8(),
         "op10_decontaminate": decontaminate.SQL10,
+        "op13_filter_audit": audit.SQL13,
     }
