@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import audit, decontaminate, embeddings, licences, near_text, packing, pii, quality, repeats, tokens, urls
+from strandline.llm import audit, decontaminate, embeddings, licences, near_text, negatives, neighbours, packing, pii, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_licences": licences.op8_licences,
         "op9_near_text": near_text.op9_near_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_neighbours": neighbours.op11_neighbours,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
         "op13_filter_audit": audit.op13_filter_audit,
     }
 
@@ -29,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": urls.sql7(),
         "op8_licences": licences.sql8(),
         "op10_decontaminate": decontaminate.SQL10,
+        "op12_hard_negatives": negatives.SQL12,
         "op13_filter_audit": audit.SQL13,
     }
