@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.storage import stored
+from strandline.storage import free, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,13 +20,19 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.distinct())
     least = stored(links.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
     turned = links.join(least.where("n > 1").select("a", "least"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    links = least.select("a", F.col("least").alias("b")).unionByName(turned)
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    fewer = least.select("a", F.col("least").alias("b")).unionByName(turned)
+    both = stored(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    free(links, least)
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = stored(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        if least.where("label < old").isEmpty():
+        done = least.where("label < old").isEmpty()
+        if not done:
+            free(labels)
+            jump = least.select(F.col("node").alias("over"), F.col("label").alias("to"))
+            labels = stored(least.join(jump, F.col("label") == F.col("over")).select("node", F.least("label", "to").alias("label")))
+        free(least)
+        if done:
+            free(both)
             return labels.withColumnRenamed("label", "component")
-        jump = least.select(F.col("node").alias("over"), F.col("label").alias("to"))
-        labels = stored(least.join(jump, F.col("label") == F.col("over")).select("node", F.least("label", "to").alias("label")))

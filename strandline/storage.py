@@ -26,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives
-    executors, is column-pruned by later reads and is deleted when the session's JVM ends."""
+    executors, is column-pruned by later reads and is deleted by `free`, or when the session's JVM ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing is going to read any more: what was made from them has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
