@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.storage import stored  # noqa: F401  the operators here take it from this module
+from strandline.storage import free, stored  # noqa: F401  the operators here take them from this module
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
