@@ -12,9 +12,9 @@ blocks, each joined with all later blocks and all copies, so a task holds one bl
 are compared in single precision; what is near the threshold or above is decided in double precision. Copies carry
 vectors in the precision of the input.
 
-Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors without an id that
-equal none with one link with their equals only, and stay. Vectors of different
-lengths never link. Repeated rows are vectors of their own. An empty table gives an empty result; other columns
+Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors without an id link as
+others do; their class goes by a hash of the vector, and their component is the smallest id in it, or null if none has one;
+they stay. Vectors of different lengths never link. Repeated rows are vectors of their own. An empty table gives an empty result; other columns
 are not read. How much the pivots save depends on the data: where most vectors are about as far from each other,
 each is near most borders, and the join compares a constant share of all pairs.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import arrow_schema, read, shuffle_partitions, stored
+from strandline.llm.common import arrow_schema, free, read, shuffle_partitions, stored
 from strandline.operators.graph import components
 
 THRESHOLD = 0.95
@@ -256,24 +256,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     dtype = "<f4" if kind == "float" else "<f8"
     v = F.col(vector_col) if kind == "float" else F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("v", F.when(usable("v"), F.col("v")))
-    classes = stored(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = stored(classes.withColumn("rep", F.coalesce("least", F.xxhash64("v"))))
     total = classes.count()
     longest = classes.agg(F.max(F.size("v"))).first()[0] or 1
     block = max(1, min(BLOCK, BLOCK_VALUES // longest))
     k = max(1, min(MAX_PIVOTS, MAX_PIVOT_VALUES // longest, math.ceil(total / block)))
     sample = [r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(k).collect()]
     pivots = spark.sparkContext.broadcast(Pivots(sample))
-    packed = classes.where("rep is not null").mapInArrow(pack_raw(dtype), "rep long, n long, raw binary")
+    packed = classes.select("v", "rep", "n").mapInArrow(pack_raw(dtype), "rep long, n long, raw binary")
     sizes = cell_sizes(packed, pivots, dtype)
     dealt = deal(packed, pivots, sizes, math.sqrt(2 - 2 * threshold), dtype, block)
     found = stored(link_blocks(dealt, threshold, dtype, max(shuffle_partitions(spark), len(sizes))))
     member = components(found.where("b is not null").select("a", "b"))
     counts = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
-    of = stored(
-        classes.join(counts, "rep", "left")
-        .join(member, F.col("rep") == F.col("node"), "left")
-        .select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    joined = stored(classes.join(counts, "rep", "left").join(member, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")))
+    ids = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    of = stored(joined.join(ids, "component").select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
+    free(classes, found, joined, ids)
     own = F.coalesce("component_id", "vec_id")
     return rows.join(of, F.col("v") == F.col("w"), "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
@@ -297,9 +297,9 @@ SQL1 = """
 WITH RECURSIVE e AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 l AS (SELECT a.k AS ka, b.k AS kb, a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.k <> b.k AND len(a.v) = len(b.v) WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.95),
-c(k, vec_id, reach) AS (SELECT ka, a, b FROM l UNION SELECT c.k, c.vec_id, l.b FROM c JOIN l ON l.a = c.reach),
-m AS (SELECT k, min(reach) AS low FROM c GROUP BY k),
+c(k, reach) AS (SELECT ka, kb FROM l UNION SELECT c.k, l.kb FROM c JOIN l ON l.ka = c.reach),
+m AS (SELECT c.k, min(e.vec_id) AS low FROM c JOIN e ON e.k = c.reach GROUP BY c.k),
 n AS (SELECT ka AS k, count(*) AS n_links FROM l GROUP BY ka)
-SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m.low, e.vec_id)) AS kept
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, m.low) AS component_id, coalesce(e.vec_id = least(e.vec_id, m.low), true) AS kept
 FROM e LEFT JOIN n ON e.k = n.k LEFT JOIN m ON e.k = m.k
 """

@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -78,11 +79,20 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
         assert got[i].component_id == min(seen) and got[i].kept == (min(seen) == i)
 
 
-def test_embeddings_without_ids(spark):
+def test_embeddings_without_ids(spark, tmp_path):
     v, w = [1.0, 2.0, 3.0], [-1.0, 0.5, 2.0]
     rows = [(None, v), (None, v), (3, w), (None, w), (4, w), (5, [w[0], w[1], 2.01])]
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
     assert got == [(0, 1, 0, True), (0, 1, 0, True), (0, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (5, 3, 3, False)]
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.1]), (3, [1.0, 0.05]), (None, [-1.0, 0.1]), (None, [-1.0, 0.0]), (None, [-1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in embeddings.near_duplicates(df).orderBy("vec_id", "n_links", "component_id").collect()]
+    assert sorted(got, key=repr) == sorted([(1, 2, 1, True), (3, 2, 1, False), (None, 2, 1, True)] + [(None, 2, None, True)] * 3, key=repr)
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(embeddings.SQL1).fetchall()
+    assert sorted(want, key=repr) == sorted(got, key=repr)
 
 
 def test_slack_covers_single_precision():
@@ -590,6 +600,35 @@ def test_recall_over_the_whole_definition(spark, case):
     assert found >= 0.9 * all_of_them
 
 
+@pytest.mark.parametrize("case", [(10, 2, 0), (20, 4, 0), (25, 5, 0), (30, 6, 0), (50, 10, 0), (5, 1, 0), (96, 19, 0)])
+def test_short_texts_all_meet(spark, case):
+    found, all_of_them = near_recall.recall(spark, case, 100)
+    assert found == all_of_them
+
+
+@pytest.mark.parametrize("sharing", [near_text.SMALL, near_text.SMALL + 2])
+def test_pairs_in_buckets_under_and_over_the_size_that_aligns_all(spark, sharing):
+    found, all_of_them = near_recall.recall(spark, (120, 18, 60, sharing), 9 * sharing)
+    assert found >= 0.97 * all_of_them
+
+
+def test_short_runs_are_shared_by_every_near_pair():
+    rnd = random.Random(21)
+    for n in range(4, 101):
+        for _ in range(20):
+            x = [rnd.randrange(10**9) for _ in range(n)]
+            y = list(x)
+            for _ in range(n // 5):  # an edit: another word, one less, or one more if the text may still grow
+                at = rnd.randrange(len(y))
+                if rnd.random() < 0.4:
+                    y[at] = rnd.randrange(10**9)
+                elif rnd.random() < 0.5:
+                    del y[at]
+            a, b = (near_text.keys_of(repeats.mixed(np.array(w, np.uint64))) for w in (x, y))
+            if n >= 5:
+                assert set(a.tolist()) & set(b.tolist())
+
+
 def test_a_large_group_of_near_copies(spark):
     rnd = random.Random(16)
     base = [f"w{rnd.randrange(10**9)}" for _ in range(100)]
