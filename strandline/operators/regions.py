@@ -16,20 +16,24 @@ WIDTH = 1 << 31  # pixel number = row * WIDTH + col
 SIDES = ((0, 1), (1, 0), (0, -1), (-1, 0))
 
 
-def _tile_labels(row: np.ndarray, col: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Least pixel number of each pixel's region inside one tile, by minimum labels on the tile's grid."""
+def _tile_labels(row: np.ndarray, col: np.ndarray, diagonal: bool, value: np.ndarray | None = None) -> np.ndarray:
+    """Least pixel number of each pixel's region inside one tile, by minimum labels on the tile's grid; neighbours of
+    different values are apart."""
     r0, c0 = row.min(), col.min()
     far = np.iinfo(np.int64).max
     grid = np.full((row.max() - r0 + 3, col.max() - c0 + 3), far)
     at = (row - r0 + 1, col - c0 + 1)
     grid[at] = row * WIDTH + col
     inside = grid < far
+    values = np.zeros(grid.shape, np.int64)
+    if value is not None:
+        values[at] = np.unique(value, return_inverse=True)[1]
     steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
     while True:
         low = grid.copy()
         for dr, dc in steps:
-            moved = np.roll(grid, (dr, dc), (0, 1))
-            np.minimum(low, moved, out=low)
+            moved, same = np.roll(grid, (dr, dc), (0, 1)), np.roll(values, (dr, dc), (0, 1)) == values
+            np.minimum(low, np.where(same, moved, far), out=low)
         low = np.where(inside, low, far)
         # a pixel's label names a pixel; take over what that one has learnt
         names = low[inside]
@@ -39,23 +43,28 @@ def _tile_labels(row: np.ndarray, col: np.ndarray, diagonal: bool) -> np.ndarray
         grid = low
 
 
-def label_regions(mask: DataFrame, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+def label_regions(mask: DataFrame, connectivity: int = 8, tile: int = TILE, value: str | None = None) -> DataFrame:
     """row, col, label: label is the region's least row * 2^31 + col. Tiles are labelled by themselves; only
-    labels that touch across seams take part in the distributed components."""
-    pixels = mask.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    labels that touch across seams take part in the distributed components. With a column `value` (long, not null, one for
+    each pixel) a region's pixels have one value, and it is kept."""
+    kept = [F.col(value).cast("long").alias(value)] if value else []
+    pixels = mask.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *kept).distinct()
     tiled = pixels.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
 
+    own = [value] if value else []
+
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "part": _tile_labels(pdf["row"].to_numpy(), pdf["col"].to_numpy(), connectivity == 8)})
+        part = _tile_labels(pdf["row"].to_numpy(), pdf["col"].to_numpy(), connectivity == 8, pdf[value].to_numpy() if value else None)
+        return pdf[["row", "col", *own]].assign(part=part)
 
-    parts = tiled.groupBy("tr", "tc").applyInPandas(one_tile, "row long, col long, part long")
+    parts = tiled.groupBy("tr", "tc").applyInPandas(one_tile, ", ".join(f"{c} long" for c in ("row", "col", *own, "part")))
     parts = stored(parts)
     edge = parts.where((F.pmod("row", F.lit(tile)) == tile - 1) | (F.pmod("col", F.lit(tile)) == tile - 1) | (F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)) == 0))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     to = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps])).alias("to")
-    touching = edge.select("part", to).select(F.col("part").alias("a"), "to.row", "to.col").join(edge.select("row", "col", F.col("part").alias("b")), ["row", "col"]).where("a <> b").select("a", "b").distinct()
+    touching = edge.select("part", *own, to).select(F.col("part").alias("a"), *own, "to.row", "to.col").join(edge.select("row", "col", *own, F.col("part").alias("b")), ["row", "col", *own]).where("a <> b").select("a", "b").distinct()
     merged = components(touching)
-    return parts.join(merged, F.col("part") == F.col("node"), "left").select("row", "col", F.coalesce("component", "part").alias("label"))
+    return parts.join(merged, F.col("part") == F.col("node"), "left").select("row", "col", *own, F.coalesce("component", "part").alias("label" if value != "label" else "part"))
 
 
 def neighbour_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,13 +88,18 @@ def blobs(labels: DataFrame, keys: list[str] | None = None, min_area: int = 1) -
     return found.where(F.col("area_px") >= min_area)
 
 
+def sides(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, turn (0 east, 1 south, 2 west, 3 north), r1, c1, r2, c2: the directed sides between a region and what is not of
+    it, by pixel corners. Every pixel has four sides in a fixed sense, so that the region is on their right; sides between two pixels of a region cancel."""
+    ends = (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), (F.col("row") + p[0]).alias("r1"), (F.col("col") + p[1]).alias("c1"), (F.col("row") + q[0]).alias("r2"), (F.col("col") + q[1]).alias("c2"), (F.col("row") + n[0]).alias("row"), (F.col("col") + n[1]).alias("col")) for k, (p, q, n) in enumerate(ends)])).alias("s")
+    return pixels.select(*keys, each).select(*keys, "s.*").join(pixels.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti").drop("row", "col")
+
+
 def outline(pixels: DataFrame, keys: list[str], affine: tuple[float, float, float, float, float, float] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
-    """keys, x1, y1, x2, y2: the directed sides between a region and what is not of it, in map units. Every pixel
-    has four sides in a fixed sense; sides between two pixels of a region cancel."""
+    """keys, x1, y1, x2, y2: the `sides` of a region in map units."""
     a, b, c, d, e, f = map(float, affine)
-    ends = (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1)))
-    sides = F.explode(F.array(*[F.struct((F.col("row") + p[0]).alias("r1"), (F.col("col") + p[1]).alias("c1"), (F.col("row") + q[0]).alias("r2"), (F.col("col") + q[1]).alias("c2"), (F.col("row") + n[0]).alias("row"), (F.col("col") + n[1]).alias("col")) for p, q, n in ends])).alias("s")
-    free = pixels.select(*keys, sides).select(*keys, "s.*").join(pixels.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
+    free = sides(pixels, keys)
     x, y = (lambda r, k: a * F.col(k) + b * F.col(r) + c), (lambda r, k: d * F.col(k) + e * F.col(r) + f)
     return free.select(*keys, x("r1", "c1").alias("x1"), y("r1", "c1").alias("y1"), x("r2", "c2").alias("x2"), y("r2", "c2").alias("y2"))
 
