@@ -97,6 +97,52 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) >= 4, F.abs(total) / 2)
 
 
+def winding(ring: Column, x: Column, y: Column) -> Column:
+    """How often a closed ring goes round a point that is not on it: counter-clockwise less clockwise."""
+    up = lambda a, b: (a["y"] <= y) & (b["y"] > y)
+    left = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (x - a["x"]) * (b["y"] - a["y"])
+    turn = lambda a, b: F.when(up(a, b) & (left(a, b) > 0), 1).when(up(b, a) & (left(a, b) < 0), -1).otherwise(0)
+    steps = F.sequence(F.lit(1), F.size(ring) - 1)
+    return F.when(F.size(ring) > 1, F.aggregate(steps, F.lit(0), lambda n, i: n + turn(ring[i - 1], ring[i]))).otherwise(0)
+
+
+def ring_sides(ring: Column) -> Column:
+    """The sides of a closed ring, as an array of struct<x1, y1, x2, y2>."""
+    side = lambda i: F.struct(ring[i]["x"].alias("x1"), ring[i]["y"].alias("y1"), ring[i + 1]["x"].alias("x2"), ring[i + 1]["y"].alias("y2"))
+    return F.when(F.size(ring) > 1, F.transform(F.sequence(F.lit(0), F.size(ring) - 2), side)).otherwise(F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>"))
+
+
+def side_meets_box(s: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether a side has a point in a box, edges included: the span of it that is inside all four half-planes isn't empty."""
+    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    first, last, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for step, room in ((-dx, s["x1"] - west), (dx, east - s["x1"]), (-dy, s["y1"] - south), (dy, north - s["y1"])):
+        at = F.try_divide(room, step)
+        first, last = F.when(step < 0, F.greatest(first, at)).otherwise(first), F.when(step > 0, F.least(last, at)).otherwise(last)
+        inside = inside & ((step != 0) | (room >= 0))
+    return inside & (first <= last)
+
+
+def meets_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether the area of a closed ring and a box share a point, edges included: a side comes into the box, or the ring goes round it."""
+    return F.exists(ring_sides(ring), lambda s: side_meets_box(s, west, south, east, north)) | (F.pmod(winding(ring, west, south), F.lit(2)) == 1)
+
+
+def sides_meet(s: Column, t: Column) -> Column:
+    """Whether two sides share a point, ends included."""
+    of = lambda a, x, y: (a["x2"] - a["x1"]) * (y - a["y1"]) - (a["y2"] - a["y1"]) * (x - a["x1"])
+    across = lambda a, b: F.signum(of(a, b["x1"], b["y1"])) * F.signum(of(a, b["x2"], b["y2"])) <= 0
+    apart = lambda p, q: (F.greatest(s[p], s[q]) < F.least(t[p], t[q])) | (F.greatest(t[p], t[q]) < F.least(s[p], s[q]))
+    return across(s, t) & across(t, s) & ~apart("x1", "x2") & ~apart("y1", "y2")
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether the areas of two closed rings share a point, edges included: sides meet, or one goes round the other's first corner."""
+    crossing = F.exists(ring_sides(a), lambda s: F.exists(ring_sides(b), lambda t: sides_meet(s, t)))
+    around = lambda of, other: F.pmod(winding(of, F.get(other, F.lit(0))["x"], F.get(other, F.lit(0))["y"]), F.lit(2)) == 1
+    return crossing | around(a, b) | around(b, a)
+
+
 def geo_to_pixel(value: Column, low: Column, high: Column, size: Column) -> Column:
     """Linear position of a coordinate between two edges, rounded half to even."""
     return F.bround((value - low) / (high - low) * size).cast("int")

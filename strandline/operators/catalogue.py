@@ -27,6 +27,11 @@ def contains(west: float, south: float, east: float, north: float) -> Column:
     return (F.col("xmin") <= west) & (F.col("xmax") >= east) & (F.col("ymin") <= south) & (F.col("ymax") >= north)
 
 
+def meets_exactly(west: float, south: float, east: float, north: float, ring: str = "ring") -> Column:
+    """Footprints whose ring, not just its box, meets the given box; touching counts. The boxes are compared first, and reach the scan."""
+    return overlaps(west, south, east, north) & geo.meets_box(F.col(ring), F.lit(float(west)), F.lit(float(south)), F.lit(float(east)), F.lit(float(north)))
+
+
 def in_years(first: int | None = None, last: int | None = None, year: str = "year") -> Column:
     found = F.lit(True)
     if first is not None:

@@ -29,6 +29,16 @@ def box_join(left: DataFrame, right: DataFrame, size: float = 1.0, touches: bool
     return a.join(b, ["gx", "gy"]).where(meets & here).select("left_id", "right_id")
 
 
+def ring_join(left: DataFrame, right: DataFrame, size: float = 1.0) -> DataFrame:
+    """left_id, right_id of rings (id, ring: closed array of struct<x, y>) whose areas meet, edges included: their boxes meet by
+    `box_join`, then the rings themselves are compared. ids name one ring each."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxed = lambda df: df.select("id", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    pairs = box_join(boxed(left), boxed(right), size)
+    of = lambda df, k: df.select(F.col("id").alias(f"{k}_id"), F.col("ring").alias(f"{k}_ring"))
+    return pairs.join(of(left, "left"), "left_id").join(of(right, "right"), "right_id").where(geo.rings_meet(F.col("left_ring"), F.col("right_ring"))).select("left_id", "right_id")
+
+
 def overlap_sets(cells: DataFrame, footprints: DataFrame, size: float = 1.0, touches: bool = True) -> DataFrame:
     """Every cell with the sorted distinct layers and files of the footprints that meet it and their number.
     footprints: id, layer, file and the box."""
@@ -42,7 +52,9 @@ def fragments(footprints: DataFrame, size: float = 1.0) -> DataFrame:
     A square is cut into strips at the sides that stand in it; along a strip the set changes where footprints begin and
     end, so it comes from running sums, and no piece is compared with all footprints."""
     c = F.col
-    box = footprints.groupBy("xmin", "ymin", "xmax", "ymax").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("s")).where("xmin < xmax and ymin < ymax")
+    sides = ("xmin", "ymin", "xmax", "ymax")
+    # equal boxes cover the same; so a set of different boxes names what covers a piece, however often rows or ids repeat
+    box = footprints.groupBy(*sides).agg(F.count(F.lit(1)).alias("k")).withColumn("s", F.xxhash64(*sides)).where("xmin < xmax and ymin < ymax")
     ends = [f(a, b * size).alias(n) for f, a, b, n in ((F.greatest, c("xmin"), c("g.gx"), "x0"), (F.greatest, c("ymin"), c("g.gy"), "y0"), (F.least, c("xmax"), c("g.gx") + 1, "x1"), (F.least, c("ymax"), c("g.gy") + 1, "y1"))]
     parts = box.select("k", "s", "xmin", "ymin", "xmax", "ymax", _cells(size)).select("k", "s", "g.gx", "g.gy", *ends).where("x0 < x1 and y0 < y1")
     parts = parts.groupBy("gx", "gy", "x0", "x1", "y0", "y1").agg(F.sum("k").alias("k"), F.bit_xor("s").alias("s"))

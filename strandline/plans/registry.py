@@ -541,8 +541,12 @@ def cache_keys(spark, sf_dir):
 
 
 def queries() -> dict:
+    from strandline.plans import shapes  # noqa: F401  registers its queries here
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from strandline.plans import shapes  # noqa: F401
+
     return SQL

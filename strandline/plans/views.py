@@ -86,3 +86,51 @@ def map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHEETS = """sheets AS (SELECT p_partkey AS k, '/maps/set (' || (1950 + p_partkey % 40) || CASE WHEN p_partkey % 2 = 0 THEN '-' || (1990 + p_partkey % 9) ELSE '' END || ')/sheet' || p_partkey || '.map' AS map_file,
   CASE p_partkey % 3 WHEN 0 THEN 'Pulkovo 1942' WHEN 1 THEN 'WGS 84' END AS datum, CASE WHEN p_size % 5 <> 0 THEN (1900 + p_size)::INT END AS year, CASE WHEN p_size % 5 <> 0 THEN (p_size * 1000)::VARCHAR END AS scale,
   CASE WHEN p_size % 5 <> 0 THEN 'P-' || (p_partkey % 60) END AS idx, p_size, (1950 + p_partkey % 40)::INT AS path_year FROM part)"""
+
+
+def turned_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turned sheet for each part on a field that grows with their number, so that each overlaps a few others; every fourth is L-shaped."""
+    k, w, h, o = F.col("p_partkey"), 0.3 + F.col("p_size") / 100, F.lit(0.4), F.lit(0.0)
+    corners = lambda *of: F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in of])
+    local = F.when(k % 4 != 0, corners((-w, -h), (w, -h), (w, h), (-w, h))).otherwise(corners((-w, -h), (w, -h), (w, o), (o, o), (o, h), (-w, h)))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("layer"), F.col("p_name").alias("file"), local.alias("local"), F.radians((k * 37 % 360).cast("double")).alias("t"), (k % 50 * 0.9).alias("cx"), (F.floor(k / 50) * 0.8).alias("cy"))
+    point = lambda p: F.struct(F.round(F.col("cx") + F.cos("t") * p["a"] - F.sin("t") * p["b"], 7).alias("x"), F.round(F.col("cy") + F.sin("t") * p["a"] + F.cos("t") * p["b"], 7).alias("y"))
+    rows = rows.withColumn("open", F.transform("local", point))
+    return rows.select("id", "layer", "file", F.concat("open", F.slice("open", 1, 1)).alias("ring"))
+
+
+#: sheet: the same sheets' frames; piece: their rectangles, two for an L; corner, side: those of the pieces, counter-clockwise.
+TURNED = """sheet AS (SELECT p_partkey AS k, 0.3::DOUBLE + p_size / 100 AS w, radians((p_partkey * 37 % 360)::DOUBLE) AS t, p_partkey % 50 * 0.9::DOUBLE AS cx, p_partkey // 50 * 0.8::DOUBLE AS cy FROM part),
+piece AS (SELECT *, 0 AS n, -w AS a0, w AS a1, -0.4::DOUBLE AS b0, CASE WHEN k % 4 = 0 THEN 0.0::DOUBLE ELSE 0.4::DOUBLE END AS b1 FROM sheet UNION ALL SELECT *, 1, -w, 0.0::DOUBLE, 0.0::DOUBLE, 0.4::DOUBLE FROM sheet WHERE k % 4 = 0),
+corner AS (SELECT k, n, i, cx, cy, round(cx + cos(t) * a - sin(t) * b, 7) AS x, round(cy + sin(t) * a + cos(t) * b, 7) AS y FROM (SELECT *, unnest([0, 1, 2, 3]) AS i, unnest([a0, a1, a1, a0]) AS a, unnest([b0, b0, b1, b1]) AS b FROM piece)),
+side AS (SELECT p.k, p.n, p.i, p.cx, p.cy, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM corner p JOIN corner q ON p.k = q.k AND p.n = q.n AND q.i = (p.i + 1) % 4)"""
+
+
+def crossed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quad for each supplier whose corners come in an order that crosses itself; every third in the right order."""
+    k = F.col("s_suppkey")
+    w, h, d = 1 + k % 7, 1 + k % 5, (k % 4).cast("double") / 8
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    a, b, c, e = p(d, d * 0), p(w + d * 0, d), p(w - d, h + d * 0), p(d * 0, h - d)
+    ring = F.when(k % 3 == 0, F.array(a, b, c, e, a)).when(k % 3 == 1, F.array(a, c, b, e, a)).otherwise(F.array(a, b, e, c, a))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), ring.alias("ring"))
+
+
+CROSSED = """quad AS (SELECT s_suppkey AS k, (1 + s_suppkey % 7)::DOUBLE AS w, (1 + s_suppkey % 5)::DOUBLE AS h, (s_suppkey % 4) / 8.0::DOUBLE AS d FROM supplier),
+ends AS (SELECT k, d AS a_x, 0.0::DOUBLE AS a_y, w AS b_x, d AS b_y, w - d AS c_x, h AS c_y, 0.0::DOUBLE AS e_x, h - d AS e_y FROM quad),
+ordered AS (SELECT k, a_x AS x0, a_y AS y0, CASE WHEN k % 3 = 1 THEN c_x ELSE b_x END AS x1, CASE WHEN k % 3 = 1 THEN c_y ELSE b_y END AS y1,
+  CASE k % 3 WHEN 0 THEN c_x WHEN 1 THEN b_x ELSE e_x END AS x2, CASE k % 3 WHEN 0 THEN c_y WHEN 1 THEN b_y ELSE e_y END AS y2, CASE WHEN k % 3 = 2 THEN c_x ELSE e_x END AS x3, CASE WHEN k % 3 = 2 THEN c_y ELSE e_y END AS y3 FROM ends)"""
+
+
+def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, at, x, y: for each customer the running total of orders by date; curves are far apart."""
+    from pyspark.sql import Window
+
+    c, along = F.col, Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    day, total = F.datediff(c("o_orderdate"), F.lit("1990-01-01")).cast("double"), F.sum(F.floor("o_totalprice") % 1000).over(along)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(along).cast("long").alias("at"), day.alias("x"), total.alias("t"))
+    return rows.select(c("o_custkey").alias("line"), "at", (c("x") + c("at") / 64).alias("x"), (c("t") + c("o_custkey") * 1000000).cast("double").alias("y"))
+
+
+CURVES = """pt AS (SELECT o_custkey AS line, row_number() OVER w AS pos, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + row_number() OVER w / 64.0::DOUBLE AS x, (sum((floor(o_totalprice)::BIGINT) % 1000) OVER w + o_custkey * 1000000)::DOUBLE AS y
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))"""
