@@ -38,7 +38,14 @@ def cache_key(*parts: Column) -> Column:
 
 
 def hover_line(layer: Column, year: Column, file: Column) -> Column:
-    return F.concat_ws("", layer, F.when(year.isNotNull(), F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))), F.lit(" - "), file)
+    """'layer (year) — file name' of what there is of it."""
+    name, when = F.trim(F.coalesce(layer.cast("string"), F.lit(""))), F.concat(F.lit("("), year.cast("string"), F.lit(")"))
+    return F.concat_ws(" — ", blank_null(F.concat_ws(" ", blank_null(name), when)), blank_null(basename(file)))
+
+
+def hover_text(overlaps: Column, lines: Column) -> Column:
+    """What a map shows over a cell: how many sheets overlap there, then their lines."""
+    return F.concat_ws("<br>", F.concat(F.lit("<b>Overlaps: "), overlaps.cast("string"), F.lit("</b>")), F.array_join(lines, "<br>"))
 
 
 def area_label(m2: Column) -> Column:

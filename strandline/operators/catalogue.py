@@ -144,6 +144,14 @@ def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def summary(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
+    """column, n, mean, spread (of a sample), least, q25, q50, q75, largest of numeric columns, in one pass. Quartiles have a rank
+    within n / accuracy of theirs, and are values that occur; missing values don't count."""
+    quartile = lambda c, p: F.percentile_approx(F.col(c).cast("double"), F.lit(p), F.lit(accuracy))
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("spread"), F.min(c).cast("double").alias("least"), *[quartile(c, q / 100).alias(f"q{q}") for q in (25, 50, 75)], F.max(c).cast("double").alias("largest")) for c in columns]
+    return df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def by_year(sheets: DataFrame, missing_first: bool = False) -> DataFrame:
     """Sheets in the order of their years, then names; missing years last, or first as year 0."""
     return sheets.orderBy(F.coalesce("year", F.lit(0)) if missing_first else F.asc_nulls_last("year"), "map_file")

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import geo
+from strandline.functions import geo, text
 from strandline.operators.graph import components
 from strandline.storage import stored
 
 
+def set_columns(footprints: DataFrame) -> list[Column]:
+    """Sorted distinct layers and files, and with a column `year` the lines that a map shows, of the footprints in a group."""
+    lines = [F.array_sort(F.array_remove(F.collect_set("line"), "")).alias("lines")] if "year" in footprints.columns else []
+    return [F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_set("file")).alias("files"), *lines]
+
+
+def with_line(footprints: DataFrame) -> DataFrame:
+    return footprints.withColumn("line", text.hover_line(F.col("layer"), F.col("year"), F.col("file"))) if "year" in footprints.columns else footprints
+
+
 def _cells(size: float) -> Column:
     def span(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
@@ -40,11 +50,13 @@ def ring_join(left: DataFrame, right: DataFrame, size: float = 1.0) -> DataFrame
 
 
 def overlap_sets(cells: DataFrame, footprints: DataFrame, size: float = 1.0, touches: bool = True) -> DataFrame:
-    """Every cell with the sorted distinct layers and files of the footprints that meet it and their number.
-    footprints: id, layer, file and the box."""
-    hits = box_join(cells, footprints, size, touches).join(footprints.select(F.col("id").alias("right_id"), "layer", "file"), "right_id")
-    sets = hits.groupBy("left_id").agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_set("file")).alias("files"), F.count("layer").alias("overlap_count"))
-    return cells.join(sets, cells["id"] == F.col("left_id"), "left").select(cells["id"], F.coalesce("layers", F.array().cast("array<string>")).alias("layers"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("overlap_count", F.lit(0)).alias("overlap_count"))
+    """Every cell with the sorted distinct layers and files of the footprints that meet it, their lines if they have a year, and
+    their number. footprints: id, layer, file, the box and possibly year."""
+    named = with_line(footprints)
+    hits = box_join(cells, footprints, size, touches).join(named.select(F.col("id").alias("right_id"), *[c for c in ("layer", "file", "line") if c in named.columns]), "right_id")
+    sets = hits.groupBy("left_id").agg(*set_columns(footprints), F.count("layer").alias("overlap_count"))
+    names = [c for c in ("layers", "files", "lines") if c in sets.columns]
+    return cells.join(sets, cells["id"] == F.col("left_id"), "left").select(cells["id"], *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in names], F.coalesce("overlap_count", F.lit(0)).alias("overlap_count"))
 
 
 def fragments(footprints: DataFrame, size: float = 1.0) -> DataFrame:
@@ -69,7 +81,7 @@ def fragments(footprints: DataFrame, size: float = 1.0) -> DataFrame:
 
 
 def atomic_cells(footprints: DataFrame, size: float = 1.0, min_area: float = 0.0) -> DataFrame:
-    """cell, xmin, ymin, xmax, ymax, area_m2 (on the Mercator plane), overlap_count, layers, files: the regions into which the
+    """cell, xmin, ymin, xmax, ymax, area_m2 (on the Mercator plane), overlap_count, layers, files, and lines if there is a year: the regions into which the
     footprints' sides cut each other, each covered by one set of footprints. Fragments of grid squares that meet along a
     side and have the same cover are one cell, so neither cells nor areas depend on `size`. Footprints that only touch a
     cell don't count. footprints: id, layer, file and the box in degrees."""
@@ -91,7 +103,8 @@ def atomic_cells(footprints: DataFrame, size: float = 1.0, min_area: float = 0.0
     inside = F.min_by(F.struct(F.floor(middle / size).alias("gx"), "gy", middle.alias("x"), ((c("y0") + c("y1")) / 2).alias("y")), F.struct("x0", "y0")).alias("at")
     cells = named.groupBy("cell").agg(F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"), area.alias("area_m2"), F.first("n").alias("overlap_count"), inside)
     cells = stored(cells.where(c("area_m2") > min_area))
-    over = footprints.select("layer", "file", c("xmin").alias("l"), c("ymin").alias("b"), c("xmax").alias("r"), c("ymax").alias("t"), _cells(size)).select("layer", "file", "l", "b", "r", "t", "g.gx", "g.gy")
+    own = [x for x in ("layer", "file", "line") if x in with_line(footprints).columns]
+    over = with_line(footprints).select(*own, c("xmin").alias("l"), c("ymin").alias("b"), c("xmax").alias("r"), c("ymax").alias("t"), _cells(size)).select(*own, "l", "b", "r", "t", "g.gx", "g.gy")
     points = cells.select("cell", "at.*")
-    sets = points.join(over, ["gx", "gy"]).where("l < x and x < r and b < y and y < t").groupBy("cell").agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_set("file")).alias("files"))
+    sets = points.join(over, ["gx", "gy"]).where("l < x and x < r and b < y and y < t").groupBy("cell").agg(*set_columns(footprints))
     return cells.drop("at").join(sets, "cell")

@@ -121,7 +121,11 @@ def projected(sides: DataFrame) -> DataFrame:
 def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False) -> DataFrame:
     """keys, area, perimeter (holes count), in units of the affine's plane; in metres if the affine gives degrees."""
     keys = keys or ["label"]
-    sides = outline(pixels, keys, affine)
+    return measured(outline(pixels, keys, affine), keys, degrees)
+
+
+def measured(sides: DataFrame, keys: list[str], degrees: bool = False) -> DataFrame:
+    """keys, area, perimeter of directed sides (keys, x1, y1, x2, y2) with all areas on one hand."""
     sides = projected(sides) if degrees else sides
     cross = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     return sides.groupBy(*keys).agg(F.abs(F.sum(cross)).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
@@ -172,11 +176,19 @@ def histogram_by_edges(areas: DataFrame, edges: list[float], area: str = "area")
 METRICS = ("size_distribution", "fractal_dimension")
 
 
-def lake_metrics(labels: DataFrame, affine=(1, 0, 0, 0, 1, 0), min_area: float = 0.0, fractal_min_pixels: int = 400, degrees: bool = False, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """label, area, perimeter and, if asked for, fractal_dimension (NULL for small or thin lakes)."""
+def lake_metrics(labels: DataFrame, affine=(1, 0, 0, 0, 1, 0), min_area: float = 0.0, fractal_min_pixels: int = 400, degrees: bool = False, metrics: tuple[str, ...] = METRICS, simplify_px: float = 0.0) -> DataFrame:
+    """label, area, perimeter and, if asked for, fractal_dimension (NULL for small or thin lakes). simplify_px: area and perimeter
+    are those of outlines simplified by so many pixels, without most of the staircase; the dimension is always the pixels'."""
     if unknown := set(metrics) - set(METRICS):
         raise ValueError(f"metrics are {', '.join(METRICS)}, not {', '.join(sorted(unknown))}")
-    shape = area_perimeter(labels, ["label"], affine, degrees)
+    labels = stored(labels)
+    if simplify_px > 0:
+        from strandline.operators import rings, simplify  # they build on this module
+
+        fewer = rings.placed(simplify.simplified_rings(rings.ring_points(labels), simplify_px), affine)
+        shape = measured(fewer.select("label", *[F.col(a).alias(b) for a, b in (("x", "x1"), ("y", "y1"), ("x2", "x2"), ("y2", "y2"))]), ["label"], degrees)
+    else:
+        shape = area_perimeter(labels, ["label"], affine, degrees)
     if min_area > 0:
         shape = shape.where(F.col("area") >= min_area)
     if "fractal_dimension" not in metrics:
@@ -212,6 +224,19 @@ def largest(lakes: DataFrame, n: int = 12) -> DataFrame:
     return lakes.orderBy(F.desc("area"), "label").limit(n)
 
 
+def perimeters(labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, perimeter: length of the line through the middles of a region's boundary pixels. A boundary pixel counts by its
+    boundary neighbours, 2 for each beside and 10 for each across a corner."""
+    keys = keys or ["label"]
+    #: What a pixel with such a sum counts.
+    weights = {1.0: (4, 6, 14, 16, 24, 26), 2**0.5: (20, 32), (1 + 2**0.5) / 2: (12, 22)}
+    edge = stored(boundary(labels, keys))
+    around = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.lit(2 if 0 in (dr, dc) else 10).alias("w")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc])).alias("to")
+    near = edge.select(*keys, around).select(*keys, "to.*").join(edge, [*keys, "row", "col"]).groupBy(*keys, "row", "col").agg(F.sum("w").alias("w"))
+    length = F.coalesce(*[F.when(F.col("w").isin(*sums), weight) for weight, sums in weights.items()], F.lit(0.0))
+    return edge.join(near, [*keys, "row", "col"], "left").groupBy(*keys).agg(F.sum(length).alias("perimeter"))
+
+
 def moments(labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, area_px, centroid, orientation in degrees (0..180) and axis lengths of the ellipse with equal moments."""
     keys = keys or ["label"]

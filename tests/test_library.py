@@ -56,7 +56,9 @@ def test_pixels_units_and_thresholds(spark):
 def test_labels_and_strings(spark):
     assert one(spark, tx.area_label(F.lit(2_500_000.0)), tx.area_label(F.lit(900.0)), tx.length_label(F.lit(1500.0)), tx.length_label(F.lit(12.0))) == ("2.50 km2", "900 m2", "1.50 km", "12 m")
     assert one(spark, tx.int_year(F.lit("1984.0")), tx.int_year(F.lit("")), tx.int_year(F.lit("nan")), tx.int_year(F.lit("1984"))) == (1984, None, None, 1984)
-    assert one(spark, tx.hover_line(F.lit("a"), F.lit(1980), F.lit("f")), tx.hover_line(F.lit("a"), F.lit(None), F.lit("f"))) == ("a (1980) - f", "a - f")
+    assert one(spark, tx.hover_line(F.lit("a"), F.lit(1980), F.lit("f")), tx.hover_line(F.lit("a"), F.lit(None), F.lit("f"))) == ("a (1980) — f", "a — f")
+    lines = F.array(tx.hover_line(F.lit(" a "), F.lit(1980), F.lit("x/y/f.tif")), tx.hover_line(F.lit(None), F.lit(1970), F.lit("")))
+    assert one(spark, lines, tx.hover_text(F.lit(2), F.array(F.lit("p"), F.lit("q")))) == (["a (1980) — f.tif", "(1970)"], "<b>Overlaps: 2</b><br>p<br>q")
     assert one(spark, tx.date_token(F.lit("LC08_20200131_x")), tx.date_token(F.lit("none")), tx.stem(F.lit("/a/b.c.tif")), tx.path_year(F.lit("/m (1950-1960)/x"))) == ("20200131", None, "b.c", 1950)
     assert one(spark, tx.tile_url("http://t", F.lit("/a b.tif"))) == ("http://t?url=%2Fa+b.tif&rescale=0,3000",)
 
@@ -222,6 +224,30 @@ def test_cells_do_not_depend_on_the_grid(spark):
     assert overlap.atomic_cells(df.limit(0)).count() == 0
 
 
+def test_cells_of_repeated_rows_and_missing_ids(spark):
+    schema = "id long, layer string, file string, xmin double, ymin double, xmax double, ymax double, year int"
+    one, two = (1, "a", "x/f", 0.0, 0.0, 2.0, 1.0, 1980), (2, "b", "g", 1.0, 0.0, 2.0, 1.0, None)
+    cells = lambda rows: sorted((r.xmin, r.xmax, r.overlap_count, r.files, r.lines) for r in overlap.atomic_cells(spark.createDataFrame(rows, schema)).collect())
+    assert cells([one, one, two, two]) == [(0.0, 1.0, 2, ["x/f"], ["a (1980) — f"]), (1.0, 2.0, 4, ["g", "x/f"], ["a (1980) — f", "b — g"])]
+    nameless = [(None, *one[1:]), (None, *two[1:])]
+    assert [c[:3] for c in cells(nameless)] == [(0.0, 1.0, 1), (1.0, 2.0, 2)]
+    beside = [(1, "a", "f", 0.0, 0.0, 1.0, 1.0, None), (2, "b", "g", 1.0, 0.0, 2.0, 1.0, None)]
+    assert [c[:3] for c in cells(beside * 2)] == [(0.0, 1.0, 2), (1.0, 2.0, 2)]
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1, 2, 3]), "a", f"f{k}", float(x), float(y), float(x + rnd.randint(1, 3)), float(y + rnd.randint(1, 3)), 1) for k in range(8) for x, y in [(rnd.randint(0, 4), rnd.randint(0, 4))]] * 2
+    got = overlap.atomic_cells(spark.createDataFrame(rows, schema)).collect()
+    painted = {(x, y): [r for r in rows if r[3] <= x < r[5] and r[4] <= y < r[6]] for x in range(8) for y in range(8)}
+    want = {}
+    for cover in painted.values():
+        if cover:
+            key = (len(cover), tuple(sorted({r[2] for r in cover})))
+            want[key] = want.get(key, 0) + 1
+    degrees = {}
+    for r in got:  # the squares of one cover may be several cells; their number of squares is not kept, but each cover has a cell
+        degrees[r.overlap_count, tuple(r.files)] = True
+    assert set(degrees) == set(want)
+
+
 # patches and segments
 
 
