@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import catalogue, overlap, regions, rings, simplify, subdivision
+from strandline.operators import catalogue, overlap, rings, simplify, subdivision, warps
 from strandline.plans import views
 from strandline.plans.registry import AFFINE, W, _labels, _with_labels, query, r9
 
@@ -113,3 +113,23 @@ def sheets_that_meet(spark, sf_dir):
     """Pairs of sheets that overlap; the corners of these sheets lie on no other sheet's side."""
     sheets = views.turned_sheets(spark, sf_dir).select("id", "ring")
     return overlap.ring_join(sheets, sheets).where("left_id < right_id")
+
+
+GCP_SQL = """gcp AS (SELECT l_suppkey AS sheet, (l_partkey % 997)::DOUBLE AS x, (l_orderkey % 499)::DOUBLE AS y, 64 + l_partkey % 997 * 0.001::DOUBLE + l_orderkey % 499 * 0.0002::DOUBLE + l_quantity * 1e-5::DOUBLE AS lon, 66 - l_orderkey % 499 * 0.0005::DOUBLE + l_partkey % 997 * 0.0001::DOUBLE + l_tax * 1e-3::DOUBLE AS lat FROM lineitem),
+ms AS (SELECT sheet, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(lon) AS mo, avg(lat) AS ma, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, lon) AS xo, covar_pop(y, lon) AS yo, covar_pop(x, lat) AS xa, covar_pop(y, lat) AS ya FROM gcp GROUP BY sheet),
+ft AS (SELECT *, (xo * yy - yo * xy) / (xx * yy - xy * xy) AS ox, (yo * xx - xo * xy) / (xx * yy - xy * xy) AS oy, (xa * yy - ya * xy) / (xx * yy - xy * xy) AS ax, (ya * xx - xa * xy) / (xx * yy - xy * xy) AS ay FROM ms)"""
+
+
+def _gcps(spark, sf_dir):
+    c = F.col
+    x, y = (c("l_partkey") % 997).cast("double"), (c("l_orderkey") % 499).cast("double")
+    return views.table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("sheet"), x.alias("x"), y.alias("y"), (64 + x * 0.001 + y * 0.0002 + c("l_quantity") * 1e-5).alias("lon"), (66 - y * 0.0005 + x * 0.0001 + c("l_tax") * 1e-3).alias("lat"))
+
+
+@query(f"""WITH {GCP_SQL} SELECT sheet, any_value(n) AS n, round(any_value(ox), 9) AS lon_x, round(any_value(oy), 9) AS lon_y, round(any_value(mo - ox * mx - oy * my), 6) AS lon_0, round(any_value(ax), 9) AS lat_x, round(any_value(ay), 9) AS lat_y, round(any_value(ma - ax * mx - ay * my), 6) AS lat_0,
+round(sqrt(avg((lon - mo - ox * (x - mx) - oy * (y - my)) ** 2 + (lat - ma - ax * (x - mx) - ay * (y - my)) ** 2)), 8) AS rms FROM gcp JOIN ft USING (sheet) GROUP BY sheet""")
+def gcp_fit(spark, sf_dir):
+    points = _gcps(spark, sf_dir)
+    fits = warps.affine_fit(points, ["sheet"])
+    report = warps.fit_report(warps.affine_residuals(points, fits, ["sheet"]), ["sheet"]).drop("n")
+    return fits.join(report, "sheet").select("sheet", "n", *[r9(v, digits=6 if v.endswith("0") else 9) for t in warps.TARGETS for v in (f"{t}_x", f"{t}_y", f"{t}_0")], r9("rms", digits=8))
