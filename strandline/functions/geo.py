@@ -16,6 +16,11 @@ PULKOVO_TO_WGS84 = (23.92, -141.27, -80.9, 0.0, -0.35, -0.82, -0.12)
 #: The same from Pulkovo 1942(83), in the same sense of rotation.
 PULKOVO83_TO_WGS84 = (24.0, -123.0, -94.0, -0.02, 0.25, 0.13, 1.1)
 TO_WGS84 = {4284: PULKOVO_TO_WGS84, 4179: PULKOVO83_TO_WGS84}
+#: Parameter sets with the area they are for (west, south, east, north; west over east: across 180) and how many metres they are good to.
+SHIFTS = (
+    (4284, (19.57, 35.14, -168.97, 81.91), 3.0, PULKOVO_TO_WGS84),
+    (4179, (9.92, 41.24, 28.68, 54.74), 2.0, PULKOVO83_TO_WGS84),
+)
 UTM_SCALE, UTM_EASTING, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
 MERCATOR_RADIUS = 6378137.0
 
@@ -46,6 +51,16 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return MERCATOR_RADIUS * F.radians(lon), MERCATOR_RADIUS * F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2))
 
 
+def ring_mercator(ring: Column) -> Column:
+    """A ring in degrees on the Mercator plane, in metres."""
+
+    def moved(p: Column) -> Column:
+        x, y = mercator(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, moved)
+
+
 def degrees_minutes(degrees: Column, minutes: Column) -> Column:
     return degrees + minutes / 60
 
@@ -71,12 +86,29 @@ def to_wgs84(lon: Column, lat: Column, code: int = 4284) -> tuple[Column, Column
     return F.degrees(F.atan2(v, u)), F.degrees(back)
 
 
-def ring_to_wgs84(ring: Column, code: Column) -> Column:
-    """A ring on the datum of each row's code, point by point as to_wgs84 does it; NULL for codes without parameters. One
-    small step after the other, so that the plan stays as small as the formulas."""
+def best_parameters(code: Column, lon: Column, lat: Column, shifts=SHIFTS) -> Column:
+    """The seven parameters for a datum at a place, as an array: of the sets of that code, one whose area holds the place comes before
+    one whose area doesn't, then the one that is good to fewer metres, then the one listed first. NULL without a set."""
+    rated = []
+    for k, (of, (west, south, east, north), metres, v) in enumerate(shifts):
+        there = lat.between(south, north) & (lon.between(west, east) if west <= east else (lon >= west) | (lon <= east))
+        values = F.array(*[F.lit(float(x)) for x in (*v[:3], *(math.radians(r / 3600) for r in v[3:6]), 1 + v[6] * 1e-6)])
+        away = F.when(F.coalesce(there, F.lit(False)), 0).otherwise(1)
+        rated.append(F.when(code == of, F.struct(away.alias("away"), F.lit(float(metres)).alias("metres"), F.lit(k).alias("k"), values.alias("values"))))
+    return F.array_min(F.array_compact(F.array(*rated)))["values"]
+
+
+def ring_to_wgs84(ring: Column, code: Column, shifts=SHIFTS) -> Column:
+    """A ring on the datum of each row's code, point by point as to_wgs84 does it with the set that is best at the ring's first
+    corner; NULL for codes without parameters."""
+    first = F.get(ring, F.lit(0))
+    return ring_shifted(ring, best_parameters(code, first["x"], first["y"], shifts))
+
+
+def ring_shifted(ring: Column, chosen: Column) -> Column:
+    """A ring moved by seven parameters. One small step after the other, so that the plan stays as small as the formulas."""
     a, f = KRASSOVSKY
     e2 = f * (2 - f)
-    chosen = F.coalesce(*[F.when(code == k, F.array(*[F.lit(float(x)) for x in (*v[:3], *(math.radians(r / 3600) for r in v[3:6]), 1 + v[6] * 1e-6)])) for k, v in TO_WGS84.items()])
     dx, dy, dz, rx, ry, rz, s = (F.get(chosen, F.lit(i)) for i in range(7))
     of = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
     at = F.transform(ring, lambda p: of(sin=F.sin(F.radians(p["y"])), cos=F.cos(F.radians(p["y"])), lam=F.radians(p["x"])))

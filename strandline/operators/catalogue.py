@@ -82,16 +82,16 @@ def four_corners(corners: str = "corners") -> Column:
     return F.size(F.col(corners)) >= 4
 
 
-def normalised_footprints(sheets: DataFrame, datum: str = "datum", corners: str = "corners") -> DataFrame:
+def normalised_footprints(sheets: DataFrame, datum: str = "datum", corners: str = "corners", shifts=geo.SHIFTS) -> DataFrame:
     """Sheets on WGS84: datum_status, epsg, ring, xmin, ymin, xmax, ymax and shift_m, how far the first corner moved. Corners
-    on a known other datum are shifted one by one. Those on a datum without parameters stay where they are and are marked
+    on a known other datum are shifted one by one, with the set of `shifts` that is best there. Those on a datum without parameters stay where they are and are marked
     as not known. Sheets of fewer than three usable corners go."""
     known = resolve_datum(sheets, datum)
-    status, moved = F.col("datum_status"), (F.col("datum_status") == "shifted") & F.col("epsg").isin(*geo.TO_WGS84)
+    status, moved = F.col("datum_status"), (F.col("datum_status") == "shifted") & F.col("epsg").isin(*{s[0] for s in shifts})
     known = known.withColumn("datum_status", F.when((status == "shifted") & ~moved, "unknown_fallback").otherwise(status))
     # explode as a fence: each ring is made once, not once for every column that comes from it
     known = known.select("*", F.explode(F.array_compact(F.array(corner_ring(F.col(corners))))).alias("_raw"))
-    placed = known.select("*", F.explode(F.array(F.when(moved, geo.ring_to_wgs84(F.col("_raw"), F.col("epsg"))).otherwise(F.col("_raw")))).alias("ring"))
+    placed = known.select("*", F.explode(F.array(F.when(moved, geo.ring_to_wgs84(F.col("_raw"), F.col("epsg"), shifts)).otherwise(F.col("_raw")))).alias("ring"))
     x0, y0, x1, y1 = ring_bounds(F.col("ring"))
     a, b = F.get("_raw", F.lit(0)), F.get("ring", F.lit(0))
     return placed.withColumns({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1, "shift_m": geo.shift_metres(a["x"], a["y"], b["x"], b["y"])}).drop("_raw")

@@ -486,9 +486,10 @@ def overlap_sets(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {views.FOOTPRINT}, st AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM (SELECT xmin AS x FROM footprint UNION SELECT xmax FROM footprint)),
-ev AS (SELECT lo, hi, ymin AS y, 1 AS k, hash('f' || id) AS s FROM st JOIN footprint ON xmin <= lo AND xmax >= hi UNION ALL SELECT lo, hi, ymax, -1, hash('f' || id) FROM st JOIN footprint ON xmin <= lo AND xmax >= hi),
-eg AS (SELECT lo, hi, y, sum(k)::BIGINT AS k, bit_xor(s) AS s FROM ev GROUP BY ALL),
-fr AS (SELECT row_number() OVER (ORDER BY x0, y0) AS id, * FROM (SELECT lo AS x0, hi AS x1, y AS y0, lead(y) OVER w AS y1, sum(k) OVER w AS n, bit_xor(s) OVER w AS s FROM eg WINDOW w AS (PARTITION BY lo ORDER BY y)) WHERE n > 0),
+ev AS (SELECT lo, hi, ymin AS y, 1 AS k FROM st JOIN footprint ON xmin <= lo AND xmax >= hi UNION ALL SELECT lo, hi, ymax, -1 FROM st JOIN footprint ON xmin <= lo AND xmax >= hi),
+eg AS (SELECT lo, hi, y, sum(k)::BIGINT AS k FROM ev GROUP BY ALL),
+pc AS (SELECT * FROM (SELECT lo AS x0, hi AS x1, y AS y0, lead(y) OVER w AS y1, sum(k) OVER w AS n FROM eg WINDOW w AS (PARTITION BY lo ORDER BY y)) WHERE n > 0),
+fr AS (SELECT row_number() OVER (ORDER BY x0, y0) AS id, x0, x1, y0, y1, n, string_agg(f.id, ',' ORDER BY f.id) AS s FROM pc JOIN footprint f ON f.xmin <= x0 AND f.xmax >= x1 AND f.ymin <= y0 AND f.ymax >= y1 GROUP BY x0, x1, y0, y1, n),
 e0 AS (SELECT a.id AS a, b.id AS b FROM fr a JOIN fr b ON a.x1 = b.x0 AND a.s = b.s AND a.y0 < b.y1 AND b.y0 < a.y1), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
 reach(id, r) AS (SELECT id, id FROM fr UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id WHERE reach.r < e.b),
 cl AS (SELECT cell, min(x0) AS xmin, min(y0) AS ymin, max(x1) AS xmax, max(y1) AS ymax, sum(6378137 * radians(x1 - x0) * 6378137 * (ln(tan(pi() / 4 + radians(y1) / 2)) - ln(tan(pi() / 4 + radians(y0) / 2)))) AS area, any_value(n) AS n, min(x0) AS mx, arg_min((x0 + x1) / 2, (x0, y0)) AS px, arg_min((y0 + y1) / 2, (x0, y0)) AS py FROM fr JOIN (SELECT id, min(r) AS cell FROM reach GROUP BY id) USING (id) GROUP BY cell)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions import geo
 from strandline.operators import catalogue, overlap, rings, simplify, subdivision, warps
 from strandline.plans import views
-from strandline.plans.registry import AFFINE, W, _labels, _with_labels, query, r9
+from strandline.plans.registry import AFFINE, NORMAL, W, _labels, _sheets, _with_labels, query, r9
 
 #: Pixel sides of 4-connected parts, each with the next one on its ring, and the rings by their least sides.
 WALK = f"""e4 AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1),
@@ -115,6 +116,16 @@ def sheets_that_meet(spark, sf_dir):
     return overlap.ring_join(sheets, sheets).where("left_id < right_id")
 
 
+@query(f"""WITH {NORMAL}, mc AS (SELECT map_file, corner, 6378137 * radians(px) AS x, 6378137 * ln(tan(pi() / 4 + radians(py) / 2)) AS y FROM pt)
+SELECT a.map_file, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2e6, 1) AS area_km2 FROM mc a JOIN mc b ON a.map_file = b.map_file AND a.corner = 1 AND b.corner = 2 JOIN mc c ON a.map_file = c.map_file AND c.corner = 3""")
+def overlay_footprints(spark, sf_dir):
+    """What each normalised sheet covers, added up over the cells that all sheets cut each other into."""
+    found = catalogue.normalised_footprints(_sheets(spark, sf_dir))
+    sheets = found.select(F.col("map_file").alias("id"), F.col("datum_status").alias("layer"), F.col("map_file").alias("file"), geo.ring_mercator(F.col("ring")).alias("ring"))
+    cells, _ = subdivision.overlay(sheets, 1e-3, 100_000.0)
+    return cells.select("area", F.explode("ids").alias("map_file")).groupBy("map_file").agg(F.round(F.sum("area") / 1e6, 1).alias("area_km2"))
+
+
 GCP_SQL = """gcp AS (SELECT l_suppkey AS sheet, (l_partkey % 997)::DOUBLE AS x, (l_orderkey % 499)::DOUBLE AS y, 64 + l_partkey % 997 * 0.001::DOUBLE + l_orderkey % 499 * 0.0002::DOUBLE + l_quantity * 1e-5::DOUBLE AS lon, 66 - l_orderkey % 499 * 0.0005::DOUBLE + l_partkey % 997 * 0.0001::DOUBLE + l_tax * 1e-3::DOUBLE AS lat FROM lineitem),
 ms AS (SELECT sheet, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(lon) AS mo, avg(lat) AS ma, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, lon) AS xo, covar_pop(y, lon) AS yo, covar_pop(x, lat) AS xa, covar_pop(y, lat) AS ya FROM gcp GROUP BY sheet),
 ft AS (SELECT *, (xo * yy - yo * xy) / (xx * yy - xy * xy) AS ox, (yo * xx - xo * xy) / (xx * yy - xy * xy) AS oy, (xa * yy - ya * xy) / (xx * yy - xy * xy) AS ax, (ya * xx - xa * xy) / (xx * yy - xy * xy) AS ay FROM ms)"""

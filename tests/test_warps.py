@@ -66,3 +66,16 @@ def test_thin_plate_surface_goes_through_its_points(spark):
     for t in terms:
         got[t.id, t["at"]] = t.term
     assert np.allclose(got, np.where(r2 > 0, r2 * np.log(np.where(r2 > 0, r2, 1)) / 2, 0)) and math.isclose(got[0, 1], got[1, 0])
+
+
+def test_the_best_shift_by_area(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.functions import geo
+
+    wide, fine, other = (10.0, 0, 0, 0, 0, 0, 0), (20.0, 0, 0, 0, 0, 0, 0), (30.0, 0, 0, 0, 0, 0, 0)
+    shifts = ((4284, (20, 35, -169, 82), 5.0, wide), (4284, (60, 60, 80, 70), 1.0, fine), (4179, (9, 41, 28, 55), 2.0, other), (4284, (60, 60, 80, 70), 1.0, other))
+    rows = [(4284, 65.0, 65.0), (4284, 30.0, 50.0), (4284, -175.0, 66.0), (4284, 0.0, 0.0), (4179, 65.0, 65.0), (4326, 65.0, 65.0), (4284, None, None)]
+    df = spark.createDataFrame(rows, "code int, lon double, lat double")
+    got = [r.dx for r in df.select(F.get(geo.best_parameters(F.col("code"), F.col("lon"), F.col("lat"), shifts), F.lit(0)).alias("dx")).collect()]
+    assert got == [20.0, 10.0, 10.0, 20.0, 30.0, None, 20.0]  # where no area holds the place, the finest set
