@@ -232,3 +232,84 @@ def tile_xy(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     y = F.floor((1 - F.ln(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n)
     inside = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)).cast("int")
     return inside(x), inside(y)
+
+
+def _eccentricity() -> tuple[float, float]:
+    a, f = WGS84
+    return a, math.sqrt(f * (2 - f))
+
+
+def polar(lon: Column, lat: Column, lon_0: float = -45.0, true_at: float = 70.0) -> tuple[Column, Column]:
+    """Metres on the north polar stereographic plane, WGS84, true to scale at a latitude; lon_0 points down."""
+    a, e = _eccentricity()
+    at = math.radians(true_at)
+    t_of = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    scale = a * math.cos(at) / math.sqrt(1 - (e * math.sin(at)) ** 2) / t_of(at)
+    phi, lam = F.radians(lat), F.radians(lon - lon_0)
+    s = e * F.sin(phi)
+    rho = scale * F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
+    return rho * F.sin(lam), -rho * F.cos(lam)
+
+
+def polar_to_lonlat(x: Column, y: Column, lon_0: float = -45.0, true_at: float = 70.0) -> tuple[Column, Column]:
+    """Back from `polar`, good to well under a millimetre."""
+    a, e = _eccentricity()
+    at = math.radians(true_at)
+    t_at = math.tan(math.pi / 4 - at / 2) / ((1 - e * math.sin(at)) / (1 + e * math.sin(at))) ** (e / 2)
+    t = F.hypot(x, y) * (t_at / (a * math.cos(at) / math.sqrt(1 - (e * math.sin(at)) ** 2)))
+    phi = math.pi / 2 - 2 * F.atan(t)
+    for _ in range(5):  # each step is good to e^2 of the last
+        s = e * F.sin(phi)
+        phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+    return F.pmod(F.degrees(F.atan2(x, -y)) + (lon_0 + 180), F.lit(360.0)) - 180, F.degrees(phi)
+
+
+def _authalic(phi, sin, log):
+    """q of Snyder's equal-area formulas; sin and log of columns or numbers."""
+    _, e = _eccentricity()
+    s = sin(phi)
+    return (1 - e * e) * (s / (1 - e * e * s * s) - log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def equal_area(lon: Column, lat: Column, lon_0: Column, lat_0: Column) -> tuple[Column, Column]:
+    """Metres on the azimuthal equal-area plane around a point, WGS84."""
+    a, e = _eccentricity()
+    q_pole = _authalic(math.pi / 2, math.sin, math.log)
+    radius = a * math.sqrt(q_pole / 2)
+    phi_0, lam = F.radians(lat_0), F.radians(lon - lon_0)
+    beta, beta_0 = (F.asin(F.least(F.greatest(_authalic(F.radians(v), F.sin, F.ln) / q_pole, F.lit(-1.0)), F.lit(1.0))) for v in (lat, lat_0))
+    d = a * F.cos(phi_0) / F.sqrt(1 - e * e * F.sin(phi_0) * F.sin(phi_0)) / (radius * F.cos(beta_0))
+    b = radius * F.sqrt(2 / (1 + F.sin(beta_0) * F.sin(beta) + F.cos(beta_0) * F.cos(beta) * F.cos(lam)))
+    return b * d * F.cos(beta) * F.sin(lam), b / d * (F.cos(beta_0) * F.sin(beta) - F.sin(beta_0) * F.cos(beta) * F.cos(lam))
+
+
+def equal_area_to_lonlat(x: Column, y: Column, lon_0: float, lat_0: float) -> tuple[Column, Column]:
+    """Back from `equal_area` around a given point."""
+    a, e = _eccentricity()
+    q_pole = _authalic(math.pi / 2, math.sin, math.log)
+    radius, phi_0 = a * math.sqrt(q_pole / 2), math.radians(lat_0)
+    beta_0 = math.asin(_authalic(phi_0, math.sin, math.log) / q_pole)
+    d = a * math.cos(phi_0) / math.sqrt(1 - (e * math.sin(phi_0)) ** 2) / (radius * math.cos(beta_0))
+    rho = F.hypot(x / d, y * d)
+    c = 2 * F.asin(rho / (2 * radius))
+    beta = F.when(rho > 0, F.asin(F.cos(c) * math.sin(beta_0) + d * y * F.sin(c) * math.cos(beta_0) / rho)).otherwise(beta_0)
+    lon = F.atan2(x * F.sin(c), d * rho * math.cos(beta_0) * F.cos(c) - d * d * y * math.sin(beta_0) * F.sin(c))
+    q, phi = q_pole * F.sin(beta), beta
+    for _ in range(4):
+        s = F.sin(phi)
+        w = 1 - e * e * s * s
+        phi = phi + w * w / (2 * F.cos(phi)) * (q / (1 - e * e) - s / w + F.ln((1 - e * s) / (1 + e * s)) / (2 * e))
+    return F.when(rho > 0, lon_0 + F.degrees(lon)).otherwise(lon_0), F.degrees(phi)
+
+
+def densified_bounds(west: Column, south: Column, east: Column, north: Column, plane, points: int = 21) -> tuple[Column, Column, Column, Column]:
+    """Least and largest x and y, on a plane (lon, lat -> x, y), of a box's edges with so many points put on each between its corners."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda k: k / (points + 1))
+    at = lambda lo, hi, t: lo + (hi - lo) * t
+    point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    along = lambda lat: F.transform(steps, lambda t: point(at(west, east, t), lat + 0 * t))
+    up = lambda lon: F.transform(steps, lambda t: point(lon + 0 * t, at(south, north, t)))
+    edges = F.concat(along(south), along(north), up(west), up(east))
+    values = lambda k: F.transform(edges, lambda p: plane(p["lon"], p["lat"])[k])
+    xs, ys = values(0), values(1)
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)

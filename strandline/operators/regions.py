@@ -104,9 +104,15 @@ def outline(pixels: DataFrame, keys: list[str], affine: tuple[float, float, floa
     return free.select(*keys, x("r1", "c1").alias("x1"), y("r1", "c1").alias("y1"), x("r2", "c2").alias("x2"), y("r2", "c2").alias("y2"))
 
 
-def projected(sides: DataFrame) -> DataFrame:
-    """Sides given in degrees, in metres on the plane of the zone that holds the middle of them all, counted from that middle.
-    The extent is one row, so sending it to every task is bounded."""
+FARTHEST_ZONE = 84.0  # degrees of latitude that zones reach to
+
+
+def projected(sides: DataFrame, plane=None) -> DataFrame:
+    """Sides given in degrees, in metres on the plane of the zone that holds the middle of them all, counted from that middle; beyond
+    the zones on the equal-area plane around it. plane (lon, lat -> x, y as columns): that one instead. The extent is one row,
+    so sending it to every task is bounded."""
+    if plane is not None:
+        return sides.select("*", *[v.alias(f"_{n}{k}") for k in "12" for n, v in zip("xy", plane(F.col(f"x{k}"), F.col(f"y{k}")), strict=True)]).drop("x1", "y1", "x2", "y2").withColumnsRenamed({f"_{n}{k}": f"{n}{k}" for n in "xy" for k in "12"})
     ends = sides.agg(((F.min("x1") + F.max("x1")) / 2).alias("_lon"), ((F.min("y1") + F.max("y1")) / 2).alias("_lat"))
     placed = sides.join(F.broadcast(ends))
     zone = geo.utm_zone(F.col("_lon"))
@@ -114,19 +120,22 @@ def projected(sides: DataFrame) -> DataFrame:
     columns = {}
     for k in "12":
         x, y = geo.utm(F.col(f"x{k}"), F.col(f"y{k}"), zone)
-        columns |= {f"x{k}": x - x0, f"y{k}": y - y0}
+        far_x, far_y = geo.equal_area(F.col(f"x{k}"), F.col(f"y{k}"), F.col("_lon"), F.col("_lat"))
+        zoned = F.abs("_lat") <= FARTHEST_ZONE
+        columns |= {f"x{k}": F.when(zoned, x - x0).otherwise(far_x), f"y{k}": F.when(zoned, y - y0).otherwise(far_y)}
     return placed.withColumns(columns).drop("_lon", "_lat")
 
 
-def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False) -> DataFrame:
-    """keys, area, perimeter (holes count), in units of the affine's plane; in metres if the affine gives degrees."""
+def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False, plane=None) -> DataFrame:
+    """keys, area, perimeter (holes count), in units of the affine's plane; in metres if the affine gives degrees, on the plane
+    that `projected` takes."""
     keys = keys or ["label"]
-    return measured(outline(pixels, keys, affine), keys, degrees)
+    return measured(outline(pixels, keys, affine), keys, degrees, plane)
 
 
-def measured(sides: DataFrame, keys: list[str], degrees: bool = False) -> DataFrame:
+def measured(sides: DataFrame, keys: list[str], degrees: bool = False, plane=None) -> DataFrame:
     """keys, area, perimeter of directed sides (keys, x1, y1, x2, y2) with all areas on one hand."""
-    sides = projected(sides) if degrees else sides
+    sides = projected(sides, plane) if degrees else sides
     cross = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     return sides.groupBy(*keys).agg(F.abs(F.sum(cross)).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.operators import catalogue, overlap, rings, simplify, subdivision, warps
+from strandline.operators import catalogue, overlap, resample, rings, simplify, subdivision, warps
 from strandline.plans import views
 from strandline.plans.registry import AFFINE, NORMAL, W, _labels, _sheets, _with_labels, query, r9
 
@@ -144,3 +146,38 @@ def gcp_fit(spark, sf_dir):
     fits = warps.affine_fit(points, ["sheet"])
     report = warps.fit_report(warps.affine_residuals(points, fits, ["sheet"]), ["sheet"]).drop("n")
     return fits.join(report, "sheet").select("sheet", "n", *[r9(v, digits=6 if v.endswith("0") else 9) for t in warps.TARGETS for v in (f"{t}_x", f"{t}_y", f"{t}_0")], r9("rms", digits=8))
+
+
+def _polar_sql(lon: str, lat: str) -> tuple[str, str]:
+    """x and y on the polar plane, as SQL."""
+    a, e = geo._eccentricity()
+    at = math.radians(70.0)
+    t = math.tan(math.pi / 4 - at / 2) / ((1 - e * math.sin(at)) / (1 + e * math.sin(at))) ** (e / 2)
+    d = lambda v: f"({v!r}::DOUBLE)"
+    rho = f"({d(a * math.cos(at) / math.sqrt(1 - (e * math.sin(at)) ** 2) / t)} * tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {d(e)} * sin(radians({lat}))) / (1 + {d(e)} * sin(radians({lat}))), {d(e / 2)}))"
+    return f"{rho} * sin(radians({lon} + 45))", f"-{rho} * cos(radians({lon} + 45))"
+
+
+_x, _y = _polar_sql("lon", "lat")
+
+
+@query(f"""WITH {views.FOOTPRINT}, ts AS (SELECT k / 22.0::DOUBLE AS t FROM range(0, 23) AS r(k)), eg AS (SELECT id, xmin + (xmax - xmin) * t AS lon, unnest([ymin, ymax]) AS lat FROM footprint, ts UNION ALL SELECT id, unnest([xmin, xmax]), ymin + (ymax - ymin) * t FROM footprint, ts),
+pl AS (SELECT id, {_x} AS x, {_y} AS y FROM eg) SELECT id, round(min(x), 3) AS x0, round(min(y), 3) AS y0, round(max(x), 3) AS x1, round(max(y), 3) AS y1 FROM pl GROUP BY id""")
+def polar_bounds(spark, sf_dir):
+    c = F.col
+    found = geo.densified_bounds(c("xmin"), c("ymin"), c("xmax"), c("ymax"), geo.polar)
+    return views.footprints(spark, sf_dir).select("id", *[F.round(v, 3).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), found, strict=True)])
+
+
+@query(f"""WITH {views.SCENE_PX}, src AS (SELECT row, col, avg(green) AS green FROM scene_px GROUP BY row, col), ht AS (SELECT max(row) + 1 AS h FROM src),
+tg AS (SELECT r AS row, c AS col, (r + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5 AS ar, (c + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5 AS ac FROM ht, range(0, (h * 10 // 8)::BIGINT) AS a(r), range(0, 10) AS b(c)),
+cn AS (SELECT row, col, floor(ar) + i AS sr, floor(ac) + j AS sc, (CASE i WHEN 1 THEN ar - floor(ar) ELSE 1 - (ar - floor(ar)) END) * (CASE j WHEN 1 THEN ac - floor(ac) ELSE 1 - (ac - floor(ac)) END) AS w FROM tg, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(i, j))
+SELECT cn.row, cn.col, round(sum(w * green) / nullif(sum(CASE WHEN green IS NOT NULL THEN w END), 0), 6) AS green FROM cn LEFT JOIN src ON src.row = sr AND src.col = sc GROUP BY cn.row, cn.col""")
+def resampled_composite(spark, sf_dir):
+    """The mean of all scenes on a grid of pixels four fifths as wide."""
+    source = views.scene_px(spark, sf_dir).groupBy("row", "col").agg(F.avg("green").alias("green"))
+    height = F.floor((F.max("row") + 1) * 10 / 8).alias("h")
+    rows = source.agg(height).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("row"))
+    targets = rows.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("col"))
+    at = lambda v: (F.col(v) + 0.5) * 0.8 - 0.5
+    return resample.resampled(source, targets.select("row", "col", at("row").alias("at_row"), at("col").alias("at_col")), ["green"]).select("row", "col", r9("green", digits=6))
