@@ -51,6 +51,11 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return MERCATOR_RADIUS * F.radians(lon), MERCATOR_RADIUS * F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2))
 
 
+def mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    """Back from `mercator`."""
+    return F.degrees(x / MERCATOR_RADIUS), F.degrees(2 * F.atan(F.exp(y / MERCATOR_RADIUS)) - math.pi / 2)
+
+
 def ring_mercator(ring: Column) -> Column:
     """A ring in degrees on the Mercator plane, in metres."""
 
@@ -105,6 +110,30 @@ def ring_to_wgs84(ring: Column, code: Column, shifts=SHIFTS) -> Column:
     return ring_shifted(ring, best_parameters(code, first["x"], first["y"], shifts))
 
 
+def ring_on_wgs84(ring: Column, code: int) -> Column:
+    """A ring given on WGS84 (4326), the Mercator plane (3857), the north polar plane (3413) or a datum of SHIFTS, on WGS84."""
+    if code == 4326:
+        return ring
+    planes = {3857: mercator_to_lonlat, 3413: polar_to_lonlat}
+    if code in planes:
+
+        def back(p: Column) -> Column:
+            lon, lat = planes[code](p["x"], p["y"])
+            return F.struct(lon.alias("x"), lat.alias("y"))
+
+        return F.transform(ring, back)
+    if code not in {s[0] for s in SHIFTS}:
+        raise ValueError(f"no way to WGS84 from code {code}")
+    return ring_to_wgs84(ring, F.lit(code))
+
+
+def box_ring(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """A box as a closed ring, counter-clockwise from its lower left corner; edges may be given in either order."""
+    (w, e), (s, n) = ordered_bbox(west, east), ordered_bbox(south, north)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(point(w, s), point(e, s), point(e, n), point(w, n), point(w, s))
+
+
 def ring_shifted(ring: Column, chosen: Column) -> Column:
     """A ring moved by seven parameters. One small step after the other, so that the plan stays as small as the formulas."""
     a, f = KRASSOVSKY

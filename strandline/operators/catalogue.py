@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
+from strandline.operators import ranks
 
 #: Datum names as catalogues write them, with the status and code each stands for.
 DATUMS = (
@@ -82,6 +83,22 @@ def four_corners(corners: str = "corners") -> Column:
     return F.size(F.col(corners)) >= 4
 
 
+def sheets_in_box(sheets: DataFrame, west: float, south: float, east: float, north: float, partial: bool = False, corners: str = "corners") -> DataFrame:
+    """Sheets whose corners' box holds the given one, or with `partial` only meets it; touching counts. Sheets that don't name four
+    corners go, and those without a place. Adds xmin, ymin, xmax, ymax."""
+    at = F.map_values(F.col(corners))
+    lons, lats = F.transform(at, lambda p: p["lon"]), F.transform(at, lambda p: p["lat"])
+    boxed = sheets.where(four_corners(corners)).withColumns({"xmin": F.array_min(lons), "ymin": F.array_min(lats), "xmax": F.array_max(lons), "ymax": F.array_max(lats)})
+    return boxed.where(overlaps(west, south, east, north) if partial else contains(west, south, east, north))
+
+
+def neatlines(sheets: DataFrame, datum: str = "datum", corners: str = "corners", shifts=geo.SHIFTS) -> DataFrame:
+    """map_file, cutline: each sheet's border on WGS84 as GeoJSON text, to cut its image with. Sheets whose corners make no ring go."""
+    placed = normalised_footprints(sheets, datum, corners, shifts)
+    points = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    return placed.select("map_file", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))).alias("cutline"))
+
+
 def normalised_footprints(sheets: DataFrame, datum: str = "datum", corners: str = "corners", shifts=geo.SHIFTS) -> DataFrame:
     """Sheets on WGS84: datum_status, epsg, ring, xmin, ymin, xmax, ymax and shift_m, how far the first corner moved. Corners
     on a known other datum are shifted one by one, with the set of `shifts` that is best there. Those on a datum without parameters stay where they are and are marked
@@ -117,7 +134,10 @@ def status_counts(sheets: DataFrame) -> DataFrame:
 
 
 def shift_statistics(sheets: DataFrame) -> DataFrame:
-    return sheets.groupBy("datum_status").agg(F.count("shift_m").alias("n"), F.min("shift_m").alias("min_shift"), F.median("shift_m").alias("median_shift"), F.max("shift_m").alias("max_shift"))
+    """datum_status, n, min_shift, median_shift, max_shift; medians are exact, whatever the number of sheets."""
+    spread = sheets.groupBy("datum_status").agg(F.count("shift_m").alias("n"), F.min("shift_m").alias("min_shift"), F.max("shift_m").alias("max_shift"))
+    middle = ranks.medians(sheets, "shift_m", ["datum_status"]).select(F.col("datum_status").alias("_status"), F.col("median").alias("median_shift"))
+    return spread.join(middle, spread["datum_status"].eqNullSafe(F.col("_status")), "left").select("datum_status", "n", "min_shift", "median_shift", "max_shift")
 
 
 def acceptance(sheets: DataFrame, least_shift: float = 1.0) -> DataFrame:
@@ -152,6 +172,11 @@ def summary(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFr
     return df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def unknown_datums(sheets: DataFrame, most: int = 20) -> DataFrame:
+    """map_file, datum of the first `most` sheets by name whose datum isn't known; a report."""
+    return sheets.where("datum_status = 'unknown_fallback'").select("map_file", "datum").orderBy("map_file", "datum").limit(most)
+
+
 def by_year(sheets: DataFrame, missing_first: bool = False) -> DataFrame:
     """Sheets in the order of their years, then names; missing years last, or first as year 0."""
     return sheets.orderBy(F.coalesce("year", F.lit(0)) if missing_first else F.asc_nulls_last("year"), "map_file")

@@ -27,16 +27,36 @@ def _cells(size: float) -> Column:
     return F.explode(F.flatten(F.transform(span("xmin", "xmax"), lambda x: F.transform(span("ymin", "ymax"), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))).alias("g")
 
 
+BOX = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _level(size: float) -> Column:
+    """How often a cell must be doubled until a box is at most four cells wide and high."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(side / (4 * size))).cast("int"))
+
+
+def _dealt(boxes: DataFrame, top: DataFrame, name: str, size: float) -> DataFrame:
+    """A row for each cell of a box on its own level and every coarser one that is in use; boxes much larger than a cell fill
+    few cells so."""
+    levels = boxes.select("id", *BOX, _level(size).alias("own")).join(F.broadcast(top))
+    at = levels.select("*", F.explode(F.sequence(F.col("own"), F.greatest("own", "top"))).alias("level")).withColumn("cell", F.pow(F.lit(2.0), F.col("level")) * size)
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell")))
+    cells = at.select("*", F.explode(span("xmin", "xmax")).alias("gx")).select("*", F.explode(span("ymin", "ymax")).alias("gy"))
+    return cells.select(F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name[0]}_{c}") for c in BOX], F.col("own").alias(f"{name[0]}_own"), "level", "cell", "gx", "gy")
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float = 1.0, touches: bool = True) -> DataFrame:
     """left_id, right_id of boxes that meet. Both sides are dealt into grid cells and meet by an equality join; a pair
-    is taken only in the cell of its shared lower-left corner, so none comes twice and no distinct is needed."""
-    a = left.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in ("xmin", "ymin", "xmax", "ymax")], _cells(size)).select("*", "g.gx", "g.gy").drop("g")
-    b = right.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")], _cells(size)).select("*", "g.gx", "g.gy").drop("g")
+    is taken only on the level of its larger box, in the cell of its shared lower-left corner, so none comes twice and no
+    distinct is needed. A box fills at most 25 cells of a level, however large it is."""
+    top = left.select(_level(size).alias("own")).unionAll(right.select(_level(size).alias("own"))).agg(F.coalesce(F.max("own"), F.lit(0)).alias("top"))
+    a, b = _dealt(left, top, "left", size), _dealt(right, top, "right", size).drop("cell")
     under = (lambda x, y: x <= y) if touches else (lambda x, y: x < y)
     c = F.col
     meets = under(c("l_xmin"), c("r_xmax")) & under(c("r_xmin"), c("l_xmax")) & under(c("l_ymin"), c("r_ymax")) & under(c("r_ymin"), c("l_ymax"))
-    here = (F.floor(F.greatest("l_xmin", "r_xmin") / size) == c("gx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / size) == c("gy"))
-    return a.join(b, ["gx", "gy"]).where(meets & here).select("left_id", "right_id")
+    here = (F.floor(F.greatest("l_xmin", "r_xmin") / c("cell")) == c("gx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / c("cell")) == c("gy"))
+    return a.join(b, ["level", "gx", "gy"]).where((c("level") == F.greatest("l_own", "r_own")) & meets & here).select("left_id", "right_id")
 
 
 def ring_join(left: DataFrame, right: DataFrame, size: float = 1.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
+from strandline.operators import ranks
 
 CADENCES = ("annual", "monthly", "seasonal")
 MAX_STEPS = 600
@@ -82,11 +83,27 @@ def in_windows(rows: DataFrame, slices: DataFrame, at: str = "dt") -> DataFrame:
     return dated.join(months, "_month").where(F.col(at).between(F.col("start"), F.col("end"))).drop("_month")
 
 
-def scenes_by_window(scenes: DataFrame, slices: DataFrame, max_cloud: float = 20.0) -> DataFrame:
-    """label, start, end, n_scenes, median_cloud: every window, those without scenes too."""
-    good = scenes.where(F.col("cloud") < max_cloud).select("dt", "cloud")
-    hit = in_windows(good, slices).groupBy("label").agg(F.count(F.lit(1)).alias("n_scenes"), F.median("cloud").alias("median_cloud"))
-    return slices.join(hit, "label", "left").select("label", "start", "end", F.coalesce("n_scenes", F.lit(0)).cast("long").alias("n_scenes"), "median_cloud")
+def scenes_by_window(scenes: DataFrame, slices: DataFrame, max_cloud: float = 20.0, with_cloud: bool = True) -> DataFrame:
+    """label, start, end, n_scenes, median_cloud: every window, those without scenes too. Medians are exact, whatever the number
+    of scenes; without with_cloud they are left out."""
+    good = in_windows(scenes.where(F.col("cloud") < max_cloud).select("dt", "cloud"), slices).select("label", "cloud")
+    hit = good.groupBy("label").agg(F.count(F.lit(1)).alias("n_scenes"))
+    found = slices.join(hit, "label", "left").select("label", "start", "end", F.coalesce("n_scenes", F.lit(0)).cast("long").alias("n_scenes"))
+    if not with_cloud:
+        return found
+    return found.join(ranks.medians(good, "cloud", ["label"]).withColumnRenamed("median", "median_cloud"), "label", "left").select("label", "start", "end", "n_scenes", "median_cloud")
+
+
+def step_count(start: Column, end: Column, cadence: str) -> Column:
+    """How many calendar steps a range touches: years, quarters or months from its first to its last; none: one step. 0 if a date
+    is missing or the range ends before it starts."""
+    if cadence not in ("none", *CADENCES):
+        raise ValueError(f"cadence must be none or one of {', '.join(CADENCES)}, not {cadence!r}")
+    if cadence == "none":
+        return F.lit(1)
+    years = F.year(end) - F.year(start)
+    inside = {"annual": years, "seasonal": years * 4 + F.quarter(end) - F.quarter(start), "monthly": years * 12 + F.month(end) - F.month(start)}[cadence]
+    return F.when(start <= end, inside + 1).otherwise(0)
 
 
 def changes(series: DataFrame, value: str, label: str = "label") -> DataFrame:

@@ -298,7 +298,7 @@ def cadence_composite(spark, sf_dir):
 @query(f"""WITH {views.ACQUISITIONS}, {WINDOWS['monthly']}, s AS (SELECT label, count(dt) AS n FROM w LEFT JOIN acquisitions ON dt BETWEEN start AND "end" AND cloud < 20 GROUP BY label)
 SELECT label, n, n - lag(n) OVER (ORDER BY label) AS change, n - first(n) OVER (ORDER BY label) AS since_first FROM s""")
 def series_change(spark, sf_dir):
-    found = timeslices.scenes_by_window(views.acquisitions(spark, sf_dir), timeslices.windows(spark, A, B, "monthly"))
+    found = timeslices.scenes_by_window(views.acquisitions(spark, sf_dir), timeslices.windows(spark, A, B, "monthly"), with_cloud=False)
     return timeslices.changes(found.select("label", F.col("n_scenes").alias("n")), "n")
 
 

@@ -1,4 +1,4 @@
-"""Other inputs: KML and GeoJSON polygons, annotations, band files, footprints; and sinks."""
+"""Other inputs: GeoJSON bounds, annotations, band files, stored footprints; and sinks. KML is in `vectors`."""
 
 from __future__ import annotations
 
@@ -6,21 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
-
-RING = "array<struct<x:double,y:double>>"
-
-
-def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """layer, name, ring: outer rings of all polygons in the KML files below a folder."""
-    coordinates = "struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
-    schema = f"name string, Polygon array<{coordinates}>, MultiGeometry struct<Polygon:array<{coordinates}>>"
-    marks = spark.read.format("xml").schema(schema).option("rowTag", "Placemark").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.kml").load(path)
-    polygons = F.concat(F.coalesce("Polygon", F.array().cast(f"array<{coordinates}>")), F.coalesce("MultiGeometry.Polygon", F.array().cast(f"array<{coordinates}>")))
-    raw = marks.select(tx.stem(F.url_decode(F.col("_metadata.file_path"))).alias("layer"), "name", F.explode(polygons).alias("p"))
-    point = lambda t: F.struct(F.get(F.split(t, ","), 0).try_cast("double").alias("x"), F.get(F.split(t, ","), 1).try_cast("double").alias("y"))
-    ring = F.transform(F.filter(F.split(F.trim("p.outerBoundaryIs.LinearRing.coordinates"), r"\s+"), lambda t: t != ""), point)
-    return raw.select("layer", "name", ring.alias("ring")).where(F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.size("ring") >= 4))
-
+from strandline.sources import vectors
 
 def geojson_bounds(spark: SparkSession, path: str) -> DataFrame:
     """xmin, ymin, xmax, ymax of all polygons of a GeoJSON feature collection."""
@@ -40,6 +26,11 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return regions.where(whole).select("image", "filename", "region", ring.alias("ring"))
 
 
+def objects_by_image(regions: DataFrame) -> DataFrame:
+    """image, n_objects: polygons drawn on each image, and in a row without an image all of them."""
+    return regions.rollup("image").agg(F.count(F.lit(1)).alias("n_objects"))
+
+
 def band_sets(files: DataFrame, bands: dict[str, str], key: str = "B5") -> DataFrame:
     """A row for each scene with all its band files: path of the key band and of its siblings by name. files: path."""
     base = files.where(tx.basename(F.col("path")).contains(key)).select(F.col("path").alias(key))
@@ -49,9 +40,11 @@ def band_sets(files: DataFrame, bands: dict[str, str], key: str = "B5") -> DataF
     return base
 
 
-def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """Stored footprints with stem and cog names."""
+def read_footprints(spark: SparkSession, path: str, epsg: int | None = None) -> DataFrame:
+    """Stored footprints with stem and cog names; with a code, their rings are on that plane or datum and put on WGS84."""
     found = spark.read.parquet(path)
+    if epsg is not None:
+        found = vectors.on_wgs84(found, epsg)
     return found.withColumns({"stem": tx.stem(F.col("map_file")), "cog": F.concat(tx.stem(F.col("map_file")), F.lit(".tif"))})
 
 
@@ -82,6 +75,26 @@ def products(scenes: DataFrame, bands: list[str] | None = None) -> DataFrame:
     return found.distinct()
 
 
+def downloads(products: DataFrame, kind: str = "all", names: list[str] | None = None) -> DataFrame:
+    """What to order of products (entity_id, product_id, bulk, system, secondary: array of struct<entity_id, product_id, display_id,
+    bulk, groups>), each once. bundle: whole products that don't come as folders; band: secondary files whose display_id holds one of
+    the names; all: both, secondary files of bulk products only; these give entity_id, product_id. band_group: entity_id, file_group of secondary files that have
+    groups, only the named groups if any are named."""
+    whole = products.where(F.col("bulk") & (F.col("system") != "folder")).select("entity_id", "product_id")
+    files = products.select(F.col("bulk").alias("_bulk"), F.explode("secondary").alias("s")).where("s.bulk")
+    if kind == "bundle":
+        return whole.distinct()
+    if kind == "band":
+        wanted = F.exists(F.array(*[F.lit(n) for n in names or []]).cast("array<string>"), lambda n: F.contains("s.display_id", n))
+        return files.where(wanted).select("s.entity_id", "s.product_id").distinct()
+    if kind == "band_group":
+        found = files.select("s.entity_id", F.explode("s.groups").alias("file_group"))
+        return (found.where(F.col("file_group").isin(*[n.strip() for n in names])) if names else found).distinct()
+    if kind == "all":
+        return whole.unionByName(files.where("_bulk").select("s.entity_id", "s.product_id")).distinct()
+    raise ValueError(f"kind is bundle, band, band_group or all, not {kind!r}")
+
+
 def cached_table(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path, made by make() and written there if it isn't yet."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

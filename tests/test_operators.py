@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo, raster
 from strandline.operators import catalogue, graph, overlap, patches, regions, timeslices
-from strandline.sources import map_files, readers
+from strandline.sources import map_files, readers, vectors
 
 
 def slices(spark, *args):
@@ -163,7 +163,7 @@ def test_datums(spark):
 
 def test_kml_and_annotations(spark, tmp_path):
     (tmp_path / "l.kml").write_text("<kml><Document><Placemark><name>a</name><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0,0 1,0,0 1,1,0 0,0,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></Document></kml>")
-    got = readers.read_kml(spark, str(tmp_path)).collect()
+    got = vectors.read_kml(spark, str(tmp_path)).collect()
     assert [(r.layer, r.name, len(r.ring)) for r in got] == [("l", "a", 4)]
     (tmp_path / "v.json").write_text('{"k": {"filename": "f", "regions": [{"shape_attributes": {"all_points_x": [0, 1, 1], "all_points_y": [0, 0, 1]}}, {"shape_attributes": {}}]}}')
     assert [(r.image, r.filename, r.region, len(r.ring)) for r in readers.read_annotations(spark, str(tmp_path / "v.json")).collect()] == [("k", "f", 0, 3)]
