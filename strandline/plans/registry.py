@@ -542,12 +542,12 @@ def cache_keys(spark, sf_dir):
 
 
 def queries() -> dict:
-    from strandline.plans import shapes  # noqa: F401  registers its queries here
+    from strandline.plans import inputs, shapes  # noqa: F401  they register their queries here
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandline.plans import shapes  # noqa: F401
+    from strandline.plans import inputs, shapes  # noqa: F401
 
     return SQL

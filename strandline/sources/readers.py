@@ -18,8 +18,13 @@ def geojson_bounds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """image, filename, region, ring: polygons of annotation files keyed by image."""
+    return annotations(spark.read.text(path, wholetext=True))
+
+
+def annotations(texts: DataFrame) -> DataFrame:
+    """The same from texts (value), one for a file; those that aren't such JSON hold nothing."""
     shape = "struct<shape_attributes:struct<all_points_x:array<double>,all_points_y:array<double>>>"
-    images = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<filename:string,regions:array<{shape}>>>").alias("m"))
+    images = texts.select(F.from_json("value", f"map<string,struct<filename:string,regions:array<{shape}>>>").alias("m"))
     regions = images.select(F.explode("m").alias("image", "v")).select("image", "v.filename", F.posexplode("v.regions.shape_attributes").alias("region", "s"))
     ring = F.transform(F.arrays_zip("s.all_points_x", "s.all_points_y"), lambda p: F.struct(p["all_points_x"].alias("x"), p["all_points_y"].alias("y")))
     whole = (F.size("s.all_points_x") >= 3) & (F.size("s.all_points_x") == F.size("s.all_points_y"))
