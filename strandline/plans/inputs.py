@@ -251,3 +251,27 @@ def pixel_places(spark, sf_dir):
         k, tile_x.cast("long").alias("tile_x"), tile_y.cast("long").alias("tile_y"), geo.geo_to_pixel(lon, F.lit(60.0), F.lit(100.0), F.lit(4000)).alias("px"), geo.grid_size(c("xmin"), c("xmax"), 0.03).alias("width"), r9("degrees", geo.degrees_minutes(c("xmin"), k % 60)),
         x.alias("x"), y.alias("y"), west.alias("west"), east.alias("east"), km2.alias("km2"), ha.alias("ha"),
     )
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, p_partkey % 13 >= 2 AS whole FROM part) SELECT k AS id, CASE WHEN whole THEN CASE k % 4 WHEN 0 THEN 'WGS 84' WHEN 3 THEN 'Pulkovo 1942' END END AS datum, CASE WHEN whole THEN CASE WHEN k % 3 = 0 THEN k::VARCHAR ELSE '1' END END AS scale, CASE WHEN whole THEN CASE WHEN k % 3 = 0 THEN 'B-' || k ELSE 'A' END END AS idx,
+CASE WHEN whole THEN CASE WHEN k % 3 = 0 THEN 1950 + k % 50 ELSE 1901 END END::INT AS year, CASE WHEN whole THEN CASE WHEN k % 3 = 2 THEN 'scale:9 index:C year:1960 sheet.gif' ELSE 'sheet' || k || '.gif' END END AS gif_file, CASE WHEN whole AND k % 5 NOT IN (0, 2) THEN k END::INT AS width, CASE WHEN whole THEN CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE 50 END END::INT AS height,
+CASE WHEN NOT whole THEN 0 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS n_points, CASE WHEN whole THEN CASE WHEN k % 2 = 0 THEN 121.5::DOUBLE ELSE 60.5::DOUBLE END ELSE 0 END AS lats, CASE WHEN whole THEN 3 ELSE 0 END AS n_corners, CASE WHEN whole THEN 2 ELSE 0 END AS n_located, CASE WHEN whole THEN CASE WHEN k % 3 = 0 THEN 75.0::DOUBLE ELSE 70.0::DOUBLE END END AS lon FROM f""")
+def map_parse_odd(spark, sf_dir):
+    """Files with repeated titles and sizes, short and broken records, corners of which one part is missing, other line ends; empty files and none."""
+    k = c("p_partkey")
+    datum = F.when(k % 4 == 0, " WGS 84 ,x").when(k % 4 == 1, "Reserved 1,").when(k % 4 == 2, ",,").otherwise("Pulkovo 1942")
+    title = F.when(k % 3 == 0, _text("  scale:", k, " index:B-", k, " year:", 1950 + k % 50)).when(k % 3 == 1, "scale:x index:y year:19").otherwise("scale:9 index:C year:1960 sheet.gif")
+    size = F.when(k % 5 == 0, "IWH,Map Image Width/Height,100").when(k % 5 == 1, _text("IWH,Map Image Width/Height,1,2\nIWH,Map Image Width/Height,", k, ",7")).when(k % 5 == 2, "IWH,Map Image Width/Height,abc,50").otherwise(_text("IWH,Map Image Width/Height, ", k, " ,50"))
+    lines = [
+        F.lit("OziExplorer Map Data File\ntitle"), _text("sheet", k, ".gif"), F.lit("1 ,Map Code,"), datum, F.lit("scale:1 index:A year:1901"), title, size, F.lit("Point01,xy,10,20,in,deg,60,30,N,70,15,E\nPoint02,xy,abc,20,in,deg,60,30,N,70,15,E\nPoint03,xy,1,2\nPoint05,xy,5,5,in,deg,,,N,,,E"),
+        F.when(k % 2 == 0, _text("Point04,xy,", k, ",5,in,deg,61,0,N,71,0,E")), F.lit("MMPXY,1,10,20\nMMPXY,2,910,20\nMMPXY,x,1,1\nMMPXY,4\nMMPLL,1,70,60\nMMPLL,3,72,61"), F.when(k % 3 == 0, "MMPLL,1,75,65"),
+    ]
+    body = F.concat_ws("\n", *lines)
+    text = F.when(k % 13 == 0, "").when(k % 13 >= 2, F.when(k % 2 == 1, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body))
+    read = map_files.parse(views.table(spark, sf_dir, "part").select(_text(k).alias("map_file"), text.alias("text")))
+    located = F.size(F.filter(F.map_values("corners"), lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()))
+    count = lambda v: F.coalesce(v, F.lit(0))
+    return read.select(
+        c("map_file").cast("long").alias("id"), "datum", "scale", c("index").alias("idx"), "year", "gif_file", c("image_width").alias("width"), c("image_height").alias("height"), count(F.size("control_points")).alias("n_points"),
+        F.coalesce(F.aggregate("control_points", F.lit(0.0), lambda s, p: s + p["lat"]), F.lit(0.0)).alias("lats"), count(F.size("corners")).alias("n_corners"), count(located).alias("n_located"), F.try_element_at("corners", F.lit(1))["lon"].alias("lon"),
+    )
