@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.operators import catalogue, overlap, resample, rings, simplify, subdivision, warps
+from strandline.operators import catalogue, overlap, resample, rings, sheets, simplify, subdivision, warps
 from strandline.plans import views
 from strandline.plans.registry import AFFINE, NORMAL, W, _labels, _sheets, _with_labels, query, r9
 
@@ -181,3 +181,24 @@ def resampled_composite(spark, sf_dir):
     targets = rows.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("col"))
     at = lambda v: (F.col(v) + 0.5) * 0.8 - 0.5
     return resample.resampled(source, targets.select("row", "col", at("row").alias("at_row"), at("col").alias("at_col")), ["green"]).select("row", "col", r9("green", digits=6))
+
+
+@query("""WITH sh AS (SELECT s_suppkey AS sheet, 7800000.37::DOUBLE + s_suppkey % 50 * 1000 AS x0, 9900000.41::DOUBLE - s_suppkey // 50 * 1000 AS y0 FROM supplier),
+bx AS (SELECT *, floor(-y0 / 7)::BIGINT - 5 AS r0, floor(x0 / 7)::BIGINT - 5 AS c0 FROM sh), gr AS (SELECT sheet, r0 + i AS row, c0 + j AS col, x0, y0 FROM bx, range(0, 60) AS a(i), range(0, 50) AS b(j)),
+pl AS (SELECT sheet, row, col, (10 * ((col + 0.5::DOUBLE) * 7 - x0) + 2 * (-(row + 0.5::DOUBLE) * 7 - y0)) / 102 AS x, (((col + 0.5::DOUBLE) * 7 - x0) - 10 * (-(row + 0.5::DOUBLE) * 7 - y0)) / 102 AS y FROM gr),
+px AS (SELECT l_suppkey AS sheet, l_orderkey % 24 AS row, l_partkey % 16 AS col, max(l_linenumber)::BIGINT AS v FROM lineitem GROUP BY ALL)
+SELECT pl.sheet, pl.row, pl.col, px.v, CASE WHEN px.v IS NULL THEN 0 ELSE 255 END AS alpha FROM pl LEFT JOIN px ON px.sheet = pl.sheet AND px.row = floor(y) AND px.col = floor(x) WHERE x > 0 AND x < 16 AND y > 0 AND y < 24""")
+def sheets_warped(spark, sf_dir):
+    """A scan of 16 by 24 pixels for each supplier, turned a little, on a grid of 7 metres of the Mercator plane."""
+    c = F.col
+    lines, suppliers = views.table(spark, sf_dir, "lineitem"), views.table(spark, sf_dir, "supplier")
+    pixels = lines.groupBy(c("l_suppkey").alias("sheet"), (c("l_orderkey") % 24).alias("row"), (c("l_partkey") % 16).alias("col")).agg(F.max("l_linenumber").cast("long").alias("v"))
+    x0, y0 = c("s_suppkey") % 50 * 1000 + 7800000.37, 9900000.41 - F.floor(c("s_suppkey") / 50) * 1000
+
+    def place(x, y):
+        lon, lat = geo.mercator_to_lonlat(x0 + 10.0 * x + 2.0 * y, y0 - 10.0 * y + 1.0 * x)
+        return F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), lon.alias("lon"), lat.alias("lat"))
+
+    points = suppliers.select(c("s_suppkey").alias("sheet"), F.explode(F.array(*[place(*p) for p in ((0, 0), (16, 0), (0, 24), (16, 24), (8, 12))])).alias("p")).select("sheet", "p.*")
+    ring = F.transform(F.array(*[place(*p) for p in ((0, 0), (0, 24), (16, 24), (16, 0), (0, 0))]), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    return sheets.warp(pixels, points, suppliers.select(c("s_suppkey").alias("sheet"), ring.alias("ring")), ["sheet"], ["v"], 7.0)
