@@ -145,12 +145,13 @@ def with_faces(halves: DataFrame) -> DataFrame:
 
 def interior_points(sides: DataFrame, key: str = "face") -> DataFrame:
     """key, x, y, area of areas given by their sides (key, x1, y1, x2, y2, in whole units), holes included: the middle of the widest
-    span inside on the line half a unit over the middle height, where no corner lies."""
+    span inside on the line half a unit over the middle height, where no corner lies. Sides and areas meet by a merge: Spark guesses
+    from the bytes of what sides were made of that they are few, and would send them all to every task."""
     c = F.col
     area = F.sum(c("x1") * (c("y2") - c("y1")) - (c("x2") - c("x1")) * c("y1")) / 2
     middle = sides.groupBy(key).agg((F.floor((F.min("y1") + F.max("y1")) / 2) + 0.5).alias("y"), F.abs(area).alias("area"))
     x_at = c("x1") + (c("x2") - c("x1")) * (c("y") - c("y1")) / (c("y2") - c("y1"))
-    hits = sides.join(middle, key).where((F.least("y1", "y2") < c("y")) & (F.greatest("y1", "y2") > c("y"))).select(key, "y", "area", x_at.alias("at"))
+    hits = sides.join(middle.hint("merge"), key).where((F.least("y1", "y2") < c("y")) & (F.greatest("y1", "y2") > c("y"))).select(key, "y", "area", x_at.alias("at"))
     along = Window.partitionBy(key).orderBy("at")
     pairs = hits.withColumns({"turn": F.row_number().over(along), "to": F.lead("at").over(along)}).where("turn % 2 = 1 and to is not null")
     return pairs.groupBy(key).agg(F.max_by(F.struct(((c("at") + c("to")) / 2).alias("x"), "y", "area"), F.struct(c("to") - c("at"), -c("at"))).alias("p")).select(key, "p.*")
