@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from strandline.operators import subdivision
+from strandline.operators import overlap, subdivision
 from strandline.plans import registry
 from tests.checking import assert_same
 
@@ -26,3 +26,13 @@ def test_queries_equal_their_sql_at_large_keys(spark, tmp_path, name):
     part = {"p_partkey": pa.array(keys, pa.int64()), "p_name": ["a name"] * n, "p_brand": ["Brand#1", "Brand#2"] * 4, "p_type": ["SMALL"] * n, "p_size": pa.array([1, 7, 50, 49, 20, 21, 14, 30], pa.int32()), "p_retailprice": [900.0] * n}
     pq.write_table(pa.table(part), tmp_path / "part.parquet")
     assert_same(registry.queries()[name], registry.oracle_sql()[name], spark, str(tmp_path))
+
+
+def test_repeated_and_nested_footprints_are_compared_once(spark):
+    rows = [(k, f"l{k % 2}", f"f{k % 3}", 0.25, 0.25, 1.5 + k % 5 / 10, 1.5 + k % 5 / 10) for k in range(3000)] + [(3000, None, "f9", 3.0, 3.0, 4.0, 4.0), (3001, None, None, 5.0, 5.0, 6.0, 6.0)]
+    boxes = spark.createDataFrame(rows, "id long, layer string, file string, xmin double, ymin double, xmax double, ymax double")
+    kept = overlap.named_boxes(boxes, ["layer", "file"], 1.0)
+    assert kept.where("gx < 3").count() == 4 * (2 + 3), "one box for each name and square"
+    got = {(r.xmin, r.ymin, round(r.xmax, 9), r.overlap_count, tuple(r.layers), tuple(r.files)) for r in overlap.atomic_cells(boxes).collect()}
+    inner = (0.25, 0.25, 1.5, 3000, ("l0", "l1"), ("f0", "f1", "f2"))
+    assert inner in got and (3.0, 3.0, 4.0, 1, (), ("f9",)) in got and (5.0, 5.0, 6.0, 1, (), ()) in got and len(got) == 7
