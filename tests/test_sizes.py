@@ -36,3 +36,37 @@ def test_repeated_and_nested_footprints_are_compared_once(spark):
     got = {(r.xmin, r.ymin, round(r.xmax, 9), r.overlap_count, tuple(r.layers), tuple(r.files)) for r in overlap.atomic_cells(boxes).collect()}
     inner = (0.25, 0.25, 1.5, 3000, ("l0", "l1"), ("f0", "f1", "f2"))
     assert inner in got and (3.0, 3.0, 4.0, 1, (), ("f9",)) in got and (5.0, 5.0, 6.0, 1, (), ()) in got and len(got) == 7
+
+
+def test_regions_and_chains_send_nothing_growing_to_the_driver(spark, monkeypatch):
+    from strandline.operators import cycles, graph, regions
+
+    plans = []
+    real = regions.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    for module in (cycles, graph, regions):
+        monkeypatch.setattr(module, "stored", seen)
+    pixels = spark.createDataFrame([(r, c) for r in range(6) for c in range(6) if r != 2], "row long, col long")
+    labels = regions.label_regions(pixels, tile=2)
+    assert {r.label for r in labels.collect()} == {0, 3 << 31}
+    plans.append(plan_of(labels))
+    plans.append(plan_of(regions.area_perimeter(labels)))
+    got = {r.node: (r.cycle, r["at"]) for r in cycles.cycles(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 7)], "node long, next long")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 7: (7, 0)}
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_small_tables_of_long_formulas_are_dealt_over_tasks(spark, data_dir):
+    from strandline.plans import views
+
+    for rows in (views.map_text(spark, data_dir), views.turned_sheets(spark, data_dir)):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_map_texts_are_read_once_and_after_they_are_dealt_out(spark, data_dir):
+    plan = registry.queries()["map_parse_corners"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MMPXY,1") == 1 and plan.index("MMPXY,1") < plan.index("Repartition")
