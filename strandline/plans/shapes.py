@@ -165,8 +165,9 @@ _x, _y = _polar_sql("lon", "lat")
 pl AS (SELECT id, {_x} AS x, {_y} AS y FROM eg) SELECT id, round(min(x), 3) AS x0, round(min(y), 3) AS y0, round(max(x), 3) AS x1, round(max(y), 3) AS y1 FROM pl GROUP BY id""")
 def polar_bounds(spark, sf_dir):
     c = F.col
-    found = geo.densified_bounds(c("xmin"), c("ymin"), c("xmax"), c("ymax"), geo.polar)
-    return views.footprints(spark, sf_dir).select("id", *[F.round(v, 3).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), found, strict=True)])
+    box = geo.densified_box(c("xmin"), c("ymin"), c("xmax"), c("ymax"), geo.polar).alias("box")
+    found = views.spread(views.footprints(spark, sf_dir)).select("id", box)
+    return found.select("id", *[F.round(f"box.{n}", 3).alias(n) for n in ("x0", "y0", "x1", "y1")])
 
 
 @query(f"""WITH {views.SCENE_PX}, src AS (SELECT row, col, avg(green) AS green FROM scene_px GROUP BY row, col), ht AS (SELECT max(row) + 1 AS h FROM src),
