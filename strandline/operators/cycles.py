@@ -22,7 +22,7 @@ def cycles(links: DataFrame) -> DataFrame:
     first = state
     while True:
         on = state.select(c("node").alias("to"), c("jump").alias("jump2"), c("least").alias("least2"), c("far").alias("far2"), c("length").alias("length2"))
-        joined = state.where("length is null").join(on, c("jump") == c("to"))
+        joined = state.where("length is null").join(on.hint("merge"), c("jump") == c("to"))
         known, again, less = c("length2").isNotNull(), c("least2") == c("least"), c("least2") < c("least")
         far = F.when(known, F.pmod(c("far2") + span, c("length2"))).when(less, c("far2") + span).otherwise(c("far"))
         length = F.when(known, c("length2")).when(again, c("far2") + span - c("far"))

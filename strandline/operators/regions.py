@@ -62,16 +62,16 @@ def label_regions(mask: DataFrame, connectivity: int = 8, tile: int = TILE, valu
     edge = parts.where((F.pmod("row", F.lit(tile)) == tile - 1) | (F.pmod("col", F.lit(tile)) == tile - 1) | (F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)) == 0))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     to = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps])).alias("to")
-    touching = edge.select("part", *own, to).select(F.col("part").alias("a"), *own, "to.row", "to.col").join(edge.select("row", "col", *own, F.col("part").alias("b")), ["row", "col", *own]).where("a <> b").select("a", "b").distinct()
+    touching = edge.select("part", *own, to).select(F.col("part").alias("a"), *own, "to.row", "to.col").join(edge.select("row", "col", *own, F.col("part").alias("b")).hint("merge"), ["row", "col", *own]).where("a <> b").select("a", "b").distinct()
     merged = components(touching)
-    return parts.join(merged, F.col("part") == F.col("node"), "left").select("row", "col", *own, F.coalesce("component", "part").alias("label" if value != "label" else "part"))
+    return parts.join(merged.hint("merge"), F.col("part") == F.col("node"), "left").select("row", "col", *own, F.coalesce("component", "part").alias("label" if value != "label" else "part"))
 
 
 def neighbour_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """keys, row, col, n4: how many of the four neighbours have the same keys."""
     to = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in SIDES])).alias("to")
     near = pixels.select(*keys, to).select(*keys, "to.row", "to.col").groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n"))
-    return pixels.join(near, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("n", F.lit(0)).alias("n4"))
+    return pixels.join(near.hint("merge"), [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("n", F.lit(0)).alias("n4"))
 
 
 def boundary(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def sides(pixels: DataFrame, keys: list[str]) -> DataFrame:
     it, by pixel corners. Every pixel has four sides in a fixed sense, so that the region is on their right; sides between two pixels of a region cancel."""
     ends = (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1)))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), (F.col("row") + p[0]).alias("r1"), (F.col("col") + p[1]).alias("c1"), (F.col("row") + q[0]).alias("r2"), (F.col("col") + q[1]).alias("c2"), (F.col("row") + n[0]).alias("row"), (F.col("col") + n[1]).alias("col")) for k, (p, q, n) in enumerate(ends)])).alias("s")
-    return pixels.select(*keys, each).select(*keys, "s.*").join(pixels.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti").drop("row", "col")
+    return pixels.select(*keys, each).select(*keys, "s.*").join(pixels.select(*keys, "row", "col").hint("merge"), [*keys, "row", "col"], "left_anti").drop("row", "col")
 
 
 def outline(pixels: DataFrame, keys: list[str], affine: tuple[float, float, float, float, float, float] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
@@ -113,17 +113,19 @@ def projected(sides: DataFrame, plane=None) -> DataFrame:
     so sending it to every task is bounded."""
     if plane is not None:
         return sides.select("*", *[v.alias(f"_{n}{k}") for k in "12" for n, v in zip("xy", plane(F.col(f"x{k}"), F.col(f"y{k}")), strict=True)]).drop("x1", "y1", "x2", "y2").withColumnsRenamed({f"_{n}{k}": f"{n}{k}" for n in "xy" for k in "12"})
-    ends = sides.agg(((F.min("x1") + F.max("x1")) / 2).alias("_lon"), ((F.min("y1") + F.max("y1")) / 2).alias("_lat"))
+    sides = stored(sides)  # read twice: for the middle and for the way to the plane
+    middle = sides.agg(((F.min("x1") + F.max("x1")) / 2).alias("_lon"), ((F.min("y1") + F.max("y1")) / 2).alias("_lat"))
+    x0, y0 = geo.utm(F.col("_lon"), F.col("_lat"), geo.utm_zone(F.col("_lon")))
+    ends = stored(middle.select("_lon", "_lat", geo.utm_zone(F.col("_lon")).alias("_zone"), x0.alias("_x0"), y0.alias("_y0")))
     placed = sides.join(F.broadcast(ends))
-    zone = geo.utm_zone(F.col("_lon"))
-    x0, y0 = geo.utm(F.col("_lon"), F.col("_lat"), zone)
+    zone = F.col("_zone")
     columns = {}
     for k in "12":
         x, y = geo.utm(F.col(f"x{k}"), F.col(f"y{k}"), zone)
         far_x, far_y = geo.equal_area(F.col(f"x{k}"), F.col(f"y{k}"), F.col("_lon"), F.col("_lat"))
         zoned = F.abs("_lat") <= FARTHEST_ZONE
-        columns |= {f"x{k}": F.when(zoned, x - x0).otherwise(far_x), f"y{k}": F.when(zoned, y - y0).otherwise(far_y)}
-    return placed.withColumns(columns).drop("_lon", "_lat")
+        columns |= {f"x{k}": F.when(zoned, x - F.col("_x0")).otherwise(far_x), f"y{k}": F.when(zoned, y - F.col("_y0")).otherwise(far_y)}
+    return placed.withColumns(columns).drop("_lon", "_lat", "_zone", "_x0", "_y0")
 
 
 def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False, plane=None) -> DataFrame:
@@ -157,7 +159,7 @@ def box_counts(edge: DataFrame, keys: list[str] | None = None, most_sizes: int =
     box = edge.groupBy(*keys).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.least(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("side"), F.count(F.lit(1)).alias("n"))
     fit = box.where("n >= 8 and side + 1 >= 8").select(*keys, "r0", "c0", F.least(F.lit(most_sizes - 1), F.floor(F.log2(F.floor((F.col("side") + 1) / 2)))).alias("top"))
     sizes = F.explode(F.transform(F.sequence(F.lit(0), F.col("top").cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))).alias("size")
-    return edge.join(fit, keys).select(*keys, "row", "col", "r0", "c0", sizes).groupBy(*keys, "size").agg(F.count_distinct(F.floor((F.col("row") - F.col("r0")) / F.col("size")), F.floor((F.col("col") - F.col("c0")) / F.col("size"))).alias("boxes"))
+    return edge.join(fit.hint("merge"), keys).select(*keys, "row", "col", "r0", "c0", sizes).groupBy(*keys, "size").agg(F.count_distinct(F.floor((F.col("row") - F.col("r0")) / F.col("size")), F.floor((F.col("col") - F.col("c0")) / F.col("size"))).alias("boxes"))
 
 
 def fractal_dimension(counts: DataFrame, keys: list[str] | None = None, least_sizes: int = 3) -> DataFrame:
@@ -203,8 +205,8 @@ def lake_metrics(labels: DataFrame, affine=(1, 0, 0, 0, 1, 0), min_area: float =
     if "fractal_dimension" not in metrics:
         return shape
     large = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fractal_min_pixels).select("label")
-    fractal = fractal_dimension(box_counts(boundary(labels.join(large, "label", "left_semi"), ["label"])))
-    return shape.join(fractal, "label", "left")
+    fractal = fractal_dimension(box_counts(boundary(labels.join(large.hint("merge"), "label", "left_semi"), ["label"])))
+    return shape.join(fractal.hint("merge"), "label", "left")
 
 
 def lake_report(lakes: DataFrame, edges: list[float] | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -35,7 +35,7 @@ def ring_points(labels: DataFrame, label: str = "label") -> DataFrame:
     sides = stored(regions.sides(parts, ["value", "part"]))
     forward = F.when(c("turn") < 2, 1).otherwise(-1)
     step = forward * F.when(c("turn") % 2 == 0, c("c1")).otherwise(c("r1"))
-    marked = sides.withColumns({"line": F.when(c("turn") % 2 == 0, c("r1")).otherwise(c("c1")), "step": step, "v": corner("r1", "c1")}).join(junctions(sides).withColumn("cut", F.lit(True)), "v", "left")
+    marked = sides.withColumns({"line": F.when(c("turn") % 2 == 0, c("r1")).otherwise(c("c1")), "step": step, "v": corner("r1", "c1")}).join(junctions(sides).withColumn("cut", F.lit(True)).hint("merge"), "v", "left")
     along = Window.partitionBy("part", "turn", "line").orderBy("step")
     new = F.coalesce(c("cut"), F.lag("step").over(along) != c("step") - 1, F.lit(False)).cast("int")
     runs = marked.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -45,9 +45,9 @@ def ring_points(labels: DataFrame, label: str = "label") -> DataFrame:
     free(sides)
     ahead = runs.select(c("part").alias("part2"), c("turn").alias("turn2"), corner("r1", "c1").alias("v2"), c("node").alias("next"))
     left_first = F.pmod(c("turn2") - c("turn") + 1, F.lit(4))  # left, straight on, right
-    links = runs.join(ahead, (c("part") == c("part2")) & (corner("r2", "c2") == c("v2"))).groupBy("node").agg(F.min_by("next", left_first).alias("next"))
+    links = runs.join(ahead.hint("merge"), (c("part") == c("part2")) & (corner("r2", "c2") == c("v2"))).groupBy("node").agg(F.min_by("next", left_first).alias("next"))
     order = cycles(links)
-    return runs.join(order, "node").select(c("value").alias(label), "part", c("cycle").alias("ring"), (c("cycle") % 4 == 1).alias("hole"), "at", c("r1").alias("row"), c("c1").alias("col"), c("r2").alias("row2"), c("c2").alias("col2"))
+    return runs.join(order.hint("merge"), "node").select(c("value").alias(label), "part", c("cycle").alias("ring"), (c("cycle") % 4 == 1).alias("hole"), "at", c("r1").alias("row"), c("c1").alias("col"), c("r2").alias("row2"), c("c2").alias("col2"))
 
 
 def placed(points: DataFrame, affine: tuple[float, float, float, float, float, float]) -> DataFrame:
