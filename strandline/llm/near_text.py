@@ -13,16 +13,16 @@ doc_id of a group stays.
    text shares a run of that many words. That many, RUN at most, are the runs, so every near pair of short texts meets.
 2. Buckets. The classes that share a key are aligned with the bucket's smallest one, its centre. Where all are near it,
    the bucket is done. Else a bucket of at most SMALL classes aligns all pairs but those both near the centre; it is exact.
-3. Larger buckets of unlike texts (a passage that many documents quote) fall apart: each row's key is made longer by the
-   least of its text's BESIDE-word runs that neither this centre nor an earlier one on its way has, so texts meet again by
-   what stands beside the passage. A row with nothing left starts again with a key of 4, 16, 64, ... least runs of the whole
-   text, until that is all of it. A level has at most one row for each row of the level before, whatever the buckets'
-   sizes, and every pair is aligned once.
+3. The classes of larger buckets of unlike texts (a passage that many documents quote) are joined exactly, wherever they met:
+   of two near texts, the longer of n words, all but a fifth of n words are in both, so they share one of each one's n / 5 + 1
+   rarest words, a word's second occurrence being another word. Rare is by any one order; here by counts of the frequent
+   words (FREQUENT at most are sent to the tasks), the rest by hash. Texts near one centre are in one group already and are
+   not compared; pairs whose lengths, or places among the rarest words, rule out nearness are not aligned.
 
-Recall, measured by tests/llm/near_recall.py on 500 pairs of texts each with words replaced at random: 0.986 where 19 of
-100 words differ, 0.994 for 190 of 1000, 1.0 for 15 of 100 and 5 of 50; beside a passage that all texts share, 1.0 for 18 of
-120 words with 60 shared, 0.996 for 40 of 380 with 300 shared. Texts of few runs answer less well: five words replaced in
-25 may leave no run of five.
+So two texts that share a bucket are compared whatever its size, and every pair is aligned once; a near pair is missed only
+where no key is shared. Recall, measured by tests/llm/near_recall.py on 500 pairs of texts each with words replaced at random:
+0.986 where 19 of 100 words differ, 0.994 for 190 of 1000, 1.0 for 15 of 100 and 5 of 50; beside a passage that all texts
+share, 1.0 for 18 of 120 words with 60 shared. Texts of few runs answer less well: five words replaced in 25 may leave no run of five.
 
 Null texts and texts without words are near nothing and stay; texts of fewer than K words have one run, the whole
 text; repeated rows belong to one class; texts that share an id count as one node of the groups, aligned by one of them;
@@ -46,13 +46,12 @@ from strandline.operators.graph import components
 from strandline.llm.repeats import gram_hashes, hashes, mixed, words_of
 
 K = 5
-BESIDE = 2
 ORDERS = 8
 LEAST = 5
 SIMILARITY = 0.8
 SMALL = 16
 SHORT, RUN = 100, 4
-FURTHER = 4
+FREQUENT = 65_536
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mixed(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -132,7 +131,7 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """rep, key, left, reach, centre, n: the rows whose key two or more share; centre is the smallest rep of the bucket,
+    """rep, key, centre, n: the rows whose key two or more share; centre is the smallest rep of the bucket,
     n its number of rows."""
     sizes = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n"))
     shared = stored(sizes.where("centre < top").select("key", "centre", "n"))
@@ -216,10 +215,9 @@ def banded(rows: list[int], cols: list[int], band: int) -> int:
     return value + below + (len(rows) - gone - size)
 
 
-def aligned(pairs: DataFrame, similarity: float) -> DataFrame:
-    """rep, centre, near, outside: the pairs (rep, centre, rep_words, centre_words) judged; outside has a bit for each
-    BESIDE-word run of rep that centre lacks."""
-    schema = "rep long, centre long, near boolean, outside binary"
+def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """rep, centre, near: the pairs (rep, centre) judged."""
+    schema = "rep long, centre long, near boolean"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,82 +225,110 @@ def aligned(pairs: DataFrame, similarity: float) -> DataFrame:
             a, b = ([np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(c).to_pylist()] for c in ("rep_words", "centre_words"))
             limit = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)], np.int64)
             near = edit_distances(a, b, limit) <= limit if len(a) else np.zeros(0, bool)
-            outside = [np.packbits(~np.isin(*(runs_of(mixed(w.astype(np.uint64)), BESIDE) for w in x))).tobytes() for x in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("centre"), pa.array(near), pa.array(outside, pa.binary())], schema=arrow)
-
-    return pairs.mapInArrow(run, schema)
-
-
-def longer_key(g: np.ndarray, key: int, left: bytes | None, outside: bytes | None, reach: int) -> tuple[int, bytes | None, int] | None:
-    """The next key of a row, its runs left and its reach; null where its whole text has been used. g: the text's runs;
-    outside: those that the last centre lacks, null for the centre itself."""
-    salt = mixed(np.array([key], np.int64).view(np.uint64))
-    bits = np.zeros(len(g), bool) if outside is None else np.unpackbits(np.frombuffer(outside, np.uint8), count=len(g)).astype(bool)
-    if left is not None:
-        bits &= np.unpackbits(np.frombuffer(left, np.uint8), count=len(g)).astype(bool)
-    if bits.any():
-        runs, left = mixed(g[bits] ^ salt).min(keepdims=True), np.packbits(bits).tobytes()
-    elif reach < len(g):
-        reach *= FURTHER
-        runs, left = sketches(g, salt, reach)[0], None
-    else:
-        return None
-    out = salt
-    for r in runs:
-        out = mixed(out * MIX + r)
-    return int(out.view(np.int64)[0]), left, reach
-
-
-def fallen_apart(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rep, key, left, reach: the rows (rep, key, left, reach, outside) of large buckets with longer keys. A class has a row
-    for each of its first keys at most."""
-    schema = "rep long, key long, left binary, reach int"
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("centre"), pa.array(near)], schema=arrow)
+
+    of = lambda name: words.select(F.col("doc_id").alias(name), F.col("words").alias(f"{name}_words"))
+    return pairs.join(of("rep"), "rep").join(of("centre"), "centre").select("rep", "centre", "rep_words", "centre_words").mapInArrow(run, schema)
+
+
+def occurrences(words: bytes) -> np.ndarray:
+    """A text's words as hashes, the second occurrence of one being another."""
+    return labelled(mixed(np.frombuffer(words, "<u4").astype(np.uint64)))
+
+
+def frequent_words(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the texts' `occurrences`, at most so many and in order, and their counts. Whole powers of two of counts
+    are taken, from the top, so that only those that are taken reach the driver."""
+    schema = "token long, n long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rep, own, w in zip(*(batch.column(c).to_pylist() for c in ("rep", "own", "words")), strict=True):
-                g = runs_of(mixed(np.frombuffer(w, "<u4").astype(np.uint64)), BESIDE)
-                longer = (longer_key(g, x["key"], x["left"], x["outside"], x["reach"]) for x in own)
-                out += [(rep, *x) for x in longer if x]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], arrow.field(i).type) for i in range(4)], schema=arrow)
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [occurrences(w) for w in batch.column("words").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], schema=arrow)
+
+    level = F.floor(F.log2("n"))
+    counts = stored(texts.select("words").mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"))
+    least, taken = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        taken += r["n"]
+        if taken > most:
+            break
+        least = r["level"]
+    found = counts.where(level >= least if least is not None else F.lit(False)).toArrow()
+    free(counts)
+    token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def rarest_words(texts: DataFrame, known: np.ndarray, counts: np.ndarray, similarity: float) -> DataFrame:
+    """rep, star, n, at, token: of each text (rep, star, words) of n words the rarest `occurrences`, one more than edits may touch;
+    at is a token's place among all of the text's."""
+    schema = "rep long, star long, n int, at int, token long"
+    arrow = arrow_schema(schema)
+    sent = texts.sparkSession.sparkContext.broadcast((np.append(known, np.uint64(2**64 - 1)), np.append(counts, 1)))
 
-    own = rows.groupBy("rep").agg(F.collect_list(F.struct("key", "left", "reach", "outside")).alias("own"))
-    return own.join(words, F.col("rep") == F.col("doc_id")).select("rep", "own", "words").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in batches:
+            tokens, sizes = [np.zeros(0, np.uint64)], []
+            for w in batch.column("words").to_pylist():
+                g = occurrences(w)
+                i = np.searchsorted(known, g)
+                tokens.append(g[np.lexsort((g, np.where(known[i] == g, counts[i], 1)))][: int((1 - similarity) * len(g) + 1e-9) + 1])
+                sizes.append(len(g))
+            many = np.array([len(t) for t in tokens[1:]], np.int64)
+            each = [np.repeat(batch.column(c).to_numpy(), many) for c in ("rep", "star")]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(each[0], pa.int64()), pa.array(each[1], pa.int64()), pa.array(np.repeat(np.array(sizes, np.int32), many), pa.int32()), pa.array(at.astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64))], schema=arrow)
+
+    return texts.select("rep", "star", "words").mapInArrow(run, schema)
+
+
+def crowd_pairs(crowd: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """rep, centre: the pairs of texts (rep, star) with different stars that may be near; no near one is missing."""
+    c = F.col
+    texts = stored(crowd.join(words, c("rep") == c("doc_id")).select("rep", "star", "words"))
+    rare = stored(rarest_words(texts, *frequent_words(texts), similarity))
+    mixed_tokens = stored(rare.groupBy("token").agg(F.min("star").alias("first"), F.max("star").alias("last")).where("first < last").select("token"))
+    shared = stored(rare.join(mixed_tokens, "token"))
+    free(texts, rare, mixed_tokens)
+    # texts of one star are not met by each other, so a large group costs no pairs of its own
+    stars = stored(shared.groupBy("token", c("star").alias("other_star")).agg(F.min("n").alias("shortest"), F.max("n").alias("longest")))
+    fits = lambda short, long: long - short <= F.floor((1 - similarity) * long + 1e-9)
+    met = stored(shared.join(stars, "token").where((c("star") < c("other_star")) & fits(c("n"), F.greatest("n", "shortest")) & fits(F.least("n", "longest"), c("n"))))
+    other = shared.select("token", c("star").alias("other_star"), c("rep").alias("other"), c("n").alias("m"), c("at").alias("other_at"))
+    long = F.greatest("n", "m")
+    both = long - F.floor((1 - similarity) * long + 1e-9)  # words that are in both texts at least, if they are near
+    pairs = met.join(other, ["token", "other_star"]).where((F.least("n", "m") >= both) & (c("n") - c("at") >= both) & (c("m") - c("other_at") >= both))
+    found = stored(pairs.select(F.greatest("rep", "other").alias("rep"), F.least("rep", "other").alias("centre")).distinct())
+    free(shared, stars, met)
+    return found
 
 
 def near_links(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """a, b: near classes, from the first level's bucket rows."""
-    of = lambda name: words.select(F.col("doc_id").alias(name), F.col("words").alias(f"{name}_words"))
-    judged = small = None
-    while True:
-        pairs = rows.where("rep <> centre").select("rep", "centre")
-        pairs = (pairs if small is None else pairs.unionByName(small)).distinct()
-        pairs = pairs if judged is None else pairs.join(judged.select("rep", "centre"), ["rep", "centre"], "left_anti")
-        new = stored(aligned(pairs.join(of("rep"), "rep").join(of("centre"), "centre").select("rep", "centre", "rep_words", "centre_words"), similarity))
-        judged = new if judged is None else judged.unionByName(new)
-        state = rows.join(judged, ["rep", "centre"], "left").select("key", "rep", "left", "reach", "n", F.coalesce("near", F.lit(True)).alias("near"), F.when(F.col("n") > SMALL, F.col("outside")).alias("outside"))
-        state = stored(state)
-        unlike = stored(state.groupBy("key").agg(F.bool_and("near").alias("all_near")).where("not all_near").select("key"))
-        unlike_rows = state.join(unlike, "key")
-        few = stored(unlike_rows.where(F.col("n") <= SMALL).select("key", "rep", "near"))
-        other = few.select("key", F.col("rep").alias("other"), F.col("near").alias("other_near"))
-        small = stored(few.join(other, "key").where("other < rep and not (near and other_near)").select("rep", F.col("other").alias("centre")).distinct())
-        longer = stored(fallen_apart(unlike_rows.where(F.col("n") > SMALL), words))
-        free(rows, state, unlike)
-        rows = buckets(longer)
-        free(longer, few)
-        if small.isEmpty() and rows.isEmpty():
-            return judged.where("near").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    """a, b: near classes, from the bucket rows."""
+    judged = stored(aligned(rows.where("rep <> centre").select("rep", "centre").distinct(), words, similarity))
+    state = stored(rows.join(judged, ["rep", "centre"], "left").select("key", "rep", "n", F.coalesce("near", F.lit(True)).alias("near")))
+    unlike = stored(state.groupBy("key").agg(F.bool_and("near").alias("all_near")).where("not all_near").select("key"))
+    unlike_rows = state.join(unlike, "key")
+    few = stored(unlike_rows.where(F.col("n") <= SMALL).select("key", "rep", "near"))
+    other = few.select("key", F.col("rep").alias("other"), F.col("near").alias("other_near"))
+    small = few.join(other, "key").where("other < rep and not (near and other_near)").select("rep", F.col("other").alias("centre"))
+    stars = judged.where("near").groupBy("rep").agg(F.min("centre").alias("star"))
+    crowd = unlike_rows.where(F.col("n") > SMALL).select("rep").distinct().join(stars, "rep", "left").select("rep", F.coalesce("star", "rep").alias("star"))
+    pairs = small.unionByName(crowd_pairs(crowd, words, similarity)).distinct().join(judged.select("rep", "centre"), ["rep", "centre"], "left_anti")
+    later = stored(aligned(pairs, words, similarity))
+    free(rows, state, unlike, few)
+    return judged.unionByName(later).where("near").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
 
 
 def near_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id with the same words), group_id (smallest doc_id of
     its near-duplicate group), kept (it is that document)."""
     classes, seen = classes_of(id_text(docs), similarity)
-    every = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
-    rows = buckets(every.select("rep", "key", F.lit(None).cast("binary").alias("left"), F.lit(1).alias("reach")))
+    rows = buckets(classes.where("rep is not null").select("rep", F.explode("keys").alias("key")))
     ids = rows.select(F.col("rep").alias("id")).distinct()
     # a class's words come from any of its documents with the smallest id and words
     needed = seen.where("words is not null").select("doc_id", "words").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")

@@ -612,6 +612,32 @@ def test_pairs_in_buckets_under_and_over_the_size_that_aligns_all(spark, sharing
     assert found >= 0.97 * all_of_them
 
 
+@pytest.mark.parametrize("case", [(120, 18, 60, 18), (120, 24, 60, 40)])
+def test_no_near_pair_of_a_large_bucket_is_lost(spark, case):
+    found, all_of_them = near_recall.recall(spark, case, 243)
+    assert found == all_of_them
+
+
+def test_crowd_pairs_hold_every_near_pair_of_different_stars(spark):
+    rnd = random.Random(22)
+    rows = []
+    for k in range(60):  # few words, so that most are frequent; every third text is an edited one of those before
+        x = [rnd.randrange(40) for _ in range(rnd.randrange(1, 40))] if k % 3 or not rows else list(rnd.choice(rows)[2])
+        for _ in range(rnd.randrange(len(x) // 5 + 2) if k % 3 == 0 else 0):
+            x[rnd.randrange(len(x)) :][:1] = [rnd.randrange(40)]
+            x[rnd.randrange(len(x))] = rnd.randrange(40)
+        rows.append((k, k // 2, x))
+    crowd = spark.createDataFrame([(k, star) for k, star, _ in rows], "rep long, star long")
+    words = spark.createDataFrame([(k, bytearray(np.array(x, "<u4").tobytes())) for k, _, x in rows], "doc_id long, words binary")
+    got = {(r.rep, r.centre) for r in near_text.crowd_pairs(crowd, words, 0.8).collect()}
+    near = set()
+    for (j, s, x), (k, t, y) in itertools.combinations(rows, 2):
+        limit = np.array([max(len(x), len(y)) // 5])
+        if s != t and near_text.edit_distances([np.array(x)], [np.array(y)], limit)[0] <= limit[0]:
+            near.add((k, j))
+    assert near and near <= got and len(got) < len(rows) * (len(rows) - 1) // 4
+
+
 def test_short_runs_are_shared_by_every_near_pair():
     rnd = random.Random(21)
     for n in range(4, 101):
