@@ -1,10 +1,12 @@
 """What only shows on larger tables: plans that would send growing tables to the driver, keys beyond those of the small tables."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from strandline.operators import overlap, subdivision
+from strandline.operators import overlap, patches, subdivision
 from strandline.plans import registry
 from tests.checking import assert_same
 
@@ -70,3 +72,18 @@ def test_small_tables_of_long_formulas_are_dealt_over_tasks(spark, data_dir):
 def test_map_texts_are_read_once_and_after_they_are_dealt_out(spark, data_dir):
     plan = registry.queries()["map_parse_corners"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MMPXY,1") == 1 and plan.index("MMPXY,1") < plan.index("Repartition")
+
+
+@pytest.mark.parametrize("size,times", [(3, 1), (5, 1), (3, 3), (17, 1)])
+def test_opening_holds_rows_of_many_pixels_not_one_for_each_neighbour(spark, monkeypatch, size, times):
+    rnd, half = random.Random(5), times * (size - 1) // 2
+    mask = {(k, r, c) for k in (1, 2) for r in range(-9, 21) for c in range(-40, 70) if rnd.random() < 0.995}
+    square = [(dr, dc) for dr in range(-half, half + 1) for dc in range(-half, half + 1)]
+    eroded = {(k, r, c) for k, r, c in mask if all((k, r + dr, c + dc) in mask for dr, dc in square)}
+    want = {(k, r + dr, c + dc) for k, r, c in eroded for dr, dc in square}
+    by_pixels = patches.erode
+    monkeypatch.setattr(patches, "erode", lambda *a: pytest.fail("goes by pixels"))
+    rows = spark.createDataFrame(sorted(mask) + sorted(mask)[:50], "k int, row int, col long")
+    got = patches.morph_open(rows, size, times, ("k",))
+    assert got.dtypes == by_pixels(rows, size, times, ("k",)).dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(want)
