@@ -13,14 +13,14 @@ doc_id of a group stays.
    text shares a run of that many words. That many, RUN at most, are the runs, so every near pair of short texts meets.
 2. Buckets. The classes that share a key are aligned with the bucket's smallest one, its centre. Where all are near it,
    the bucket is done. Else a bucket of at most SMALL classes aligns all pairs but those both near the centre; it is exact.
-3. The classes of larger buckets of unlike texts (a passage that many documents quote) are joined exactly, wherever they met:
-   of two near texts, the longer of n words, all but a fifth of n words are in both, so they share one of each one's n / 5 + 1
-   rarest words, a word's second occurrence being another word. Rare is by any one order; here by counts of the frequent
-   words (FREQUENT at most are sent to the tasks), the rest by hash. Texts near one centre are in one group already and are
-   not compared; pairs whose lengths, or places among the rarest words, rule out nearness are not aligned.
-
-So two texts that share a bucket are compared whatever its size, and every pair is aligned once; a near pair is missed only
-where no key is shared. Recall, measured by tests/llm/near_recall.py on 500 pairs of texts each with words replaced at random:
+3. The classes of larger buckets of unlike texts (a passage that many documents quote) are joined exactly. Those that are in one group
+   already are not compared. In buckets of up to LARGE, classes of fitting lengths meet within a task, each two in the smallest key they
+   share. Those of still larger buckets meet by their rarest words: of two near texts, the longer of n words, all but a fifth of n words are
+   in both, so they share one of each one's n / 5 + 1 rarest words, a word's second occurrence being another word. Rare is by any one
+   order; here by counts of the frequent words (FREQUENT at most are sent to the tasks), the rest by hash. Pairs whose words, counted, rule
+   out nearness are not aligned; of two groups first the likeliest pair is, and all only where that one is not near.
+
+So texts that share a bucket are in one group if they are near, whatever its size; a near pair is missed only where no key is shared. Recall, measured by tests/llm/near_recall.py on 500 pairs of texts each with words replaced at random:
 0.986 where 19 of 100 words differ, 0.994 for 190 of 1000, 1.0 for 15 of 100 and 5 of 50; beside a passage that all texts
 share, 1.0 for 18 of 120 words with 60 shared. Texts of few runs answer less well: five words replaced in 25 may leave no run of five.
 
@@ -33,7 +33,7 @@ stays; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,7 @@ SIMILARITY = 0.8
 SMALL = 16
 SHORT, RUN = 100, 4
 FREQUENT = 65_536
+LARGE, BLOCK, BAG = 8_192, 8_192, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mixed(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -236,8 +237,8 @@ def occurrences(words: bytes) -> np.ndarray:
     return labelled(mixed(np.frombuffer(words, "<u4").astype(np.uint64)))
 
 
-def frequent_words(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent of the texts' `occurrences`, at most so many and in order, and their counts. Whole powers of two of counts
+def frequent_words(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The most frequent of the texts' `occurrences`, at most so many and in order, their counts, and whether all that come twice are there. Whole powers of two of counts
     are taken, from the top, so that only those that are taken reach the driver."""
     schema = "token long, n long"
     arrow = arrow_schema(schema)
@@ -249,79 +250,204 @@ def frequent_words(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
     level = F.floor(F.log2("n"))
     counts = stored(texts.select("words").mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"))
-    least, taken = None, 0
+    least, taken, whole = None, 0, True
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         taken += r["n"]
         if taken > most:
+            whole = False
             break
         least = r["level"]
     found = counts.where(level >= least if least is not None else F.lit(False)).toArrow()
     free(counts)
     token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(token)
-    return token[order], n[order]
+    return token[order], n[order], whole
 
 
-def rarest_words(texts: DataFrame, known: np.ndarray, counts: np.ndarray, similarity: float) -> DataFrame:
-    """rep, star, n, at, token: of each text (rep, star, words) of n words the rarest `occurrences`, one more than edits may touch;
-    at is a token's place among all of the text's."""
-    schema = "rep long, star long, n int, at int, token long"
+def bags(words: np.ndarray) -> np.ndarray:
+    """How many of a text's words fall into each of BAG classes of words, counted to 255."""
+    return np.minimum(np.bincount((mixed(words.astype(np.uint64)) >> np.uint64(56)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+
+
+def rarest_words(texts: DataFrame, known: np.ndarray, counts: np.ndarray, whole: bool, similarity: float) -> DataFrame:
+    """key, part, rep, star, at, block, alone, words: of each text (rep, star, words) the rarest `occurrences`, one more than edits may
+    touch, as keys; at is a token's place among all of the text's. A token of more than BLOCK texts has its texts dealt into blocks, and a part for each
+    two of these, alone if it is one with itself. whole: known are all tokens that come more than once, so others are left out."""
+    schema = "key long, part long, rep long, star long, at int, block int, alone boolean, words binary"
     arrow = arrow_schema(schema)
     sent = texts.sparkSession.sparkContext.broadcast((np.append(known, np.uint64(2**64 - 1)), np.append(counts, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in batches:
-            tokens, sizes = [np.zeros(0, np.uint64)], []
-            for w in batch.column("words").to_pylist():
+            for rep, star, w in zip(*(batch.column(c).to_pylist() for c in ("rep", "star", "words")), strict=True):
                 g = occurrences(w)
                 i = np.searchsorted(known, g)
-                tokens.append(g[np.lexsort((g, np.where(known[i] == g, counts[i], 1)))][: int((1 - similarity) * len(g) + 1e-9) + 1])
-                sizes.append(len(g))
-            many = np.array([len(t) for t in tokens[1:]], np.int64)
-            each = [np.repeat(batch.column(c).to_numpy(), many) for c in ("rep", "star")]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(each[0], pa.int64()), pa.array(each[1], pa.int64()), pa.array(np.repeat(np.array(sizes, np.int32), many), pa.int32()), pa.array(at.astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64))], schema=arrow)
+                n = np.where(known[i] == g, counts[i], 1)
+                order = np.lexsort((g, n))[: int((1 - similarity) * len(g) + 1e-9) + 1]
+                at = np.flatnonzero(n[order] > 1) if whole else np.arange(len(order))
+                g, blocks = g[order[at]], -(-n[order[at]] // BLOCK)
+                own = (mixed(np.full(len(g), rep, np.int64).view(np.uint64) ^ g) % blocks.astype(np.uint64)).astype(np.int64)
+                k = np.repeat(np.arange(len(g)), blocks)  # a copy for each block that the text's own one meets
+                other = np.arange(len(k)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                part = np.minimum(own[k], other) * blocks[k] + np.maximum(own[k], other)
+                same = lambda v, kind: pa.array(np.full(len(k), v), kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(g[k].view(np.int64)), pa.array(part, pa.int64()), same(rep, pa.int64()), same(star, pa.int64()), pa.array(at[k], pa.int32()), pa.array(own[k], pa.int32()), pa.array(own[k] == other), pa.array([w] * len(k), pa.binary())], schema=arrow)
 
     return texts.select("rep", "star", "words").mapInArrow(run, schema)
 
 
+def met(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """rep, centre, a, b, bound: the texts (rep, star, words) of different stars a, b that share a key and part, unless their lengths, places or
+    words, counted, rule out nearness, or one of the keys they have (keys, if known) is in both and smaller: there they are met. bound is the least distance that these leave. best: of two stars with a key in common one pair is enough."""
+    schema = "rep long, centre long, a long, b long, bound int"
+    arrow = arrow_schema(schema)
+    names = ("key", "part", "rep", "star", "at", "block")
+
+    def near(rows: dict, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def common(x: int, y: int) -> int:
+            for k in (x, y):
+                if k not in known:
+                    known[k] = np.sort(occurrences(rows["words"][k].tobytes()))
+            both = np.sort(np.concatenate((known[x], known[y])), kind="stable")  # two sorted runs, merged
+            return int((both[1:] == both[:-1]).sum())
+
+        key = np.cumsum(new) << 32
+        end = np.searchsorted(key + rows["n"], key + np.minimum(rows["n"] / max(similarity, 0.01) + 2, 1 << 31).astype(np.int64), "right")
+        after = end - np.arange(len(new)) - 1  # rows of the same key behind each one, by length, up to one that is too long for it
+        for lo, hi in blocks_of(np.cumsum(after)):
+            i = np.repeat(np.arange(lo, hi), after[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
+            fits = (rows["star"][i] != rows["star"][j]) & ((rows["block"][i] != rows["block"][j]) | rows["alone"][i])
+            i, j = i[fits], j[fits]
+            n, m = rows["n"][i], rows["n"][j]
+            most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+            both = np.maximum(n, m) - most  # words that are in both texts at least, if they are near
+            fits = (np.minimum(n, m) >= both) & (n - rows["at"][i] >= both) & (m - rows["at"][j] >= both)
+            i, j, most = i[fits], j[fits], most[fits]
+            d = rows["bag"][i].astype(np.int16) - rows["bag"][j]
+            fits = np.maximum(np.maximum(d, 0).sum(1), -np.minimum(d, 0).sum(1)) <= most
+            i, j, most = i[fits], j[fits], most[fits]
+            fits = np.array([rows["keys"][x].isdisjoint(rows["keys"][y]) for x, y in zip(i, j, strict=True)], bool)
+            i, j, most = i[fits], j[fits], most[fits]
+            bound = np.maximum(rows["n"][i], rows["n"][j]) - np.array([common(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+            fits = bound <= most
+            i, j, bound = i[fits], j[fits], bound[fits]
+            a, b = np.minimum(rows["star"][i], rows["star"][j]), np.maximum(rows["star"][i], rows["star"][j])
+            if best and len(i):
+                order = np.lexsort((bound, b, a))
+                first = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]
+                i, j, a, b, bound = i[first], j[first], a[first], b[first], bound[first]
+            x, y = rows["rep"][i], rows["rep"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((np.maximum(x, y), np.minimum(x, y), a, b, bound), arrow, strict=True)], schema=arrow)
+
+    def blocks_of(sums: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+        lo = 0
+        while lo < len(sums):
+            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + most, "right")))
+            yield lo, hi
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            rows = held
+            if batch is not None and batch.num_rows:
+                words = np.empty(batch.num_rows, object)
+                words[:] = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
+                rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in names} | {"words": words, "n": np.array([len(w) for w in words], np.int64)}
+                earlier = [frozenset(x for x in keys if x < k) for k, keys in zip(rows["key"].tolist(), batch.column("keys").to_pylist(), strict=True)]
+                rows["keys"] = np.empty(batch.num_rows, object)
+                rows["keys"][:] = earlier
+                rows |= {"bag": np.stack([bags(w) for w in words]), "alone": batch.column("alone").to_numpy(zero_copy_only=False)}
+                rows = rows if held is None else {c: np.concatenate((held[c], rows[c])) for c in rows}
+            if rows is None or not len(rows["key"]):
+                continue
+            new = np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["part"][1:] != rows["part"][:-1]))
+            cut = len(new) if batch is None else int(np.flatnonzero(new)[-1])  # the last key may go on in the next batch
+            held = {c: v[cut:] for c, v in rows.items()}
+            if cut:
+                yield from near({c: v[:cut] for c, v in rows.items()}, new[:cut])
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", F.length("words")).mapInArrow(run, schema)
+
+
+def crowd_candidates(crowd: DataFrame, words: DataFrame, similarity: float, best: bool, rows: DataFrame | None = None) -> DataFrame:
+    """rep, centre, a, b: pairs of texts (rep, star) of different stars (a, b) that may be near; no near one is missing, or no two stars
+    with one, if best: then of each two stars the pair of the least bound. With bucket rows (key, rep, n) only pairs that share one: those
+    of buckets of up to LARGE meet there, those of larger ones by their rarest words."""
+    texts = stored(crowd.join(words, F.col("rep") == F.col("doc_id")).select("rep", "star", "words"))
+    pairs, wide = None, texts
+    if rows is not None:
+        none = [F.lit(0).cast(t).alias(v) for v, t in (("part", "long"), ("at", "int"), ("block", "int"))]
+        fitting = rows.where(F.col("n") <= LARGE)
+        own = stored(texts.join(fitting.groupBy("rep").agg(F.collect_list("key").alias("keys")), "rep"))
+        pairs = met(own.select(F.explode("keys").alias("key"), "keys", "rep", "star", "words", *none, F.lit(True).alias("alone")), similarity, best)
+        wide = texts.join(rows.where(F.col("n") > LARGE).select("rep").distinct(), "rep", "left_semi")
+    if rows is None or not wide.isEmpty():
+        rare = rarest_words(wide, *frequent_words(wide), similarity).withColumn("keys", F.array().cast("array<bigint>"))
+        by_words = met(rare, similarity, best)
+        pairs = by_words if pairs is None else pairs.unionByName(by_words)
+    least = pairs.groupBy("a", "b").agg(F.min(F.struct("bound", "rep", "centre")).alias("p")).select("p.rep", "p.centre", "a", "b")
+    found = stored(least if best else pairs.select("rep", "centre", "a", "b").distinct())
+    free(texts)
+    return found
+
+
 def crowd_pairs(crowd: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """rep, centre: the pairs of texts (rep, star) with different stars that may be near; no near one is missing."""
+    return crowd_candidates(crowd, words, similarity, False).select("rep", "centre")
+
+
+def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with star: the component of each one's rep by the links (rep, centre)."""
+    found = components(links.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    return nodes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("star"))
+
+
+def crowd_links(rows: DataFrame, known: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """rep, centre: near pairs that, with the known near ones (rep, centre), put the texts of the bucket rows (key, rep, n) into the groups that
+    all near pairs which share a bucket would. Two groups need one link, so first their likeliest pair is aligned, and all their pairs
+    only where that one is not near and no other link has joined them."""
     c = F.col
-    texts = stored(crowd.join(words, c("rep") == c("doc_id")).select("rep", "star", "words"))
-    rare = stored(rarest_words(texts, *frequent_words(texts), similarity))
-    mixed_tokens = stored(rare.groupBy("token").agg(F.min("star").alias("first"), F.max("star").alias("last")).where("first < last").select("token"))
-    shared = stored(rare.join(mixed_tokens, "token"))
-    free(texts, rare, mixed_tokens)
-    # texts of one star are not met by each other, so a large group costs no pairs of its own
-    stars = stored(shared.groupBy("token", c("star").alias("other_star")).agg(F.min("n").alias("shortest"), F.max("n").alias("longest")))
-    fits = lambda short, long: long - short <= F.floor((1 - similarity) * long + 1e-9)
-    met = stored(shared.join(stars, "token").where((c("star") < c("other_star")) & fits(c("n"), F.greatest("n", "shortest")) & fits(F.least("n", "longest"), c("n"))))
-    other = shared.select("token", c("star").alias("other_star"), c("rep").alias("other"), c("n").alias("m"), c("at").alias("other_at"))
-    long = F.greatest("n", "m")
-    both = long - F.floor((1 - similarity) * long + 1e-9)  # words that are in both texts at least, if they are near
-    pairs = met.join(other, ["token", "other_star"]).where((F.least("n", "m") >= both) & (c("n") - c("at") >= both) & (c("m") - c("other_at") >= both))
-    found = stored(pairs.select(F.greatest("rep", "other").alias("rep"), F.least("rep", "other").alias("centre")).distinct())
-    free(shared, stars, met)
-    return found
+    crowd = stored(grouped(rows.select("rep").distinct(), known))
+    likely = crowd_candidates(crowd, words, similarity, True, rows)
+    first = stored(aligned(likely.select("rep", "centre"), words, similarity))
+    later = stored(grouped(crowd.select("rep"), known.unionByName(first.where("near").select("rep", "centre"))))
+    size = crowd.groupBy("star").agg(F.count(F.lit(1)).alias("texts"))
+    failed = likely.join(first.where("not near"), ["rep", "centre"]).select("a", "b")
+    more = failed.join(size.select(c("star").alias("a"), c("texts").alias("a_texts")), "a").join(size.select(c("star").alias("b"), c("texts").alias("b_texts")), "b")
+    # stars of one text each had no other pair
+    again = stored(more.where("a_texts + b_texts > 2").select(F.explode(F.array("a", "b")).alias("star")).distinct())
+    left = stored(crowd.join(again, "star", "left_semi").select("rep").join(later, "rep"))
+    near = first.where("near").select("rep", "centre")
+    if not left.isEmpty():
+        rest = crowd_candidates(left, words, similarity, False, rows)
+        second = stored(aligned(rest.select("rep", "centre").join(first.select("rep", "centre"), ["rep", "centre"], "left_anti"), words, similarity))
+        near = near.unionByName(second.where("near").select("rep", "centre"))
+        free(rest)
+    free(crowd, likely, later, again, left)
+    return near
 
 
 def near_links(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """a, b: near classes, from the bucket rows."""
+    """a, b: links between near classes, from the bucket rows; no two groups of them have a near pair that shares a bucket."""
     judged = stored(aligned(rows.where("rep <> centre").select("rep", "centre").distinct(), words, similarity))
     state = stored(rows.join(judged, ["rep", "centre"], "left").select("key", "rep", "n", F.coalesce("near", F.lit(True)).alias("near")))
     unlike = stored(state.groupBy("key").agg(F.bool_and("near").alias("all_near")).where("not all_near").select("key"))
     unlike_rows = state.join(unlike, "key")
     few = stored(unlike_rows.where(F.col("n") <= SMALL).select("key", "rep", "near"))
     other = few.select("key", F.col("rep").alias("other"), F.col("near").alias("other_near"))
-    small = few.join(other, "key").where("other < rep and not (near and other_near)").select("rep", F.col("other").alias("centre"))
-    stars = judged.where("near").groupBy("rep").agg(F.min("centre").alias("star"))
-    crowd = unlike_rows.where(F.col("n") > SMALL).select("rep").distinct().join(stars, "rep", "left").select("rep", F.coalesce("star", "rep").alias("star"))
-    pairs = small.unionByName(crowd_pairs(crowd, words, similarity)).distinct().join(judged.select("rep", "centre"), ["rep", "centre"], "left_anti")
-    later = stored(aligned(pairs, words, similarity))
+    small = few.join(other, "key").where("other < rep and not (near and other_near)").select("rep", F.col("other").alias("centre")).distinct()
+    later = stored(aligned(small.join(judged.select("rep", "centre"), ["rep", "centre"], "left_anti"), words, similarity))
+    many = stored(unlike_rows.where(F.col("n") > SMALL).select("key", "rep", "n"))
     free(rows, state, unlike, few)
-    return judged.unionByName(later).where("near").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    links = stored(judged.unionByName(later).where("near").select("rep", "centre"))
+    if not many.isEmpty():
+        links = links.unionByName(crowd_links(many, links, words, similarity))
+    return links.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
 
 
 def near_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

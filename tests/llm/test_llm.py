@@ -618,6 +618,33 @@ def test_no_near_pair_of_a_large_bucket_is_lost(spark, case):
     assert found == all_of_them
 
 
+def test_groups_of_a_large_bucket_are_joined_by_few_pairs(spark, monkeypatch):
+    text = list(range(100))
+    texts = {0: list(range(500, 600))} | {k: text[:k] + [1000 + k] + text[k + 1 :] for k in range(1, 41)}
+    texts[41] = text[:10] + list(range(700, 790))  # shares a few words only
+    rows = [(1, k, 0, 42) for k in range(42)] + [(2, k, 1, 20) for k in range(1, 21)] + [(3, k, 21, 20) for k in range(21, 41)]
+    rows = near_text.stored(spark.createDataFrame(rows, "key long, rep long, centre long, n long"))
+    words = spark.createDataFrame([(k, bytearray(np.array(x, "<u4").tobytes())) for k, x in texts.items()], "doc_id long, words binary")
+    counts, align = [], near_text.aligned
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return align(pairs, *rest)
+
+    monkeypatch.setattr(near_text, "aligned", counted)
+    groups = {r.node: r.component for r in near_text.components(near_text.near_links(rows, words, 0.8)).collect()}
+    assert groups == dict.fromkeys(range(1, 41), 1)
+    assert sum(counts[1:]) < 10  # two groups of 20 have 400 pairs
+
+
+@pytest.mark.parametrize("large", [near_text.LARGE, near_text.SMALL])
+def test_large_buckets_are_exact_by_keys_and_by_rare_words(spark, monkeypatch, large):
+    monkeypatch.setattr(near_text, "LARGE", large)
+    monkeypatch.setattr(near_text, "BLOCK", 8)
+    found, all_of_them = near_recall.recall(spark, (120, 24, 60, 40), 120)
+    assert found == all_of_them
+
+
 def test_crowd_pairs_hold_every_near_pair_of_different_stars(spark):
     rnd = random.Random(22)
     rows = []
