@@ -53,6 +53,7 @@ SMALL = 16
 SHORT, RUN = 100, 4
 FREQUENT = 65_536
 LARGE, BLOCK, BAG = 8_192, 8_192, 256
+TILE, LEVELS, COMMON, PART = 512, 8, 256, 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mixed(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -265,8 +266,28 @@ def frequent_words(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def bags(words: np.ndarray) -> np.ndarray:
-    """How many of a text's words fall into each of BAG classes of words, counted to 255."""
-    return np.minimum(np.bincount((mixed(words.astype(np.uint64)) >> np.uint64(56)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+    """How many of a text's words fall into each of BAG classes of words."""
+    return np.bincount((mixed(words.astype(np.uint64)) >> np.uint64(56)).astype(np.int64), minlength=BAG).astype(np.int32)
+
+
+def levels_of(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bags (a row for each text) as levels, 1 where a class has at least so many words: the product of two texts' levels is how many words they have in
+    common at most, up to LEVELS of a class. And the words beyond these."""
+    at_least = [bag[:, (bag >= k).sum(0) > 1] >= k for k in range(1, LEVELS + 1)]
+    return np.concatenate(at_least, 1).astype(np.float32), np.maximum(bag - LEVELS, 0).sum(1).astype(np.float32)
+
+
+def had_before(keys: np.ndarray, key: int) -> np.ndarray:
+    """A row for each text: which of the commonest COMMON keys smaller than this one it has."""
+    smaller = [k[k < key] for k in keys]
+    found, column, n = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    taken = np.argsort(-n, kind="stable")[: min(COMMON, int((n > 1).sum()))]
+    to = np.full(len(found), -1)
+    to[taken] = np.arange(len(taken))
+    row, column = np.repeat(np.arange(len(keys)), [len(k) for k in smaller]), to[column]
+    out = np.zeros((len(keys), len(taken)), np.float32)
+    out[row[column >= 0], column[column >= 0]] = 1
+    return out
 
 
 def rarest_words(texts: DataFrame, known: np.ndarray, counts: np.ndarray, whole: bool, similarity: float) -> DataFrame:
@@ -306,6 +327,12 @@ def met(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
 
     def near(rows: dict, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        smaller: dict[int, frozenset] = {}
+
+        def earlier(x: int) -> frozenset:
+            if x not in smaller:
+                smaller[x] = frozenset(rows["keys"][x][rows["keys"][x] < rows["key"][x]].tolist())
+            return smaller[x]
 
         def common(x: int, y: int) -> int:
             for k in (x, y):
@@ -314,41 +341,57 @@ def met(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
             both = np.sort(np.concatenate((known[x], known[y])), kind="stable")  # two sorted runs, merged
             return int((both[1:] == both[:-1]).sum())
 
-        key = np.cumsum(new) << 32
-        end = np.searchsorted(key + rows["n"], key + np.minimum(rows["n"] / max(similarity, 0.01) + 2, 1 << 31).astype(np.int64), "right")
-        after = end - np.arange(len(new)) - 1  # rows of the same key behind each one, by length, up to one that is too long for it
-        for lo, hi in blocks_of(np.cumsum(after)):
-            i = np.repeat(np.arange(lo, hi), after[lo:hi])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
-            fits = (rows["star"][i] != rows["star"][j]) & ((rows["block"][i] != rows["block"][j]) | rows["alone"][i])
-            i, j = i[fits], j[fits]
-            n, m = rows["n"][i], rows["n"][j]
-            most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
-            both = np.maximum(n, m) - most  # words that are in both texts at least, if they are near
-            fits = (np.minimum(n, m) >= both) & (n - rows["at"][i] >= both) & (m - rows["at"][j] >= both)
-            i, j, most = i[fits], j[fits], most[fits]
-            d = rows["bag"][i].astype(np.int16) - rows["bag"][j]
-            fits = np.maximum(np.maximum(d, 0).sum(1), -np.minimum(d, 0).sum(1)) <= most
-            i, j, most = i[fits], j[fits], most[fits]
-            fits = np.array([rows["keys"][x].isdisjoint(rows["keys"][y]) for x, y in zip(i, j, strict=True)], bool)
-            i, j, most = i[fits], j[fits], most[fits]
-            bound = np.maximum(rows["n"][i], rows["n"][j]) - np.array([common(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-            fits = bound <= most
-            i, j, bound = i[fits], j[fits], bound[fits]
-            a, b = np.minimum(rows["star"][i], rows["star"][j]), np.maximum(rows["star"][i], rows["star"][j])
-            if best and len(i):
-                order = np.lexsort((bound, b, a))
-                first = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]
-                i, j, a, b, bound = i[first], j[first], a[first], b[first], bound[first]
-            x, y = rows["rep"][i], rows["rep"][j]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((np.maximum(x, y), np.minimum(x, y), a, b, bound), arrow, strict=True)], schema=arrow)
-
-    def blocks_of(sums: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
-        lo = 0
-        while lo < len(sums):
-            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + most, "right")))
-            yield lo, hi
-            lo = hi
+        key, n = np.cumsum(new) << 32, rows["n"]
+        ends = np.searchsorted(key + n, key + np.minimum(n / max(similarity, 0.01) + 2, 1 << 31).astype(np.int64), "right")  # rows of a key, by length, up to one that is too long
+        least = n - ((1 - similarity) * n + 1e-9).astype(np.int64)  # words that are in both texts at least, if they are near and this is the longer one
+        starts = np.flatnonzero(new)
+        for first, after in zip(starts.tolist(), np.append(starts[1:], len(new)).tolist(), strict=True):
+            if (rows["star"][first:after] == rows["star"][first]).all():
+                continue
+            bag = np.stack([bags(w) for w in rows["words"][first:after]])
+            levels, rest = levels_of(bag)
+            had = had_before(rows["keys"][first:after], rows["key"][first])
+            for lo in range(first, after, TILE):
+                hi = min(lo + TILE, after)
+                for lo2 in range(lo, int(ends[hi - 1]), TILE):
+                    hi2 = min(lo2 + TILE, int(ends[hi - 1]))
+                    a, b = slice(lo, hi), slice(lo2, hi2)
+                    most = levels[lo - first : hi - first] @ levels[lo2 - first : hi2 - first].T
+                    if rest.any():
+                        most += np.minimum.outer(rest[lo - first : hi - first], rest[lo2 - first : hi2 - first])
+                    fits = (most >= least[b]) & (rows["star"][a, None] != rows["star"][b]) & (np.arange(lo2, hi2) < ends[a, None])
+                    if lo2 == lo:
+                        fits &= np.arange(lo2, hi2) > np.arange(lo, hi)[:, None]
+                    if not rows["alone"][first]:
+                        fits &= rows["block"][a, None] != rows["block"][b]
+                    if had.size:
+                        fits &= had[lo - first : hi - first] @ had[lo2 - first : hi2 - first].T == 0
+                    i, j = np.nonzero(fits)
+                    i, j = i + lo, j + lo2
+                    if rest.any():  # in parts, since a part holds both bags of each pair
+                        fits = [np.minimum(bag[x - first], bag[y - first]).sum(1) >= least[y] for x, y in ((i[k : k + PART], j[k : k + PART]) for k in range(0, len(i), PART))]
+                        fits = np.concatenate([np.zeros(0, bool), *fits])
+                        i, j = i[fits], j[fits]
+                    yield from judged(rows, i, j, least, common, earlier)
+
+    def judged(rows: dict, i: np.ndarray, j: np.ndarray, least: np.ndarray, common, earlier) -> Iterator[pa.RecordBatch]:
+        n, m = rows["n"][i], rows["n"][j]
+        fits = (n >= least[j]) & (n - rows["at"][i] >= least[j]) & (m - rows["at"][j] >= least[j])
+        i, j = i[fits], j[fits]
+        fits = np.array([earlier(x).isdisjoint(earlier(y)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[fits], j[fits]
+        both = np.array([common(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        fits = both >= least[j]
+        i, j, bound = i[fits], j[fits], (rows["n"][j] - both)[fits]
+        if not len(i):
+            return
+        a, b = np.minimum(rows["star"][i], rows["star"][j]), np.maximum(rows["star"][i], rows["star"][j])
+        if best:
+            order = np.lexsort((bound, b, a))
+            first = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]
+            i, j, a, b, bound = i[first], j[first], a[first], b[first], bound[first]
+        x, y = rows["rep"][i], rows["rep"][j]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((np.maximum(x, y), np.minimum(x, y), a, b, bound), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -358,10 +401,10 @@ def met(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
                 words = np.empty(batch.num_rows, object)
                 words[:] = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
                 rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in names} | {"words": words, "n": np.array([len(w) for w in words], np.int64)}
-                earlier = [frozenset(x for x in keys if x < k) for k, keys in zip(rows["key"].tolist(), batch.column("keys").to_pylist(), strict=True)]
+                keys = batch.column("keys")
                 rows["keys"] = np.empty(batch.num_rows, object)
-                rows["keys"][:] = earlier
-                rows |= {"bag": np.stack([bags(w) for w in words]), "alone": batch.column("alone").to_numpy(zero_copy_only=False)}
+                rows["keys"][:] = np.split(keys.flatten().to_numpy(), np.cumsum(keys.value_lengths().to_numpy())[:-1])
+                rows["alone"] = batch.column("alone").to_numpy(zero_copy_only=False)
                 rows = rows if held is None else {c: np.concatenate((held[c], rows[c])) for c in rows}
             if rows is None or not len(rows["key"]):
                 continue
@@ -415,7 +458,8 @@ def crowd_links(rows: DataFrame, known: DataFrame, words: DataFrame, similarity:
     crowd = stored(grouped(rows.select("rep").distinct(), known))
     likely = crowd_candidates(crowd, words, similarity, True, rows)
     first = stored(aligned(likely.select("rep", "centre"), words, similarity))
-    later = stored(grouped(crowd.select("rep"), known.unionByName(first.where("near").select("rep", "centre"))))
+    joined = components(likely.join(first.where("near"), ["rep", "centre"]).select("a", "b"))
+    later = stored(crowd.join(joined.hint("merge"), c("star") == c("node"), "left").select("rep", F.coalesce("component", "star").alias("star")))
     size = crowd.groupBy("star").agg(F.count(F.lit(1)).alias("texts"))
     failed = likely.join(first.where("not near"), ["rep", "centre"]).select("a", "b")
     more = failed.join(size.select(c("star").alias("a"), c("texts").alias("a_texts")), "a").join(size.select(c("star").alias("b"), c("texts").alias("b_texts")), "b")
