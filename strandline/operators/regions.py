@@ -3,68 +3,46 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
+from strandline.operators import tiles
 from strandline.operators.graph import components
 from strandline.storage import stored
 
 TILE = 256
-WIDTH = 1 << 31  # pixel number = row * WIDTH + col
+WIDTH = tiles.WIDTH  # pixel number = row * WIDTH + col
 SIDES = ((0, 1), (1, 0), (0, -1), (-1, 0))
 
 
-def _tile_labels(row: np.ndarray, col: np.ndarray, diagonal: bool, value: np.ndarray | None = None) -> np.ndarray:
-    """Least pixel number of each pixel's region inside one tile, by minimum labels on the tile's grid; neighbours of
-    different values are apart."""
-    r0, c0 = row.min(), col.min()
-    far = np.iinfo(np.int64).max
-    grid = np.full((row.max() - r0 + 3, col.max() - c0 + 3), far)
-    at = (row - r0 + 1, col - c0 + 1)
-    grid[at] = row * WIDTH + col
-    inside = grid < far
-    values = np.zeros(grid.shape, np.int64)
-    if value is not None:
-        values[at] = np.unique(value, return_inverse=True)[1]
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
-    while True:
-        low = grid.copy()
-        for dr, dc in steps:
-            moved, same = np.roll(grid, (dr, dc), (0, 1)), np.roll(values, (dr, dc), (0, 1)) == values
-            np.minimum(low, np.where(same, moved, far), out=low)
-        low = np.where(inside, low, far)
-        # a pixel's label names a pixel; take over what that one has learnt
-        names = low[inside]
-        low[inside] = np.minimum(names, low[names // WIDTH - r0 + 1, names % WIDTH - c0 + 1])
-        if (low == grid).all():
-            return grid[at]
-        grid = low
-
-
 def label_regions(mask: DataFrame, connectivity: int = 8, tile: int = TILE, value: str | None = None) -> DataFrame:
     """row, col, label: label is the region's least row * 2^31 + col. Tiles are labelled by themselves; only
-    labels that touch across seams take part in the distributed components. With a column `value` (long, not null, one for
-    each pixel) a region's pixels have one value, and it is kept."""
+    labels that touch across seams take part in the distributed components, and only pixels of parts that reach a seam meet what comes of them. With a
+    column `value` (long, not null, one for each pixel) a region's pixels have one value, and it is kept."""
     kept = [F.col(value).cast("long").alias(value)] if value else []
     pixels = mask.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *kept).distinct()
-    tiled = pixels.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
-
     own = [value] if value else []
 
-    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = _tile_labels(pdf["row"].to_numpy(), pdf["col"].to_numpy(), connectivity == 8, pdf[value].to_numpy() if value else None)
-        return pdf[["row", "col", *own]].assign(part=part)
+    def work(rows: tiles.Arrays) -> tiles.Arrays:
+        p = tiles.ordered(rows, tile)
+        root, seam = tiles.tile_parts(p, tiles.neighbours(p, tile, ("e", "s", "se", "sw") if connectivity == 8 else ("e", "s")), tile, connectivity == 8, p[value] if value else None)
+        return p | {"part": p["row"][root] * WIDTH + p["col"][root], "seam": seam}
+
+    parts = stored(tiles.by_tiles(pixels, tile, work, ", ".join(f"{c} long" for c in ("row", "col", *own, "part")) + ", seam boolean"))
+    name = "label" if value != "label" else "part"
+    inner = parts.where("not seam").select("row", "col", *own, F.col("part").alias(name))
+    return inner.unionByName(across_seams(parts.where("seam"), connectivity, tile, own).withColumnRenamed("part", name))
+
 
-    parts = tiled.groupBy("tr", "tc").applyInPandas(one_tile, ", ".join(f"{c} long" for c in ("row", "col", *own, "part")))
-    parts = stored(parts)
+def across_seams(parts: DataFrame, connectivity: int, tile: int, own: list[str]) -> DataFrame:
+    """row, col, own, part: parts of tiles that reach their tile's edges, joined where they touch across seams."""
     edge = parts.where((F.pmod("row", F.lit(tile)) == tile - 1) | (F.pmod("col", F.lit(tile)) == tile - 1) | (F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)) == 0))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     to = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps])).alias("to")
     touching = edge.select("part", *own, to).select(F.col("part").alias("a"), *own, "to.row", "to.col").join(edge.select("row", "col", *own, F.col("part").alias("b")).hint("merge"), ["row", "col", *own]).where("a <> b").select("a", "b").distinct()
     merged = components(touching)
-    return parts.join(merged.hint("merge"), F.col("part") == F.col("node"), "left").select("row", "col", *own, F.coalesce("component", "part").alias("label" if value != "label" else "part"))
+    return parts.join(merged.hint("merge"), F.col("part") == F.col("node"), "left").select("row", "col", *own, F.coalesce("component", "part").alias("part"))
 
 
 def neighbour_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,12 +66,27 @@ def blobs(labels: DataFrame, keys: list[str] | None = None, min_area: int = 1) -
     return found.where(F.col("area_px") >= min_area)
 
 
-def sides(pixels: DataFrame, keys: list[str]) -> DataFrame:
+def sides(pixels: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """keys, turn (0 east, 1 south, 2 west, 3 north), r1, c1, r2, c2: the directed sides between a region and what is not of
-    it, by pixel corners. Every pixel has four sides in a fixed sense, so that the region is on their right; sides between two pixels of a region cancel."""
-    ends = (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1)))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), (F.col("row") + p[0]).alias("r1"), (F.col("col") + p[1]).alias("c1"), (F.col("row") + q[0]).alias("r2"), (F.col("col") + q[1]).alias("c2"), (F.col("row") + n[0]).alias("row"), (F.col("col") + n[1]).alias("col")) for k, (p, q, n) in enumerate(ends)])).alias("s")
-    return pixels.select(*keys, each).select(*keys, "s.*").join(pixels.select(*keys, "row", "col").hint("merge"), [*keys, "row", "col"], "left_anti").drop("row", "col")
+    it, by pixel corners. Every pixel has four sides in a fixed sense, so that the region is on their right; sides between two pixels of a region
+    cancel. That is seen within tiles, where pixels beside a tile come along."""
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    r, c = F.pmod(row, F.lit(tile)), F.pmod(col, F.lit(tile))
+    at = lambda dr, dc: F.struct((F.floor(row / tile) + dr).alias("tr"), (F.floor(col / tile) + dc).alias("tc"))
+    beside = F.array_compact(F.array(at(0, 0), F.when(r == 0, at(-1, 0)), F.when(r == tile - 1, at(1, 0)), F.when(c == 0, at(0, -1)), F.when(c == tile - 1, at(0, 1))))
+    at_edge = (r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1)
+    dealt = pixels.select(*keys, row.alias("row"), col.alias("col"), F.explode(F.when(at_edge, beside).otherwise(F.array(at(0, 0)))).alias("t")).select(*keys, "row", "col", "t.*")
+
+    def work(rows: tiles.Arrays) -> tiles.Arrays:
+        p = tiles.ordered(rows, tile, 1)
+        inside = np.flatnonzero((p["r"] > 0) & (p["r"] <= tile) & (p["c"] > 0) & (p["c"] <= tile))
+        at, turn = tiles.free_sides(tiles.neighbours(p, tile + 2, ("n", "e", "s", "w")), np.zeros(len(p["k"]), np.int64), inside)
+        start, end = tiles.START[turn], tiles.START[(turn + 1) % 4]
+        row, col = p["row"][at], p["col"][at]
+        return {k: tiles.taken(p[k], at) for k in keys} | {"turn": turn.astype(np.int32), "r1": row + start[:, 0], "c1": col + start[:, 1], "r2": row + end[:, 0], "c2": col + end[:, 1]}
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in keys), "turn int", *(f"{n} long" for n in ("r1", "c1", "r2", "c2"))])
+    return tiles.by_tiles(dealt, tile, work, schema, tuple(keys))
 
 
 def outline(pixels: DataFrame, keys: list[str], affine: tuple[float, float, float, float, float, float] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
@@ -109,23 +102,21 @@ FARTHEST_ZONE = 84.0  # degrees of latitude that zones reach to
 
 def projected(sides: DataFrame, plane=None) -> DataFrame:
     """Sides given in degrees, in metres on the plane of the zone that holds the middle of them all, counted from that middle; beyond
-    the zones on the equal-area plane around it. plane (lon, lat -> x, y as columns): that one instead. The extent is one row,
-    so sending it to every task is bounded."""
+    the zones on the equal-area plane around it. plane (lon, lat -> x, y as columns): that one instead. The extent is one row, which
+    the driver reads. Northings go on across the equator."""
     if plane is not None:
         return sides.select("*", *[v.alias(f"_{n}{k}") for k in "12" for n, v in zip("xy", plane(F.col(f"x{k}"), F.col(f"y{k}")), strict=True)]).drop("x1", "y1", "x2", "y2").withColumnsRenamed({f"_{n}{k}": f"{n}{k}" for n in "xy" for k in "12"})
     sides = stored(sides)  # read twice: for the middle and for the way to the plane
-    middle = sides.agg(((F.min("x1") + F.max("x1")) / 2).alias("_lon"), ((F.min("y1") + F.max("y1")) / 2).alias("_lat"))
-    x0, y0 = geo.utm(F.col("_lon"), F.col("_lat"), geo.utm_zone(F.col("_lon")))
-    ends = stored(middle.select("_lon", "_lat", geo.utm_zone(F.col("_lon")).alias("_zone"), x0.alias("_x0"), y0.alias("_y0")))
-    placed = sides.join(F.broadcast(ends))
-    zone = F.col("_zone")
-    columns = {}
-    for k in "12":
-        x, y = geo.utm(F.col(f"x{k}"), F.col(f"y{k}"), zone)
-        far_x, far_y = geo.equal_area(F.col(f"x{k}"), F.col(f"y{k}"), F.col("_lon"), F.col("_lat"))
-        zoned = F.abs("_lat") <= FARTHEST_ZONE
-        columns |= {f"x{k}": F.when(zoned, x - F.col("_x0")).otherwise(far_x), f"y{k}": F.when(zoned, y - F.col("_y0")).otherwise(far_y)}
-    return placed.withColumns(columns).drop("_lon", "_lat", "_zone", "_x0", "_y0")
+    lon, lat = sides.agg((F.min("x1") + F.max("x1")) / 2, (F.min("y1") + F.max("y1")) / 2).first()
+    if lon is None:
+        return sides
+    if abs(lat) > FARTHEST_ZONE:
+        far = {k: geo.equal_area(F.col(f"x{k}"), F.col(f"y{k}"), F.lit(lon), F.lit(lat)) for k in "12"}
+        return sides.withColumns({f"{n}{k}": far[k][i] for i, n in enumerate("xy") for k in "12"})
+    zone = int((lon + 180) // 6 % 60) + 1
+    middle = geo.on_zone(sides.sparkSession.range(1).select(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")), {"m": ("lon", "lat")}, zone, "x", "y").first()
+    placed = geo.on_zone(sides, {k: (f"x{k}", f"y{k}") for k in "12"}, zone, "_x", "_y")
+    return placed.withColumns({f"{n}{k}": F.col(f"_{n}{k}") - middle[f"{n}m"] for n in "xy" for k in "12"}).drop("_x1", "_y1", "_x2", "_y2")
 
 
 def area_perimeter(pixels: DataFrame, keys: list[str] | None = None, affine=(1, 0, 0, 0, 1, 0), degrees: bool = False, plane=None) -> DataFrame:

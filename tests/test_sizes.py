@@ -87,3 +87,34 @@ def test_opening_holds_rows_of_many_pixels_not_one_for_each_neighbour(spark, mon
     got = patches.morph_open(rows, size, times, ("k",))
     assert got.dtypes == by_pixels(rows, size, times, ("k",)).dtypes
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_lakes_at_the_equator_equal_their_sql(spark, tmp_path):
+    """Keys of a table 240 times sf0.1: the raster's latitudes go from one hemisphere to the other there."""
+    rnd, line = random.Random(3), 64 * 223333
+    rows = [(line + k, rnd.randrange(1, 8)) for k in range(-200, 260) for _ in range(4)]
+    pq.write_table(pa.table({"l_orderkey": pa.array([k for k, _ in rows], pa.int64()), "l_linenumber": pa.array([n for _, n in rows], pa.int32())}), tmp_path / "lineitem.parquet")
+    assert_same(registry.queries()["lake_metric_area"], registry.oracle_sql()["lake_metric_area"], spark, str(tmp_path))
+
+
+def test_sides_are_put_on_the_plane_once(spark):
+    from strandline.operators import regions
+
+    sides = spark.createDataFrame([(1, 68.0, 67.0, 68.1, 67.0), (1, 68.1, 67.0, 68.0, 67.0)], "label long, x1 double, y1 double, x2 double, y2 double")
+    plan = regions.measured(sides, ["label"], degrees=True)._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert plan.count("ATAN2(") == 2, "one for each end of a side"
+
+
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_sides_within_tiles_and_across_them(spark, tile):
+    from strandline.operators import regions
+
+    rnd = random.Random(tile)
+    pixels = {(k, n, r, c) for k in ("a", None) for n in (1, 2) for r in range(-4, 6) for c in range(-5, 4) if rnd.random() < 0.6}
+    ends = (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1)))
+    want = {(k, n, t, r + p[0], c + p[1], r + q[0], c + q[1]) for k, n, r, c in pixels for t, (p, q, d) in enumerate(ends) if (k, n, r + d[0], c + d[1]) not in pixels}
+    rows = spark.createDataFrame(sorted(pixels, key=repr), "name string, n int, row long, col int")
+    found = regions.sides(rows, ["name", "n"], tile)
+    assert found.columns == ["name", "n", "turn", "r1", "c1", "r2", "c2"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert "SortMergeJoin" not in plan_of(found), "no row for each pixel's neighbours"
