@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import regions
+from strandline.operators import regions, tiles
 from strandline.operators.cycles import cycles
 from strandline.storage import free, stored
 
@@ -22,20 +23,58 @@ def junctions(sides: DataFrame) -> DataFrame:
     return ends.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("v")
 
 
-def ring_points(labels: DataFrame, label: str = "label") -> DataFrame:
+#: What rows of `traced` are: points of rings, pixels of parts that reach their tile's edge, sides of other parts beside these.
+RING, PIXEL, SIDE = range(3)
+
+
+def traced(pixels: DataFrame, tile: int) -> DataFrame:
+    """kind, value, part, ring, at, row, col, row2, col2, of pixels (row, col, value): the rings of all parts inside their tile, and of the
+    other parts the pixels and what is beside them."""
+
+    def work(rows: tiles.Arrays) -> tiles.Arrays:
+        p = tiles.ordered(rows, tile)
+        near = tiles.neighbours(p, tile, (*tiles.BEYOND, *tiles.LEFT))
+        root, seam = tiles.tile_parts(p, near, tile, False, p["value"])
+        found = tiles.rings_inside(p, near, root, ~seam)
+        beside = ~seam & np.any([(to >= 0) & seam[to] for to in near.values()], axis=0)
+        at, turn = tiles.free_sides(near, root, np.flatnonzero(beside))
+        out, kinds = np.flatnonzero(seam), (len(found["at"]), int(seam.sum()), len(at))
+        start, end = tiles.START[turn], tiles.START[(turn + 1) % 4]
+        sides = {"row": p["row"][at] + start[:, 0], "col": p["col"][at] + start[:, 1], "row2": p["row"][at] + end[:, 0], "col2": p["col"][at] + end[:, 1]}
+        pixel = {"row": p["row"][out], "col": p["col"][out]}
+        of = {n: np.concatenate([found[n], *(v.get(n, np.zeros(k, np.int64)) for v, k in ((pixel, kinds[1]), (sides, kinds[2])))]) for n in ("ring", "at", "row", "col", "row2", "col2")}
+        first = np.concatenate([found["first"], root[out], root[at]])
+        return of | {"kind": np.repeat(np.arange(3, dtype=np.int32), kinds), "value": p["value"][first], "part": p["row"][first] * tiles.WIDTH + p["col"][first]}
+
+    return tiles.by_tiles(pixels, tile, work, "kind int, " + ", ".join(f"{n} long" for n in ("value", "part", "ring", "at", "row", "col", "row2", "col2")))
+
+
+def ring_points(labels: DataFrame, label: str = "label", tile: int = regions.TILE) -> DataFrame:
     """label, part, ring, hole, at, row, col, row2, col2: the corners of each region's rings in order, each with the next one.
     labels: row, col, label (long), one for each pixel; regions may touch.
 
     A part is a 4-connected piece of a region and has one outer ring; part is its least pixel number. Straight runs of sides
     become one row, cut only where three or more borders meet. At a corner that a part touches twice the ring turns left,
     which keeps holes and shells apart; so no ring meets itself. Outer rings run clockwise as seen with rows downwards, and
-    begin at their least corner to the east; holes the other way, to the south."""
+    begin at their least corner to the east; holes the other way, to the south.
+
+    Parts inside a tile are traced there; only sides of parts that reach a tile's edge take part in the distributed steps."""
+    c = F.col
+    out = [c("value").alias(label), "part", "ring", (c("ring") % 4 == 1).alias("hole"), "at", "row", "col", "row2", "col2"]
+    found = stored(traced(labels.select(c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), c(label).cast("long").alias("value")), tile))
+    parts = regions.across_seams(found.where(c("kind") == PIXEL).select("row", "col", "value", "part"), 4, tile, ["value"])
+    beside = found.where(c("kind") == SIDE).select(c("row").alias("r1"), c("col").alias("c1"), c("row2").alias("r2"), c("col2").alias("c2"))
+    return found.where(c("kind") == RING).select(*out).unionByName(_across(parts, beside).select(*out))
+
+
+def _across(parts: DataFrame, beside: DataFrame) -> DataFrame:
+    """value, part, ring, at, row, col, row2, col2 of whole parts (row, col, value, part), by joins; beside: other parts' sides at their corners."""
     c = F.col
-    parts = regions.label_regions(labels.select("row", "col", c(label).alias("value")), 4, value="value").withColumnRenamed("label", "part")
     sides = stored(regions.sides(parts, ["value", "part"]))
+    met = junctions(sides.select("r1", "c1", "r2", "c2").unionByName(beside))
     forward = F.when(c("turn") < 2, 1).otherwise(-1)
     step = forward * F.when(c("turn") % 2 == 0, c("c1")).otherwise(c("r1"))
-    marked = sides.withColumns({"line": F.when(c("turn") % 2 == 0, c("r1")).otherwise(c("c1")), "step": step, "v": corner("r1", "c1")}).join(junctions(sides).withColumn("cut", F.lit(True)).hint("merge"), "v", "left")
+    marked = sides.withColumns({"line": F.when(c("turn") % 2 == 0, c("r1")).otherwise(c("c1")), "step": step, "v": corner("r1", "c1")}).join(met.withColumn("cut", F.lit(True)).hint("merge"), "v", "left")
     along = Window.partitionBy("part", "turn", "line").orderBy("step")
     new = F.coalesce(c("cut"), F.lag("step").over(along) != c("step") - 1, F.lit(False)).cast("int")
     runs = marked.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -47,7 +86,7 @@ def ring_points(labels: DataFrame, label: str = "label") -> DataFrame:
     left_first = F.pmod(c("turn2") - c("turn") + 1, F.lit(4))  # left, straight on, right
     links = runs.join(ahead.hint("merge"), (c("part") == c("part2")) & (corner("r2", "c2") == c("v2"))).groupBy("node").agg(F.min_by("next", left_first).alias("next"))
     order = cycles(links)
-    return runs.join(order.hint("merge"), "node").select(c("value").alias(label), "part", c("cycle").alias("ring"), (c("cycle") % 4 == 1).alias("hole"), "at", c("r1").alias("row"), c("c1").alias("col"), c("r2").alias("row2"), c("c2").alias("col2"))
+    return runs.join(order.hint("merge"), "node").select("value", "part", c("cycle").alias("ring"), "at", c("r1").alias("row"), c("c1").alias("col"), c("r2").alias("row2"), c("c2").alias("col2"))
 
 
 def placed(points: DataFrame, affine: tuple[float, float, float, float, float, float]) -> DataFrame:

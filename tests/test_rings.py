@@ -107,3 +107,25 @@ def test_cycles_of_many_lengths(spark):
         want |= {own[k]: (min(own), (k - low) % n, n) for k in range(n)}
     got = {r.node: (r.cycle, r["at"], r.length) for r in cycles(spark.createDataFrame(rows, "node long, next long")).collect()}
     assert got == want
+
+
+def test_rings_of_parts_inside_and_across_tiles(spark):
+    """Tiles of any size give the same rows; touching values, so that other parts' borders cut runs."""
+    rnd = random.Random(11)
+    grid = ["".join(rnd.choice("00111222") for _ in range(23)) for _ in range(26)]
+    pixels = pixels_of(spark, grid)
+    whole = sorted(map(tuple, rings.ring_points(pixels).collect()))
+    points = rings.placed(rings.ring_points(pixels, tile=8), (1, 0, 0, 0, 1, 0))
+    assert sorted((r.label, r.hole, r.area, r.n_points, round(r.perimeter)) for r in rings.measures(points, ["label", "part", "ring", "hole"]).collect()) == plain_rings(grid)
+    for tile in (3, 5, 9):
+        assert sorted(map(tuple, rings.ring_points(pixels, tile=tile).collect())) == whole
+
+
+def test_only_parts_at_tile_edges_take_part_in_joins(spark, monkeypatch):
+    grid = ["0" * 40] * 12 + ["000011100000" + "0" * 28] * 3 + ["0" * 40] * 3
+    joined, real = [], regions.sides
+    monkeypatch.setattr(regions, "sides", lambda pixels, keys, *a: joined.append(pixels.count()) or real(pixels, keys, *a))
+    rings.ring_points(pixels_of(spark, grid), tile=20).collect()
+    assert joined == [0]
+    rings.ring_points(pixels_of(spark, grid), tile=5).collect()
+    assert joined == [0, 9]
