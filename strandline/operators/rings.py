@@ -108,9 +108,9 @@ def measures(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def polygons(points: DataFrame, label: str = "label") -> DataFrame:
     """label, polygons: for each part its outer ring, then its holes, as closed arrays of (x, y). A region is one row here, as
-    formats of polygons want it; `ring_points` has no such rows."""
+    formats of polygons want it; `ring_points` has no such rows. Points are dealt by label once, and all three steps find them there."""
     point = F.struct(F.col("at").alias("at"), F.struct("x", "y").alias("p"))
-    ring = points.groupBy(label, "part", "hole", "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("r"))
+    ring = points.select(label, "part", "hole", "ring", "at", "x", "y").repartition(label).groupBy(label, "part", "hole", "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("r"))
     closed = ring.withColumn("r", F.concat("r", F.slice("r", 1, 1)))
     part = closed.groupBy(label, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "ring", "r"))), lambda s: s["r"]).alias("rings"))
     return part.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "rings"))), lambda s: s["rings"]).alias("polygons"))

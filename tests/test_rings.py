@@ -129,3 +129,15 @@ def test_only_parts_at_tile_edges_take_part_in_joins(spark, monkeypatch):
     assert joined == [0]
     rings.ring_points(pixels_of(spark, grid), tile=5).collect()
     assert joined == [0, 9]
+
+
+def test_points_are_dealt_once_to_become_polygons(spark):
+    rnd = random.Random(4)
+    points = rings.placed(rings.ring_points(pixels_of(spark, ["".join(rnd.choice("0112") for _ in range(12)) for _ in range(12)])), (1, 0, 0, 0, 1, 0))
+    rows = spark.createDataFrame(points.collect(), points.schema)
+    found = rings.polygons(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    for row in found.collect():
+        of = [r for r in rows.collect() if r.label == row.label]
+        want = [[[(p.x, p.y) for p in sorted((p for p in of if p.ring == k), key=lambda p: p["at"])] for _, k in sorted({(p.hole, p.ring) for p in of if p.part == part})] for part in sorted({p.part for p in of})]
+        assert [[[tuple(p) for p in ring] for ring in part] for part in row.polygons] == [[[*ring, ring[0]] for ring in part] for part in want]
