@@ -125,7 +125,7 @@ def test_only_parts_at_tile_edges_take_part_in_joins(spark, monkeypatch):
     grid = ["0" * 40] * 12 + ["000011100000" + "0" * 28] * 3 + ["0" * 40] * 3
     joined, real = [], regions.sides
     monkeypatch.setattr(regions, "sides", lambda pixels, keys, *a: joined.append(pixels.count()) or real(pixels, keys, *a))
-    rings.ring_points(pixels_of(spark, grid), tile=20).collect()
+    rings.ring_points(pixels_of(spark, grid)).collect()
     assert joined == [0]
     rings.ring_points(pixels_of(spark, grid), tile=5).collect()
     assert joined == [0, 9]
